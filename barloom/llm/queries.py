@@ -48,6 +48,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_personal_data
+
+    found = find_personal_data(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sizes
 
@@ -72,7 +79,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(store(_read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_url_filter, op4_langid, op5_secret_scan, op7_mixing, op8_warc, op9_exact_dedup, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_url_filter, op4_langid, op5_secret_scan, op6_pii, op7_mixing, op8_warc, op9_exact_dedup, op10_media)}
 
 SQL = {
     "op7_mixing": """

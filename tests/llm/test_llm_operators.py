@@ -356,3 +356,41 @@ def test_pipeline_keeps_clean_documents(spark):
     assert ids["near_dedup"] == set(components(left, lambda a, b: bin(a ^ b).count("1") <= 2).values())
     assert ids["token_ids"] == ids["mix"] <= ids["near_dedup"]
     assert p.run(spark, SF).count() > 0
+
+
+def test_personal_data(spark, docs, odd):
+    from barloom.llm import pii
+
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def luhn(d):
+        return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    def fine(kind, v):
+        d = re.sub("[^0-9]", "", v)
+        return {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in v.split(".")), "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+
+    def base(t):
+        return ",".join(f"{k}:{m.start()}:{m.end()}" for k in plain for m in re.finditer(plain[k], t or "") if fine(k, m[0]))
+
+    draw = random.Random(2)
+    bits = list("ab9é😀 .-+@%_()\n") + ["1.2.3.4", "300.1.1.1", "a@b.c", "4539578763621486", "+1 (269) 555-3296 ", "4539 5787 6362 1486", "[at]", "(dot)", "0001.2.3.4"]
+    rows = [(i, "".join(draw.choices(bits, k=draw.randint(0, 30)))) for i in range(800)]
+    rows += [(900, "a@b.c_d@e.f%x@y.z"), (901, "1" * 20000), (902, "a" * 20000), (903, "1." * 5000), (904, "a@" + "b." * 5000 + "c"), (905, None), (906, "+1(" * 2000)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    for df in (made, docs, odd):
+        got = sorted(((r.doc_id, r.base) for r in pii.find_personal_data(df).collect()), key=str)
+        assert got == sorted(((r.doc_id, base(r.text)) for r in df.select("doc_id", "text").collect()), key=str)
+    for r in queries.op6_pii(spark, SF).join(docs.select("doc_id", "text"), "doc_id").collect():
+        want = base(r.text)
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and r.n_card == want.count("card:")
+        assert set(want.split(",") if want else []) <= set(r.spans.split(","))
+    assert pii.find_personal_data(odd.limit(0)).count() == 0
+    # A phone number and a card that run together escape the patterns; the trees find both.
+    texts = [(i, f"{'call me' if i % 2 else 'so'} +1 (269) 555-{1000 + i} now") for i in range(60)] + [(100 + i, "paid 4539578763621486 today") for i in range(60)]
+    texts += [(500, "see +1 (269) 555-3296 4539578763621486 there"), (501, "version 1.2.3 of 2024-10-11 10.12 item 123456789")]
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert found[500] == "card:22:38,phone:4:21" and found[501] == ""
