@@ -13,6 +13,7 @@ distributed to tasks by reading it in each Python worker, from the driver's byte
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
@@ -237,10 +238,23 @@ def decode(docs: DataFrame, vocabulary: str, ids_col: str = "token_ids", to: str
 def digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text, null as empty.
 
-    Encoding, then decoding of the ids, in one pass each; repeated rows repeat, other columns are not read.
+    Each text's ids are decoded again where they were made: one Python worker a task, and only digests
+    leave it. Repeated rows repeat, other columns are not read.
     """
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ids = encode(picked, vocabulary).drop("text")
-    both = decode(ids, vocabulary)
-    n = F.when(F.col("token_ids") == "", F.lit(0)).otherwise(F.char_length("token_ids") - F.char_length(F.translate("token_ids", " ", "")) + 1)
-    return both.select("doc_id", n.cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _worker(shared.value)
+        sha = lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest()
+        for batch in batches:
+            n, ids_sha, decoded_sha = [], [], []
+            for v in batch.column(1):
+                ids = bpe.encode(v.as_py())
+                n.append(ids.count(" ") + 1 if ids else 0)
+                ids_sha.append(sha(ids))
+                decoded_sha.append(sha(bpe.decode(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = dict(picked.dtypes)["doc_id"]
+    return picked.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
