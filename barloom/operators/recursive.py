@@ -136,6 +136,8 @@ def recursive_columns(bars: pd.DataFrame, p: Params) -> dict[str, np.ndarray]:
     """All recursive columns of one pair's bars, ascending in time."""
     m, v, q = p.momentum, p.volatility, p.volume
     o, h, lo, c, vol = (bars[k].to_numpy(float) for k in ("open", "high", "low", "close", "volume"))
+    if not len(c):
+        return {k: np.zeros(0) for k in COLUMNS}
     dc = np.diff(c, prepend=c[0])
     up_tick = np.concatenate([[False], np.diff(h + lo + c) > 0])
     rs = rsi(c, m.rsi)

@@ -276,7 +276,7 @@ SQL["duration_rollup"] = "SELECT event_type AS operation, count(*) AS n, round(s
 SQL["fetch_summary"] = "SELECT sum(CASE WHEN event_type <> 'error' THEN (props->>'k')::BIGINT ELSE 0 END)::BIGINT AS inserted, count_if(event_type = 'error')::BIGINT AS errors, strftime(min(CASE WHEN event_type <> 'error' THEN ts END), '%Y-%m-%d %H:%M:%S') AS first_time FROM events"
 SQL["session_time"] = q(BARS, "SELECT hour(timestamp_utc + INTERVAL 1 HOUR)::INT AS local_hour, count(*) AS bars, sum(volume) AS volume FROM candles GROUP BY 1")
 SQL["rolling_update"] = q(ROWS + f""", y AS (SELECT *, CASE WHEN c3 > 0 THEN close / c3 - 1 ELSE 0 END AS vel, CASE WHEN c1 > 0 THEN close / c1 - 1 ELSE 0 END AS ret FROM x), z AS (SELECT *, stddev_pop(close) OVER {last(20)} AS sd, stddev_pop(ret) OVER {last(30)} AS hv, vel - lag(vel, 3) OVER {W}) AS acc FROM y)""", f"""SELECT {rounded(
-    'CASE WHEN c1 > 0 THEN ln(close / c1) ELSE 0 END AS log_return', 'acc AS price_acceleration', 'greatest(high - low, abs(high - c1), abs(low - c1)) AS true_range', '4 * sd AS bollinger_width_1h', 'hv * sqrt(252) AS historical_vol_30')} FROM z WHERE n - i <= 200""")
+    'CASE WHEN c1 > 0 THEN ln(close / c1) ELSE 0 END AS log_return', 'CASE WHEN i >= 6 THEN acc ELSE 0 END AS price_acceleration', 'greatest(high - low, coalesce(abs(high - c1), 0), coalesce(abs(low - c1), 0)) AS true_range', 'CASE WHEN i >= 19 THEN 4 * sd ELSE 0 END AS bollinger_width_1h', 'CASE WHEN i >= 30 THEN hv * sqrt(252) ELSE 0 END AS historical_vol_30')} FROM z WHERE n - i <= 200""")
 SQL["streaming_candles"] = SQL["candles"]
 SQL["top_width"] = q(ROWS + f", y AS (SELECT *, round(CASE WHEN i >= 19 THEN 4 * stddev_pop(close) OVER {last(20)} ELSE 0 END, 6) AS bw FROM x)", f"""SELECT {rounded('CASE WHEN c1 > 0 THEN ln(close / c1) ELSE 0 END AS log_return', 'greatest(high - low, coalesce(abs(high - c1), 0), coalesce(abs(low - c1), 0)) AS true_range')}, bw AS bollinger_width_1h,
   row_number() OVER (PARTITION BY pair ORDER BY bw DESC, timestamp_utc)::INT AS place FROM y QUALIFY place <= 10""")

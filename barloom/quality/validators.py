@@ -70,7 +70,8 @@ def completeness_checks(df: DataFrame, exempt: tuple = ()) -> tuple[DataFrame, l
 def forgiven(issues: DataFrame, columns: int) -> DataFrame:
     """``issues`` without the nulls of pairs in which less than the forgiven share of cells is null."""
     nulls = F.sum(F.when(F.col("issue_type") == "null_values", F.col("issues")).otherwise(0)).over(Window.partitionBy(PAIR))
-    return issues.where((F.col("issue_type") != "null_values") | (nulls >= rules.FORGIVEN * F.col("candles") * columns))
+    kept = (F.col("issue_type") != "null_values") | (F.col("__nulls") >= rules.FORGIVEN * F.col("candles") * columns)
+    return issues.withColumn("__nulls", nulls).where(kept).drop("__nulls")
 
 
 def sanity_checks(df: DataFrame) -> tuple[DataFrame, list[Check]]:
