@@ -44,8 +44,11 @@ def register(name: str, group: Group, needs: set[str] | None = None) -> None:
     NEEDS[name] = set(needs or ())
 
 
-def compute_features(bars: DataFrame, params: Params | None = None, groups: list[str] | None = None) -> DataFrame:
-    """``bars`` with the columns of ``groups`` (default all that are not disabled) and what those need."""
+def compute_features(bars: DataFrame, params: Params | None = None, groups: list[str] | None = None, added: dict[str, str] | None = None) -> DataFrame:
+    """``bars`` with the columns of ``groups`` (default all that are not disabled) and what those need.
+
+    added, if given, receives the group of each new column.
+    """
     params = params or Params()
     wanted = set(groups if groups is not None else GROUPS) - params.disabled
     for name in list(wanted):
@@ -53,7 +56,10 @@ def compute_features(bars: DataFrame, params: Params | None = None, groups: list
     df = numbered(bars)
     for name, group in GROUPS.items():
         if name in wanted:
+            before = set(df.columns)
             df = group(df, params)
+            if added is not None:
+                added |= {c: name for c in df.columns if c not in before}
     return df.drop("__i", "__n")
 
 

@@ -1,7 +1,7 @@
 """Validators: (pair, validator, issue_type, column, issues, candles) rows, one pass over all pairs.
 
-A check is a condition on a row; conditions are counted side by side in one aggregation per pair and
-turned into rows afterwards. ``examples`` gives the first rows of a check, a top-k by pair.
+A check is a condition on a row; rows are turned into the numbers of the checks they fail, which are
+counted by pair with partial sums. ``examples`` gives the first rows of a check, a top-k by pair.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.frames import PAIR, TIME, by_pair, numbered
+from barloom.functions.frames import PAIR, TIME, by_pair
 from barloom.params import Params
-from barloom.plans.pipeline import GROUPS, NEEDS, compute_features
+from barloom.plans.pipeline import compute_features
 
 from . import rules
 
@@ -27,10 +27,12 @@ class Check(NamedTuple):
 
 def count_issues(df: DataFrame, checks: list[Check]) -> DataFrame:
     """Rows of all checks that failed somewhere; pairs without an issue have none."""
-    sums = [F.count_if(c.failed).alias(f"__{i}") for i, c in enumerate(checks)]
-    by = df.groupBy(PAIR).agg(F.count(F.lit(1)).alias("candles"), *sums)
-    each = F.array(*(F.struct(F.lit(c.validator).alias("validator"), F.lit(c.issue).alias("issue_type"), F.lit(c.column).alias("column"), F.col(f"__{i}").alias("issues")) for i, c in enumerate(checks)))
-    return by.select(PAIR, "candles", F.explode(each).alias("x")).select(PAIR, "x.*", "candles").where("issues > 0")
+    # Each row gives the numbers of the checks that it fails, and -1: only failures grow the rows.
+    hits = F.array_compact(F.array(F.lit(-1), *(F.when(c.failed, F.lit(i)) for i, c in enumerate(checks))))
+    by = df.select(PAIR, F.explode(hits).alias("__i")).groupBy(PAIR, "__i").agg(F.count(F.lit(1)).alias("issues"))
+    by = by.withColumn("candles", F.max(F.when(F.col("__i") == -1, F.col("issues"))).over(Window.partitionBy(PAIR))).where("__i >= 0")
+    name = lambda k: F.element_at(F.array(*(F.lit(c[k]) for c in checks)), F.col("__i") + 1)
+    return by.select(PAIR, name(0).alias("validator"), name(1).alias("issue_type"), name(2).alias("column"), "issues", "candles")
 
 
 def examples(df: DataFrame, check: Check, k: int = 5) -> DataFrame:
@@ -137,18 +139,14 @@ def recomputed(stored: DataFrame, groups: dict[str, list[str]], params: Params |
     """
     params = params or Params()
     raw = stored.select(PAIR, TIME, "open", "high", "low", "close", "volume")
-    made = compute_features(raw, params, [g for names in groups.values() for g in names])
-    owner = {c: v for v, names in groups.items() for g in names for c in GROUPS[g](_inputs(raw, g), params).columns}
-    columns = [c for c in made.columns if c in stored.columns and c in owner and c not in raw.columns]
+    added: dict[str, str] = {}
+    made = compute_features(raw, params, [g for names in groups.values() for g in names], added)
+    owner = {c: v for v, names in groups.items() for c, g in added.items() if g in names}
+    columns = [c for c in made.columns if c in stored.columns and c in owner]
     both = made.select(PAIR, TIME, *(F.col(c).alias(f"__{c}") for c in columns)).join(stored.select(PAIR, TIME, *columns), [PAIR, TIME])
     return count_issues(both, [Check(owner[c], "calculation_mismatch", c, _apart(c)) for c in columns])
 
 
-def _inputs(raw: DataFrame, group: str) -> DataFrame:
-    """Bars with what a group needs, of which only the schema is used."""
-    return numbered(raw.withColumn("log_return", F.lit(0.0)) if "price_action" in NEEDS.get(group, ()) else raw)
-
-
 def _apart(c: str) -> Column:
     stored, made = F.col(c).cast("double"), F.col(f"__{c}").cast("double")
     return F.coalesce(F.abs(stored - made) > rules.TOLERANCE.get(c, 1e-6), F.col(c).isNull())
