@@ -65,10 +65,20 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return entries.join(heads, ["h", "text_sha256"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_exact_duplicates(docs: DataFrame, **kw) -> DataFrame:
-    """``docs`` without the rows that another row of equal text replaces; same columns.
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """``docs`` with one row of each group of equal texts: one that has the largest id; same columns.
 
-    Rows with a null doc_id stay.
+    Decisions are found again by id and digest, so rows of one id with different texts do not mix; null
+    ids count as the smallest. Of rows that repeat the keeping id, one stays.
     """
-    dropped = materialize(exact_duplicates(docs, **kw).where(~F.col("kept")).select("doc_id").distinct(), "exact-copies")
-    return docs.join(dropped, "doc_id", "left_anti")
+    found = materialize(exact_duplicates(docs, id_col, text_col, **kw), "exact-groups")
+    named = found.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"), "kept")
+    dropped = materialize(named.where(~F.col("kept")).select("__id", "__digest").distinct(), "exact-copies")
+    repeated = materialize(named.where("kept").groupBy("__id", "__digest").count().where("count > 1").drop("count"), "exact-repeats")
+    keyed = docs.withColumn("__text_digest", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    same = lambda side: F.col(id_col).eqNullSafe(side["__id"]) & (F.col("__text_digest") == side["__digest"])
+    out = keyed.join(dropped, same(dropped), "left_anti")
+    if not repeated.isEmpty():
+        once = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, "__text_digest"])
+        out = out.join(repeated, same(repeated), "left_anti").unionByName(once)
+    return out.select(*docs.columns)

@@ -216,7 +216,8 @@ def hex_fingerprint(c: str = "fingerprint"):
 def drop_near_duplicates(docs: DataFrame, **kw) -> DataFrame:
     """``docs`` without the rows whose doc_id is not the smallest of its component; same columns.
 
-    Rows with a null doc_id stay.
+    Rows of one doc_id are one document: all go if any of them is a copy of a smaller id. Rows with a
+    null doc_id stay.
     """
     found = near_duplicates(docs, **kw)
     dropped = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")

@@ -315,6 +315,25 @@ def test_exact_dedup_chains_and_splits(spark, docs, odd):
     assert index.agg(F.max("depth")).first()[0] >= 4
 
 
+def test_exact_drop_keeps_one_row_a_group(spark, odd):
+    rows = [(1, "A", "x"), (1, "a", "x"), (2, "a", "y"), (2, "a", "y"), (2, "b", "z"), (3, "b", "z"), (None, "b", "n"), (None, "c", "n"), (None, "c", "n"), (5, None, None), (4, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    assert sorted(exactdedup.drop_exact_duplicates(df).collect(), key=str) == sorted([(2, "a", "y"), (3, "b", "z"), (None, "c", "n"), (5, None, None)], key=str)
+    assert exactdedup.drop_exact_duplicates(odd).count() == len({lower(r.text) for r in odd.collect()})
+    assert exactdedup.drop_exact_duplicates(odd).columns == odd.columns
+
+
+def test_stages_on_an_empty_table(spark, docs):
+    import corpus_pipeline as p
+
+    empty = docs.limit(0)
+    for name, stage in p.STAGES:
+        out = stage(spark, empty, SF)
+        assert out.count() == 0
+        if name != "token_ids":
+            assert out.columns == docs.columns
+
+
 def test_media_round_trip(odd, docs):
     for df in (odd, docs):
         rows = media.digest(media.store(df)).collect()
