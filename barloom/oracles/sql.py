@@ -280,3 +280,11 @@ SQL["rolling_update"] = q(ROWS + f""", y AS (SELECT *, CASE WHEN c3 > 0 THEN clo
 SQL["streaming_candles"] = SQL["candles"]
 SQL["top_width"] = q(ROWS + f", y AS (SELECT *, round(CASE WHEN i >= 19 THEN 4 * stddev_pop(close) OVER {last(20)} ELSE 0 END, 6) AS bw FROM x)", f"""SELECT {rounded('CASE WHEN c1 > 0 THEN ln(close / c1) ELSE 0 END AS log_return', 'greatest(high - low, coalesce(abs(high - c1), 0), coalesce(abs(low - c1), 0)) AS true_range')}, bw AS bollinger_width_1h,
   row_number() OVER (PARTITION BY pair ORDER BY bw DESC, timestamp_utc)::INT AS place FROM y QUALIFY place <= 10""")
+
+SQL["parse_trades"] = """SELECT l_linestatus AS pair, l_orderkey::VARCHAR AS trade_id, round(l_extendedprice, 6) AS price, round(l_quantity, 6) AS quantity, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_partkey * 1000 AS ms FROM lineitem WHERE l_discount > 0"""
+SQL["new_trades"] = "SELECT o_orderkey AS trade_id, o_orderstatus AS side FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 3 <> 0)"
+SQL["premium_history"] = q(BARS + ", " + PREMIUM + ", ph AS (SELECT pair, date_trunc('milliseconds', premium_time) AS premium_time, max(premium) AS premium FROM premium GROUP BY 1, 2)", "SELECT c.timestamp_utc, c.pair AS symbol, round(p.premium, 6) AS premium FROM candles c ASOF JOIN ph p ON c.pair = p.pair AND c.timestamp_utc >= p.premium_time")
+SQL["chart_window"] = q(BARS, f"SELECT {rounded('open', 'high', 'low', 'close', 'volume')} FROM candles WHERE pair = 'view' AND timestamp_utc <= '2024-01-20' ORDER BY timestamp_utc DESC LIMIT 200")
+SQL["report_reader"] = q(ISSUES, """SELECT pair, "column", issues, candles, 'check for zero volumes and repeated bars' AS hint FROM iss WHERE issues > 0 AND issue_type = 'null_values'""")
+SQL["performance"] = q(BARS + """, tr AS (SELECT pair, timestamp_utc, least((close / open - 1) / 10, 0.5) AS r FROM candles WHERE open > 0), g AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY pair ORDER BY timestamp_utc ROWS UNBOUNDED PRECEDING)) AS cap FROM tr),
+  pk AS (SELECT *, greatest(1, max(cap) OVER (PARTITION BY pair ORDER BY timestamp_utc ROWS UNBOUNDED PRECEDING)) AS peak FROM g)""", """SELECT pair, count(*) AS trades, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END), 6) AS win_rate, 1.0::DOUBLE AS mean_hours, round(avg(r) / stddev_samp(r), 6) AS sharpe, round(max(1 - cap / peak), 6) AS max_drawdown, round(sum(ln(1 + r)), 6) AS log_growth FROM pk GROUP BY pair""")

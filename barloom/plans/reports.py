@@ -42,3 +42,21 @@ def duration_rollup(durations: DataFrame) -> DataFrame:
     by = durations.groupBy("operation").agg(F.count(F.lit(1)).alias("n"), F.sum("seconds").alias("total"), F.avg("seconds").alias("mean"), F.min("seconds").alias("least"), F.max("seconds").alias("most"))
     whole = durations.agg(F.sum("seconds").alias("__all"))
     return by.crossJoin(F.broadcast(whole)).select("operation", "n", "total", "mean", "least", "most", (100 * F.col("total") / F.col("__all")).alias("share_pct"))
+
+
+def performance(trades: DataFrame) -> DataFrame:
+    """(pair, trades, net_return, win_rate, mean_hours, sharpe, max_drawdown) of closed trades by pair.
+
+    trades: (pair, closed_at, return_pct, hours), returns as fractions, compounded in order of closing.
+    sharpe is the mean over the sample deviation of returns; drawdown is the largest fall from a
+    previous peak of the compounded capital, which starts at 1.
+    """
+    order = Window.partitionBy("pair").orderBy("closed_at").rowsBetween(Window.unboundedPreceding, 0)
+    # A product over a window by logarithms; a loss of everything ends the capital.
+    grown = trades.withColumn("__log", F.log(F.greatest(1 + F.col("return_pct"), F.lit(1e-12)))).withColumn("__capital", F.exp(F.sum("__log").over(order)))
+    grown = grown.withColumn("__peak", F.greatest(F.lit(1.0), F.max("__capital").over(order)))
+    sd = F.stddev_samp("return_pct")
+    return grown.groupBy("pair").agg(
+        F.count(F.lit(1)).alias("trades"), (F.exp(F.sum("__log")) - 1).alias("net_return"), F.avg((F.col("return_pct") > 0).cast("double")).alias("win_rate"),
+        F.avg("hours").alias("mean_hours"), F.when(sd > 0, F.avg("return_pct") / sd).alias("sharpe"), F.max(1 - F.col("__capital") / F.col("__peak")).alias("max_drawdown"),
+    )

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.frames import PAIR, TIME, by_pair
 from barloom.params import Params
 from barloom.plans.pipeline import compute_features
+from barloom.schemas import ISSUES
 
 from . import rules
 
@@ -228,3 +229,32 @@ def commonest(issues: DataFrame, k: int = 5) -> DataFrame:
 def write_report(issues: DataFrame, path: str) -> None:
     """Issues as JSON lines."""
     issues.write.mode("overwrite").json(path)
+
+
+def read_report(spark: SparkSession, path: str, validator: str, issue_type: str | None = None, examples: int = 5) -> DataFrame:
+    """Rows of a written report: one validator's, of one type if given, at most ``examples`` a pair, the largest first."""
+    rows = spark.read.schema(ISSUES).json(path).where(F.col("validator") == validator)
+    if issue_type is not None:
+        rows = rows.where(F.col("issue_type") == issue_type)
+    order = Window.partitionBy(PAIR).orderBy(F.desc("issues"), "column")
+    return rows.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= examples).drop("__rn")
+
+
+#: What to look at for a column's issues: (text in the column's name, columns, hint). The first that fits counts.
+DRILL_DOWN = (
+    (("atr", "true_range", "keltner"), ("open", "high", "low", "close", "atr_1h", "true_range"), "recompute the range from high, low and the close before; check the seed row"),
+    (("rsi",), ("close", "rsi_1h", "rsi_slope_1h"), "check that the history reaches back far enough for the seed"),
+    (("macd", "ppo", "tsi"), ("close", "macd_slope_1h", "macd_hist_slope_1h"), "exponential means restart where the read begins"),
+    (("volume", "obv", "flow"), ("close", "volume"), "check for zero volumes and repeated bars"),
+    (("future", "profit"), ("close", "high", "low"), "recompute labels after the newest bars arrived"),
+)
+
+
+def drill_down(issues: DataFrame) -> DataFrame:
+    """``issues`` with look_at, the columns to show beside an issue, and a hint; both null where none is known."""
+    look, hint = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
+    for texts, columns, advice in reversed(DRILL_DOWN):
+        fits = F.col("column").rlike("|".join(texts))
+        look = F.when(fits, F.array(*map(F.lit, columns))).otherwise(look)
+        hint = F.when(fits, advice).otherwise(hint)
+    return issues.withColumns({"look_at": look, "hint": hint})

@@ -284,6 +284,51 @@ def scratch(spark: SparkSession) -> str:
     return (root or tempfile.mkdtemp(prefix="barloom-")).rstrip("/")
 
 
+def q_parse_trades(spark, sf_dir):
+    """Line items as trade messages; a discount of 0 stands for a missing size, which is skipped."""
+    li = candles.read_table(spark, sf_dir, "lineitem")
+    size = F.when(F.col("l_discount") > 0, F.col("l_quantity").cast("string")).otherwise("")
+    data = F.to_json(F.struct(F.col("l_orderkey").cast("string").alias("tradeId"), F.col("l_extendedprice").cast("string").alias("px"), size.alias("sz"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), (F.col("l_partkey") * 1000).cast("string").alias("ts")))
+    out = raw.parse_trades(li.select(F.col("l_linestatus").alias("pair"), data.alias("data")))
+    return tidy(out.select("pair", "trade_id", "price", "quantity", "side", F.unix_millis("timestamp_utc").alias("ms")))
+
+
+def q_new_trades(spark, sf_dir):
+    """Order ids that are not yet known: a left-anti join, one row for each id."""
+    orders = candles.read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trade_id"), F.col("o_orderstatus").alias("side"))
+    known = candles.read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("trade_id")).where("trade_id % 3 <> 0").distinct()
+    return upsert.insert_ignore(known, orders, ["trade_id"])
+
+
+def q_premium_history(spark, sf_dir):
+    """Premium messages parsed, then aligned to the bars' times."""
+    sent = _premiums(spark, sf_dir).select("pair", F.to_json(F.struct(F.unix_millis(F.col("premium_time").cast("timestamp")).cast("string").alias("ts"), F.col("premium").cast("string").alias("premium"))).alias("data"))
+    got = raw.parse_premiums(sent, symbol="pair").withColumn("at", F.col("timestamp").cast("timestamp_ntz")).groupBy("symbol", "at").agg(F.max("premium").alias("premium")).withColumnRenamed("symbol", "pair")
+    out = joins.asof_backward(candles.hourly(spark, sf_dir).select("pair", "timestamp_utc"), got, "pair", "timestamp_utc", "at", ["premium"])
+    return tidy(out.select("timestamp_utc", F.col("pair").alias("symbol"), "premium"))
+
+
+def q_chart_window(spark, sf_dir):
+    return tidy(candles.chart_window(candles.hourly(spark, sf_dir), "view", ["open", "high", "low", "close", "volume"], end="2024-01-20", limit=200))
+
+
+def q_report_reader(spark, sf_dir):
+    """A written JSON report, read back: label leakage and gaps go, missing values stay, with hints."""
+    import uuid
+
+    path = f"{scratch(spark)}/{spark.sparkContext.applicationId}/report-{uuid.uuid4().hex}"
+    validators.write_report(q_completeness(spark, sf_dir), path)
+    return validators.drill_down(validators.read_report(spark, path, "completeness", "null_values")).select("pair", "column", "issues", "candles", "hint")
+
+
+def q_performance(spark, sf_dir):
+    """Trades that buy at each bar's open and sell at its close."""
+    b = candles.hourly(spark, sf_dir).where("open > 0")
+    trades = b.select("pair", F.col("timestamp_utc").alias("closed_at"), F.least((F.col("close") / F.col("open") - 1) / 10, F.lit(0.5)).alias("return_pct"), F.lit(1.0).alias("hours"))
+    out = reports.performance(trades)
+    return out.select("pair", "trades", *(F.round(c, 6).alias(c) for c in ("win_rate", "mean_hours", "sharpe", "max_drawdown")), F.round(F.log(1 + F.col("net_return")), 6).alias("log_growth"))
+
+
 def q_top_width(spark, sf_dir):
     """The ten widest Bollinger bands of each pair."""
     df = features.volatility(numbered(candles.hourly(spark, sf_dir)))
@@ -347,4 +392,10 @@ QUERIES = {
     "rolling_update": q_rolling_update,
     "streaming_candles": q_streaming_candles,
     "top_width": q_top_width,
+    "parse_trades": q_parse_trades,
+    "new_trades": q_new_trades,
+    "premium_history": q_premium_history,
+    "chart_window": q_chart_window,
+    "report_reader": q_report_reader,
+    "performance": q_performance,
 }

@@ -65,3 +65,15 @@ def pairs(bars: DataFrame) -> DataFrame:
 def known_bounds(bars: DataFrame) -> DataFrame:
     """(pair, first_time, last_time, rows): what a fetcher already has."""
     return bars.groupBy("pair").agg(F.min("timestamp_utc").alias("first_time"), F.max("timestamp_utc").alias("last_time"), F.count(F.lit(1)).alias("rows"))
+
+
+def chart_window(bars: DataFrame, pair: str | None, columns: list[str], start: str | None = None, end: str | None = None, limit: int = 1000) -> DataFrame:
+    """Columns of one pair's newest ``limit`` bars between two bounds, each of which may be open."""
+    kind = dict(bars.dtypes)["timestamp_utc"]
+    if pair is not None:
+        bars = bars.where(F.col("pair") == pair)
+    if start is not None:
+        bars = bars.where(F.col("timestamp_utc") >= F.lit(start).cast(kind))
+    if end is not None:
+        bars = bars.where(F.col("timestamp_utc") <= F.lit(end).cast(kind))
+    return bars.select("pair", "timestamp_utc", *columns).orderBy(F.desc("timestamp_utc"), "pair").limit(limit)

@@ -45,6 +45,19 @@ def parse_funding(messages: DataFrame, data: str = "data") -> DataFrame:
     )
 
 
+def parse_trades(messages: DataFrame, data: str = "data", pair: str = "pair") -> DataFrame:
+    """Trades from JSON objects; those without a number for price, size or time are skipped."""
+    get = lambda k, kind: F.expr(f"try_cast(get_json_object({data}, '$.{k}') as {kind})")
+    rows = messages.select(F.col(pair).alias("pair"), get("tradeId", "string").alias("trade_id"), get("px", "double").alias("price"), get("sz", "double").alias("quantity"), get("side", "string").alias("side"), millis(get("ts", "bigint")).alias("timestamp_utc"))
+    return rows.where("trade_id is not null and price is not null and quantity is not null and timestamp_utc is not null")
+
+
+def parse_premiums(messages: DataFrame, data: str = "data", symbol: str = "symbol") -> DataFrame:
+    """Premium rows from JSON objects with ts and premium."""
+    get = lambda k, kind: F.expr(f"try_cast(get_json_object({data}, '$.{k}') as {kind})")
+    return messages.select(millis(get("ts", "bigint")).alias("timestamp"), F.col(symbol).alias("symbol"), get("premium", "double").alias("premium")).where("timestamp is not null and premium is not null")
+
+
 def swap_pairs(instruments: DataFrame) -> DataFrame:
     """Live instruments quoted in the base currency: (symbol)."""
     ok = F.col("instId").endswith(QUOTE_SUFFIX) | ((F.col("quoteCcy") == "USDT") & (F.col("state") == "live"))
