@@ -6,14 +6,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .recursive import ewm, rsi, step, true_range
+from .kernels import ewm, rsi, step, true_range
 
-FRAMES = {"4h": "4 hours", "1d": "1 day"}
+#: Microseconds of each higher frame.
+WIDTHS = {"4h": 4 * 3_600_000_000, "1d": 24 * 3_600_000_000}
+OHLCV = ("open", "high", "low", "close", "volume")
 #: Least hourly rows of a pair, and least bars in each frame, for its columns to be there.
 LEAST_ROWS, LEAST_BARS = 24, {"4h": 10, "1d": 7}
 INDICATORS = ("rsi", "rsi_slope", "macd_slope", "macd_hist_slope", "atr", "bollinger_width", "donchian_channel_width", "money_flow_index", "obv_slope", "volume_change_pct")
+MTF = tuple(f"{c}_{name}" for name in WIDTHS for c in (*OHLCV, *INDICATORS))
 
 
 def resample(bars: DataFrame, width: str) -> DataFrame:
@@ -61,20 +63,24 @@ def frame_indicators(bars: pd.DataFrame, daily: bool) -> dict[str, np.ndarray]:
     }
 
 
-def frame_features(bars: DataFrame, name: str) -> DataFrame:
-    """Indicators (suffix _``name``) on higher bars; pairs with fewer than the least bars have no rows."""
-    names = [f"{c}_{name}" for c in INDICATORS]
-    schema = T.StructType([*bars.schema.fields, *(T.StructField(c, T.DoubleType()) for c in names)])
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("timestamp_utc", kind="stable")
-        if len(b) < LEAST_BARS[name]:
-            b = b.iloc[:0]
-            return pd.concat([b, pd.DataFrame({c: pd.Series(dtype=float) for c in names})], axis=1)
-        made = frame_indicators(b, name == "1d")
-        return pd.concat([b, pd.DataFrame({f"{k}_{name}": x for k, x in made.items()}, index=b.index)], axis=1)
-
-    return bars.groupBy("pair").applyInPandas(run, schema)
+def frame_columns(bars: pd.DataFrame, micros: np.ndarray, closed_bars_only: bool = False) -> dict[str, np.ndarray]:
+    """The columns of ``MTF`` for one pair's hourly bars, ascending in time; 0 where there are too few bars."""
+    out = {}
+    for name, width in WIDTHS.items():
+        key = micros // width
+        first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.zeros(0, int)
+        if len(bars) < LEAST_ROWS or len(first) < LEAST_BARS[name]:
+            out |= {f"{c}_{name}": np.zeros(len(bars)) for c in (*OHLCV, *INDICATORS)}
+            continue
+        o, h, lo, c, v = (bars[k].to_numpy(float) for k in OHLCV)
+        end = np.append(first[1:], len(bars)) - 1
+        made = {"open": o[first], "high": np.maximum.reduceat(h, first), "low": np.minimum.reduceat(lo, first), "close": c[end], "volume": np.add.reduceat(v, first)}
+        made |= frame_indicators(pd.DataFrame(made), name == "1d")
+        wanted = key - closed_bars_only
+        at = np.minimum(np.searchsorted(key[first], wanted), len(first) - 1)
+        there = key[first][at] == wanted
+        out |= {f"{k}_{name}": np.where(there, x[at], 0.0) for k, x in made.items()}
+    return out
 
 
 def multi_timeframe(df: DataFrame, p: object = None, closed_bars_only: bool = False) -> DataFrame:
@@ -82,19 +88,9 @@ def multi_timeframe(df: DataFrame, p: object = None, closed_bars_only: bool = Fa
 
     A row gets the values of the bar that encloses it, which includes later hours; with
     ``closed_bars_only`` those of the bar before, which was known. Missing values are 0. Indicators are
-    computed on bars that have rows; ``complete_grid`` gives the others.
+    computed on bars that have rows; ``complete_grid`` gives the others. One grouped pass resamples,
+    computes and hands back, so that no bar is joined.
     """
-    slim = df.select("pair", "timestamp_utc", "open", "high", "low", "close", "volume")
-    out = df
-    kind = dict(df.dtypes)["timestamp_utc"]
-    for name, width in FRAMES.items():
-        rows = slim.groupBy("pair").count().where(F.col("count") >= LEAST_ROWS).select("pair")
-        bars = frame_features(resample(slim.join(rows, "pair", "left_semi"), width), name).drop("rows")
-        values = [c for c in bars.columns if c not in ("pair", "timestamp_utc")]
-        renamed = bars.select("pair", F.col("timestamp_utc").alias("__bar"), *(F.col(c).alias(c if c.endswith(name) else f"{c}_{name}") for c in values))
-        if closed_bars_only:
-            renamed = renamed.withColumn("__bar", (F.col("__bar") + F.expr(f"interval {width}")).cast(kind))
-        at = F.window("timestamp_utc", width).start.cast(kind)
-        out = out.withColumn("__bar", at).join(renamed, ["pair", "__bar"], "left").drop("__bar")
-        out = out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in renamed.columns if c not in ("pair", "__bar")})
-    return out
+    from .recursive import grouped_pass
+
+    return grouped_pass(df, p, MTF, closed_bars_only)

@@ -12,124 +12,19 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.params import Params
 
+from .kernels import entropy, ewm, hurst, over, parabolic_sar, rsi, step, true_range, wilder
+from .multi_timeframe import MTF, frame_columns
+
 MOMENTUM = ("rsi_1h", "rsi_slope_1h", "macd_slope_1h", "macd_hist_slope_1h", "tsi", "ppo")
 VOLATILITY = ("atr_1h", "normalized_atr_14", "keltner_channel_width", "chaikin_volatility", "parabolic_sar_1h")
 VOLUME = ("klinger_oscillator", "volume_oscillator", "volume_zone_oscillator")
 STATISTICAL = ("hurst_exponent", "shannon_entropy")
 COLUMNS = (*MOMENTUM, *VOLATILITY, *VOLUME, *STATISTICAL)
-#: Windows that are evaluated at once.
-CHUNK = 4096
-
-
-def ewm(x: np.ndarray, span: float) -> np.ndarray:
-    """y0 = x0, then y = a x + (1 - a) y before, with a = 2 / (span + 1)."""
-    return pd.Series(x).ewm(span=span, adjust=False).mean().to_numpy()
-
-
-def wilder(x: np.ndarray, n: int, seed_at: int, fill: float) -> np.ndarray:
-    """A mean of n values seeded at row ``seed_at`` with those up to it, then y = ((n - 1) y + x) / n."""
-    out = np.full(len(x), fill)
-    if len(x) > seed_at:
-        seeded = np.concatenate([[x[seed_at - n + 1 : seed_at + 1].mean()], x[seed_at + 1 :]])
-        out[seed_at:] = pd.Series(seeded).ewm(alpha=1 / n, adjust=False).mean().to_numpy()
-    return out
-
-
-def rsi(close: np.ndarray, n: int = 14) -> np.ndarray:
-    """Wilder's RSI from row n on, 50 before; 100 where there is no loss."""
-    if len(close) <= n:
-        return np.full(len(close), 50.0)
-    d = np.diff(close, prepend=close[0])
-    up, down = wilder(np.maximum(d, 0), n, n, 0.0), wilder(np.maximum(-d, 0), n, n, 0.0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        out = np.where(down > 0, 100 - 100 / (1 + up / down), 100.0)
-    out[:n] = 50.0
-    return out
-
-
-def true_range(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> np.ndarray:
-    before = np.concatenate([close[:1], close[:-1]])
-    out = np.maximum(high - low, np.maximum(abs(high - before), abs(low - before)))
-    out[:1] = (high - low)[:1]
-    return out
-
-
-def step(x: np.ndarray, k: int = 1) -> np.ndarray:
-    """(x - x k rows before) / k, 0 in the first k rows."""
-    out = np.zeros(len(x))
-    out[k:] = (x[k:] - x[:-k]) / k
-    return out
-
-
-def over(a: np.ndarray, b: np.ndarray, ok: np.ndarray) -> np.ndarray:
-    return np.divide(a, b, out=np.zeros(len(a)), where=ok)
-
-
-def parabolic_sar(high: np.ndarray, low: np.ndarray, close: np.ndarray, start: float, inc: float, most: float) -> np.ndarray:
-    """Stop-and-reverse: a state of stop, extreme, acceleration and direction."""
-    n = len(close)
-    out = np.zeros(n)
-    if n < 2:
-        return out
-    rising = close[1] > close[0]
-    stop, extreme = (low[0], high[0]) if rising else (high[0], low[0])
-    pace, out[0] = start, stop
-    for i in range(1, n):
-        stop += pace * (extreme - stop)
-        j = max(i - 2, 0)
-        stop = min(stop, low[i - 1], low[j]) if rising else max(stop, high[i - 1], high[j])
-        if low[i] < stop if rising else high[i] > stop:
-            rising, stop, pace = not rising, extreme, start
-            extreme = high[i] if rising else low[i]
-        elif high[i] > extreme if rising else low[i] < extreme:
-            extreme, pace = (high[i] if rising else low[i]), min(pace + inc, most)
-        out[i] = stop
-    return out
-
-
-def _windows(close: np.ndarray, n: int):
-    """(first row, log returns of the n closes before each row) in chunks of rows, from row n on."""
-    r = np.diff(np.log(np.maximum(close, 1e-8)))
-    if len(close) > n:
-        view = np.lib.stride_tricks.sliding_window_view(r[: len(close) - 2], n - 1)
-        for at in range(0, len(view), CHUNK):
-            yield at + n, view[at : at + CHUNK]
-
-
-def hurst(close: np.ndarray, n: int, max_lag: int) -> np.ndarray:
-    """Half the slope of log RMS lagged difference on log lag, within [0, 1]; 0.5 if there is no slope, 0 before row n."""
-    if len(close) < n:
-        return np.full(len(close), 0.5)
-    out = np.zeros(len(close))
-    for at, r in _windows(close, n):
-        y = np.column_stack([np.sqrt(np.mean((r[:, k:] - r[:, :-k]) ** 2, axis=1)) for k in range(1, max_lag + 1)])
-        ok = y > 1e-12  # less is rounding of equal returns
-        x = np.where(ok, np.log(np.arange(1, max_lag + 1.0)), 0.0)
-        y = np.where(ok, np.log(np.where(ok, y, 1.0)), 0.0)
-        m = ok.sum(axis=1)
-        mean = lambda a, m=m: (a.sum(axis=1) / np.maximum(m, 1))[:, None]
-        dx = np.where(ok, x - mean(x), 0.0)
-        dy = np.where(ok, y - mean(y), 0.0)
-        size = (dx * dx).sum(axis=1)
-        slope = over((dx * dy).sum(axis=1), size, size > 0)
-        out[at : at + len(r)] = np.where((m > 1) & (size > 0), np.clip(slope / 2, 0.0, 1.0), 0.5)
-    return out
-
-
-def entropy(close: np.ndarray, n: int, bins: int) -> np.ndarray:
-    """Shannon entropy (nats) of the returns' histogram of equal bins from least to greatest; 0 before row n."""
-    out = np.zeros(len(close))
-    for at, r in _windows(close, n):
-        low = r.min(axis=1, keepdims=True)
-        width = np.maximum(r.max(axis=1, keepdims=True) - low, 1e-8)
-        place = np.clip(((r - low) / width * bins).astype(int), 0, bins - 1)
-        share = np.stack([(place == b).sum(axis=1) for b in range(bins)]) / r.shape[1]
-        out[at : at + len(r)] = -(share * np.log(np.where(share > 0, share, 1.0))).sum(axis=0)
-    return out
 
 
 def recursive_columns(bars: pd.DataFrame, p: Params) -> dict[str, np.ndarray]:
@@ -170,18 +65,32 @@ def recursive_columns(bars: pd.DataFrame, p: Params) -> dict[str, np.ndarray]:
     }
 
 
-def recursive(df: DataFrame, p: Params | None = None, columns: tuple = COLUMNS) -> DataFrame:
-    """``df`` with the recursive ``columns``; every other column passes through.
+def grouped_pass(df: DataFrame, p: Params | None, columns: tuple, closed_bars_only: bool = False) -> DataFrame:
+    """``df`` with ``columns``, recursive ones and those of higher frames; every other column passes through.
 
     After window features of the same pair the rows are already dealt and sorted: no further shuffle.
     """
     p = p or Params()
     kept = [c for c in df.columns if c not in columns]
     schema = T.StructType([*df.select(*kept).schema.fields, *(T.StructField(c, T.DoubleType()) for c in columns)])
+    zoned = dict(df.dtypes)["timestamp_utc"] == "timestamp"
+    higher = any(c in MTF for c in columns)
 
     def run(bars: pd.DataFrame) -> pd.DataFrame:
         bars = bars.sort_values("timestamp_utc", kind="stable")
-        made = recursive_columns(bars, p)
+        made = recursive_columns(bars, p) if any(c in COLUMNS for c in columns) else {}
+        if higher:
+            # A zoned time arrives in the session's zone; frames are cut in UTC.
+            micros = bars.pop("__micros").to_numpy() if zoned else bars["timestamp_utc"].to_numpy("datetime64[us]").astype(np.int64)
+            made |= frame_columns(bars, micros, closed_bars_only)
         return pd.concat([bars, pd.DataFrame({k: made[k] for k in columns}, index=bars.index)], axis=1)
 
-    return df.select(*kept).groupBy("pair").applyInPandas(run, schema)
+    rows = df.select(*kept)
+    if higher and zoned:
+        rows = rows.withColumn("__micros", F.unix_micros("timestamp_utc"))
+    return rows.groupBy("pair").applyInPandas(run, schema)
+
+
+def recursive(df: DataFrame, p: Params | None = None, columns: tuple = COLUMNS) -> DataFrame:
+    """``df`` with the recursive ``columns``."""
+    return grouped_pass(df, p, columns)

@@ -288,3 +288,6 @@ SQL["chart_window"] = q(BARS, f"SELECT {rounded('open', 'high', 'low', 'close',
 SQL["report_reader"] = q(ISSUES, """SELECT pair, "column", issues, candles, 'check for zero volumes and repeated bars' AS hint FROM iss WHERE issues > 0 AND issue_type = 'null_values'""")
 SQL["performance"] = q(BARS + """, tr AS (SELECT pair, timestamp_utc, least((close / open - 1) / 10, 0.5) AS r FROM candles WHERE open > 0), g AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY pair ORDER BY timestamp_utc ROWS UNBOUNDED PRECEDING)) AS cap FROM tr),
   pk AS (SELECT *, greatest(1, max(cap) OVER (PARTITION BY pair ORDER BY timestamp_utc ROWS UNBOUNDED PRECEDING)) AS peak FROM g)""", """SELECT pair, count(*) AS trades, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END), 6) AS win_rate, 1.0::DOUBLE AS mean_hours, round(avg(r) / stddev_samp(r), 6) AS sharpe, round(max(1 - cap / peak), 6) AS max_drawdown, round(sum(ln(1 + r)), 6) AS log_growth FROM pk GROUP BY pair""")
+
+_ALL = ("price_action", "momentum", "volatility", "volume", "statistical", "pattern", "calendar", "labels", "momentum_recursive", "volatility_recursive", "volume_recursive", "multi_timeframe", "cross_pair")
+SQL["full_backfill"] = "SELECT * FROM " + " JOIN ".join(f"({SQL[n]})" + ("" if k == 0 else " USING (pair, timestamp_utc)") for k, n in enumerate(_ALL))

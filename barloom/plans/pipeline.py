@@ -1,7 +1,7 @@
 """The registry of feature groups, and full and rolling computation over all pairs at once.
 
-Window groups share one shuffle and sort on the pair; the recursive pass follows on the same dealing;
-higher frames join on the bar; cross-section ranks take the second shuffle, on time.
+Window groups share one shuffle and sort on the pair; one grouped Arrow pass on the same dealing computes
+recursive columns and higher frames; cross-section ranks take the second shuffle, on time.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from barloom.functions.frames import numbered
 from barloom.operators import features
 from barloom.operators.cross_pair import cross_pair
-from barloom.operators.multi_timeframe import multi_timeframe
-from barloom.operators.recursive import recursive
+from barloom.operators.multi_timeframe import MTF, multi_timeframe
+from barloom.operators.recursive import COLUMNS, grouped_pass, recursive
 from barloom.params import Params
 from barloom.sources.candles import latest
 
@@ -35,6 +35,8 @@ GROUPS: dict[str, Group] = {
     "multi_timeframe": multi_timeframe,
     "cross_pair": cross_pair,
 }
+#: Groups that are grouped Arrow passes, and their columns.
+PASSES = {"recursive": (recursive, COLUMNS), "multi_timeframe": (multi_timeframe, MTF)}
 NEEDS = {"statistical": {"price_action"}, "cross_pair": {"price_action", "labels", "recursive"}}
 
 
@@ -54,12 +56,17 @@ def compute_features(bars: DataFrame, params: Params | None = None, groups: list
     for name in list(wanted):
         wanted |= NEEDS.get(name, set())
     df = numbered(bars)
+    grouped = [name for name in PASSES if name in wanted and GROUPS[name] is PASSES[name][0]]
     for name, group in GROUPS.items():
-        if name in wanted:
-            before = set(df.columns)
+        if name not in wanted or name in grouped[1:]:
+            continue
+        before = set(df.columns)
+        if name in grouped:  # all grouped passes as one
+            df = grouped_pass(df, params, tuple(c for g in grouped for c in PASSES[g][1]))
+        else:
             df = group(df, params)
-            if added is not None:
-                added |= {c: name for c in df.columns if c not in before}
+        if added is not None:
+            added |= {c: next((g for g in grouped if name in grouped and c in PASSES[g][1]), name) for c in df.columns if c not in before}
     return df.drop("__i", "__n")
 
 

@@ -329,6 +329,11 @@ def q_performance(spark, sf_dir):
     return out.select("pair", "trades", *(F.round(c, 6).alias(c) for c in ("win_rate", "mean_hours", "sharpe", "max_drawdown")), F.round(F.log(1 + F.col("net_return")), 6).alias("log_growth"))
 
 
+def q_full_backfill(spark, sf_dir):
+    """All feature groups of all bars in one plan."""
+    return tidy(compute_features(candles.hourly(spark, sf_dir), PARAMS).drop(*RAW))
+
+
 def q_top_width(spark, sf_dir):
     """The ten widest Bollinger bands of each pair."""
     df = features.volatility(numbered(candles.hourly(spark, sf_dir)))
@@ -392,6 +397,7 @@ QUERIES = {
     "rolling_update": q_rolling_update,
     "streaming_candles": q_streaming_candles,
     "top_width": q_top_width,
+    "full_backfill": q_full_backfill,
     "parse_trades": q_parse_trades,
     "new_trades": q_new_trades,
     "premium_history": q_premium_history,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from barloom.functions import frames
-from barloom.operators import features, gaps, joins, recursive, upsert
+from barloom.operators import features, gaps, joins, kernels, recursive, upsert
 from barloom.operators.cross_pair import percent_rank_of
 from barloom.operators.multi_timeframe import complete_grid, multi_timeframe, resample
 from barloom.oracles.sql import SQL
@@ -83,7 +83,7 @@ def test_recursive_columns_against_loops(spark):
     for x in d[14:]:
         up, down = (13 * up + max(x, 0)) / 14, (13 * down + max(-x, 0)) / 14
     assert got["rsi_1h"][-1] == pytest.approx(100 - 100 / (1 + up / down))
-    tr = recursive.true_range(c + 1, c - 1, c)
+    tr = kernels.true_range(c + 1, c - 1, c)
     atr = tr[:14].mean()
     assert got["atr_1h"][12] == 0 and got["atr_1h"][13] == pytest.approx(atr)
     e12 = e26 = c[0]
@@ -94,7 +94,7 @@ def test_recursive_columns_against_loops(spark):
     y = [np.log(np.sqrt(np.mean((r[k:] - r[:-k]) ** 2))) for k in range(1, 21)]
     slope = np.polyfit(np.log(np.arange(1, 21)), y, 1)[0]
     assert got["hurst_exponent"][105] == pytest.approx(min(1, max(0, slope / 2))) and got["hurst_exponent"][99] == 0
-    assert (recursive.hurst(c[:99], 100, 20) == 0.5).all()
+    assert (kernels.hurst(c[:99], 100, 20) == 0.5).all()
     for n in (0, 1, 2, 13, 14, 15, 20, 21):
         short = recursive.recursive_columns(df.iloc[:n], Params())
         assert all(len(v) == n and np.isfinite(v).all() for v in short.values())
@@ -133,7 +133,7 @@ def test_label_tails(spark):
 
 
 def test_no_second_shuffle_for_window_and_recursive_groups(spark):
-    df = pipeline.compute_features(bars(spark, walk(30)), groups=["price_action", "volatility", "volume", "labels", "recursive"])
+    df = pipeline.compute_features(bars(spark, walk(30)), groups=["price_action", "volatility", "volume", "labels", "recursive", "multi_timeframe"])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
@@ -265,7 +265,7 @@ def test_stateful_mean_over_micro_batches(spark, tmp_path):
     q = ewm_stream(s).writeStream.format("memory").queryName("means").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     got = [r.ewm for r in spark.table("means").orderBy("timestamp_utc").collect()]
-    assert np.allclose(got, recursive.ewm(np.array(c), 12))
+    assert np.allclose(got, kernels.ewm(np.array(c), 12))
 
 
 def test_affected_tail(spark):
