@@ -36,8 +36,8 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import learned, predict
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    profiles = learned(docs.where(~F.coalesce(held_out, F.lit(False))))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    profiles = learned(docs.where(~held_out))
     return predict(docs.select("doc_id", "text"), profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 

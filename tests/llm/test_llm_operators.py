@@ -83,7 +83,6 @@ def test_trie_join_with_split_nodes(spark, node_rows):
     signed = [v - (1 << 64) if v >> 63 else v for v in vals]
     df = spark.createDataFrame([(v,) for v in signed], "fingerprint long")
     edges = [(p % (1 << 64), q % (1 << 64)) for p, q in simhash.links(df, node_rows=node_rows).collect()]
-    assert all(bin(p ^ q).count("1") <= 2 or True for p, q in edges)
     parent = {v: v for v in vals}
 
     def root(v):
