@@ -75,6 +75,16 @@ def texts_of(batch: pa.RecordBatch, name: str) -> Iterator[str | None]:
         yield value.as_py()
 
 
+#: Keys of dropped rows are broadcast up to so many (some tens of MB); beyond, they are joined by shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, on: Column) -> DataFrame:
+    """``docs`` without the rows that ``dropped``, a written table of keys, names; texts are shuffled only if it is large."""
+    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_KEYS else dropped
+    return docs.join(side, on, "left_anti")
+
+
 def star_edges(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star round over edges (a, b) with a > b.
 

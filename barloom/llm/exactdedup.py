@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, materialize, without
 
 #: Bytes of distinct text in a bucket before it splits.
 BUCKET_BYTES = 8 << 20
@@ -61,7 +61,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     deepest = index.agg(F.max("deepest")).first()[0] or 0
     placed = norm.select("doc_id", "norm", F.xxhash64("norm").alias("h")).withColumn("cell", _cell(deepest)).join(F.broadcast(index.select("cell", "bucket")), "cell")
     heads = placed.groupBy("bucket", "h", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    heads = materialize(heads.select("bucket", "h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"), "hash-index")
+    heads = heads.select("bucket", "h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
+    # Each owner task writes whole buckets, in order of hash; these rows are small and one a distinct text.
+    heads = materialize(heads.repartition("bucket").sortWithinPartitions("bucket", "h"), "hash-index")
     return entries.join(heads, ["h", "text_sha256"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
@@ -72,13 +74,13 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ids count as the smallest. Of rows that repeat the keeping id, one stays.
     """
     found = materialize(exact_duplicates(docs, id_col, text_col, **kw), "exact-groups")
-    named = found.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"), "kept")
+    named = found.select(F.col("doc_id").alias("__id"), F.xxhash64("text_sha256").alias("__digest"), "kept")
     dropped = materialize(named.where(~F.col("kept")).select("__id", "__digest").distinct(), "exact-copies")
     repeated = materialize(named.where("kept").groupBy("__id", "__digest").count().where("count > 1").drop("count"), "exact-repeats")
-    keyed = docs.withColumn("__text_digest", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    keyed = docs.withColumn("__text_digest", F.xxhash64(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)))
     same = lambda side: F.col(id_col).eqNullSafe(side["__id"]) & (F.col("__text_digest") == side["__digest"])
-    out = keyed.join(dropped, same(dropped), "left_anti")
+    out = without(keyed, dropped, same(dropped))
     if not repeated.isEmpty():
         once = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, "__text_digest"])
-        out = out.join(repeated, same(repeated), "left_anti").unionByName(once)
+        out = without(out, repeated, same(repeated)).unionByName(once)
     return out.select(*docs.columns)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_batches, materialize, texts_of
+from .common import connected_components, map_batches, materialize, texts_of, without
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -221,4 +221,4 @@ def drop_near_duplicates(docs: DataFrame, **kw) -> DataFrame:
     """
     found = near_duplicates(docs, **kw)
     dropped = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(dropped, "doc_id", "left_anti")
+    return without(docs, dropped, docs[kw.get("id_col", "doc_id")] == dropped["doc_id"])
