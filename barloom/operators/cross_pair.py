@@ -15,9 +15,10 @@ def percent_rank_of(c: Column | str, positive_only: bool = True) -> Column:
     One row: 50. If no value is above 0 and ``positive_only``: 50.
     """
     c = F.col(c) if isinstance(c, str) else c
-    order, ties = at_time().orderBy(c), at_time().partitionBy("timestamp_utc", c)
     n = F.count(F.lit(1)).over(at_time())
-    place = F.rank().over(order) - 1 + (F.count(F.lit(1)).over(ties) - 1) / 2
+    # The first and the last place of a tie, from both ends: both windows are dealt by time alone.
+    up, down = F.rank().over(at_time().orderBy(c.asc_nulls_first())), F.rank().over(at_time().orderBy(c.desc_nulls_last()))
+    place = (up + n - down - 1) / 2
     rank = F.when(n == 1, 50.0).otherwise(100 * place / (n - 1))
     if positive_only:
         rank = F.when(F.max(c).over(at_time()) > 0, rank).otherwise(50.0)
@@ -58,8 +59,7 @@ def cross_pair(df: DataFrame, p: Params | None = None) -> DataFrame:
     cov, vx, vy = F.covar_pop(x, y).over(prior), F.var_pop(x).over(prior), F.var_pop(y).over(prior)
     full = F.count(F.lit(1)).over(prior) == q.correlation
     corr = F.when(F.col("__base").isNotNull() & full & (vx > 1e-18) & (vy > 1e-18), cov / F.sqrt(vx * vy))
-    df = df.withColumns({
-        "btc_corr_24h": F.when(F.col("pair") == q.btc, 1.0).otherwise(F.coalesce(corr, F.lit(0.0))),
-        "prev_volume_rank": F.coalesce(F.lag("volume_rank_1h").over(by_pair()), F.lit(0)).cast("double"),
-    })
+    # The window on the pair comes first: the finer one below is then served by the same dealing.
+    df = df.withColumn("prev_volume_rank", F.coalesce(F.lag("volume_rank_1h").over(by_pair()), F.lit(0)).cast("double"))
+    df = df.withColumn("btc_corr_24h", F.when(F.col("pair") == q.btc, 1.0).otherwise(F.coalesce(corr, F.lit(0.0))))
     return df.drop("__btc", "__eth", "__base")

@@ -138,6 +138,12 @@ def test_no_second_shuffle_for_window_and_recursive_groups(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_full_plan_has_one_shuffle_for_each_dealing(spark):
+    plan = QUERIES["full_backfill"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # The bars' aggregation, the pair, the time, and the pair again.
+    assert plan.count("Exchange hashpartitioning") == 4
+
+
 def test_ranks_with_ties(spark):
     rows = [(p, T0, v) for p, v in (("a", 1.0), ("b", 2.0), ("c", 2.0), ("d", 3.0), ("e", 9.0))] + [("a", T0 + timedelta(hours=1), 4.0), ("a", T0 + timedelta(hours=2), 0.0), ("b", T0 + timedelta(hours=2), -1.0)]
     df = spark.createDataFrame(rows, "pair string, timestamp_utc timestamp, v double").withColumn("r", percent_rank_of("v"))
