@@ -8,7 +8,7 @@ their border. The work is linear in the word's length, with no merge loop.
 
 The vocabulary file is that of a word-level tokenizer: NFC, lower case, white space dropped, a
 suffix on a word's last symbol, special tokens found in the raw text. Its path is a parameter; it is
-distributed to tasks by reading it in each Python worker, from the driver's bytes (a few MB).
+read on the driver and broadcast (a few MB, whatever the corpus); each Python worker builds its tables once.
 """
 
 from __future__ import annotations
@@ -18,22 +18,52 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import ahocorasick
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import with_fields
 
 #: Words whose ids a worker remembers, and the longest of them. Only speed depends on these.
-CACHE_WORDS, CACHE_CHARS = 300_000, 40
+CACHE_WORDS, CACHE_CHARS = 150_000, 40
 #: Unicode White_Space, which the file's pattern excludes from words.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
 
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+@lru_cache(8)
+def ranges(pattern: str) -> list[tuple[int, int]]:
+    """Runs of code points that one character of ``pattern`` matches.
+
+    The tokenizer library's own pattern engine is asked, as its Unicode version is not Python's.
+    """
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out: list[tuple[int, int]] = []
+    for run, _ in pre_tokenizers.Split(Regex(f"{pattern}+"), "removed", invert=True).pre_tokenize_str(every):
+        lo, hi = ord(run[0]), ord(run[-1])
+        out += [(lo, hi)] if hi - lo + 1 == len(run) else [(lo, 0xD7FF), (0xE000, hi)]
+    return out
+
+
+def inside(runs: list[tuple[int, int]], most: int) -> str:
+    """The inside of a character set with the runs' code points up to ``most``."""
+    return "".join(f"\\U{lo:08x}-\\U{min(hi, most):08x}" for lo, hi in runs if lo <= most)
+
+
+def late_capitals() -> dict[int, str]:
+    """Lower case of characters that the library knows and this Python's tables do not."""
+    low = normalizers.Lowercase()
+    new = (chr(c) for c in range(0x20000) if unicodedata.category(chr(c)) == "Cn")
+    return {ord(c): x for c in new if (x := low.normalize_str(c)) != c}
+
+
 def byte_letters() -> list[str]:
     """The printable letter that byte-level vocabularies write for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -65,8 +95,9 @@ class Known(dict):
 class WordBpe:
     """A vocabulary with its merge ranks. Pickles as the file's text; tables are built where used."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, letters: list | None = None, numbers: list | None = None):
         self.source = source
+        self.letters, self.numbers = letters or ranges(r"\p{L}"), numbers or ranges(r"\p{N}")
         spec = json.loads(source)
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -90,16 +121,19 @@ class WordBpe:
                 key = self._closed(text[: -len(self.suffix)]) if self.suffix and text.endswith(self.suffix) and text != self.suffix else text
                 self.matcher.add_word(key, (i, len(key)))
         self.matcher.make_automaton()
-        special = "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))
-        self.split_special = regex.compile(f"({special})") if special else None
-        self.any_words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+        special = "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True))
+        self.split_special = re.compile(f"({special})") if special else None
+        # Small sets are looked up at once; runs beyond the first plane are tried one by one.
+        self.latin_words, self.plane_words, self.any_words = (self.pattern(most) for most in (0xFF, 0xFFFF, 0x10FFFF))
+        self.late = late_capitals()
+        self.late_any = re.compile(f"[{''.join(map(chr, self.late))}]") if self.late else None
         self.ascii_words = re.compile(rf"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^{SPACE}a-z0-9]+", re.ASCII)
         self.spelt = {str(i): t for i, t in self.token.items()}
         self.known = Known(lambda w: " ".join(map(str, self.encode_word(w))))
         self.fits: dict[tuple[int, int], bool] = {}
 
     def __reduce__(self):
-        return type(self), (self.source,)
+        return type(self), (self.source, self.letters, self.numbers)
 
     @classmethod
     def load(cls, path: str) -> WordBpe:
@@ -130,7 +164,7 @@ class WordBpe:
                 before, a = ra, self.parts[a][1]
             else:
                 before, b = rb + 1, self.parts[b][0]
-        if len(self.fits) >= 1 << 20:
+        if len(self.fits) >= 1 << 18:
             self.fits.clear()
         self.fits[left, right] = ok
         return ok
@@ -160,13 +194,22 @@ class WordBpe:
         """The words of a stretch without special tokens."""
         if part.isascii():
             return self.ascii_words.findall(part.lower())
-        if not unicodedata.is_normalized("NFC", part):
-            part = unicodedata.normalize("NFC", part)
-        return self.any_words.findall(self.lower(part))
-
-    @staticmethod
-    def lower(text: str) -> str:
+        try:
+            part.encode("latin-1")  # such a text is composed already and stays in this range
+        except UnicodeEncodeError:
+            part = self.lower(unicodedata.normalize("NFC", part))
+            return (self.any_words if ASTRAL.search(part) else self.plane_words).findall(part)
+        return self.latin_words.findall(part.lower())
+
+    def pattern(self, most: int) -> re.Pattern:
+        """The file's word pattern, for texts without code points above ``most``."""
+        x, n = inside(self.letters, most), inside(self.numbers, most)
+        return re.compile(rf"[{x}]+|'s|'t|'re|'ve|'m|'ll|'d|[{n}]|[^{SPACE}{x}{n}]+")
+
+    def lower(self, text: str) -> str:
         """Lower case of each character by itself: no final sigma."""
+        if self.late_any and self.late_any.search(text):
+            text = text.translate(self.late)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
     def encode(self, text: str | None) -> str:
@@ -198,19 +241,23 @@ class WordBpe:
 _LOADED: dict[int, WordBpe] = {}
 
 
-def _worker(source: bytes) -> WordBpe:
+def _worker(parts: tuple) -> WordBpe:
     """The vocabulary's tables, built once in each Python worker."""
-    key = hash(source)
+    key = hash(parts[0])
     if key not in _LOADED:
-        _LOADED[key] = WordBpe(source.decode("utf-8"))
+        _LOADED[key] = WordBpe(*parts)
     return _LOADED[key]
 
 
-def _append(df: DataFrame, col: str, new: str, source: bytes, fn, kind: str) -> DataFrame:
+def _shared(df: DataFrame, vocabulary: str):
+    """The file's text and the character runs (a few MB, fixed by the file), broadcast."""
+    return df.sparkSession.sparkContext.broadcast((Path(vocabulary).read_text(encoding="utf-8"), ranges(r"\p{L}"), ranges(r"\p{N}")))
+
+
+def _append(df: DataFrame, col: str, new: str, vocabulary: str, fn, kind: str) -> DataFrame:
     kept = [c for c in df.columns if c != new]
     place = kept.index(col)
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(source)
+    shared = _shared(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker(shared.value)
@@ -227,12 +274,12 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", to: str = "
 
     A null or empty text has the empty string. A column that is already named ``to`` is replaced.
     """
-    return _append(docs, text_col, to, Path(vocabulary).read_bytes(), lambda bpe, v: bpe.encode(v), "string")
+    return _append(docs, text_col, to, vocabulary, lambda bpe, v: bpe.encode(v), "string")
 
 
 def decode(docs: DataFrame, vocabulary: str, ids_col: str = "token_ids", to: str = "decoded") -> DataFrame:
     """``docs``'s columns with ``to``: the tokens of space-joined ids, joined by one space. Null as empty."""
-    return _append(docs, ids_col, to, Path(vocabulary).read_bytes(), lambda bpe, v: bpe.decode(v or ""), "string")
+    return _append(docs, ids_col, to, vocabulary, lambda bpe, v: bpe.decode(v or ""), "string")
 
 
 def digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,7 +289,7 @@ def digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     leave it. Repeated rows repeat, other columns are not read.
     """
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
+    shared = _shared(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker(shared.value)

@@ -113,6 +113,8 @@ def sample_table(data: bytes) -> dict:
     scale, duration = struct.unpack_from(">IQ", view, body + 20) if view[body] == 1 else struct.unpack_from(">II", view, body + 12)
     codec = bytes(view[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16]).decode("latin-1")
     even, n = struct.unpack_from(">II", view, found[b"stsz"][0] + 4)
+    if even * n > len(view):
+        raise ValueError("samples are larger than the file")
     sizes = [even] * n if even else [x for (x,) in ints(b"stsz", "I", 8)]
     firsts = [x for (x,) in (ints(b"co64", "Q") if b"co64" in found else ints(b"stco", "I"))]
     runs = ints(b"stsc", "III")
@@ -121,6 +123,8 @@ def sample_table(data: bytes) -> dict:
         raise ValueError("time table and sizes disagree")
     samples, k = [], 0
     for r, (chunk, per, _) in enumerate(runs):
+        if chunk < 1:
+            raise ValueError("chunks count from 1")
         for c in range(chunk, runs[r + 1][0] if r + 1 < len(runs) else len(firsts) + 1):
             at = firsts[c - 1]
             for _ in range(min(per, n - k)):

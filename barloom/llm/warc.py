@@ -27,6 +27,8 @@ from .common import materialize
 ARCHIVE_BYTES = 4 << 20
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
+#: What a cell of a Spark row can hold; a member that inflates beyond it is quarantined.
+CELL_BYTES = (1 << 31) - (1 << 20)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 ID = "urn:x-page:"
@@ -105,7 +107,7 @@ def inflate(data: bytes, at: int) -> tuple[bytes, int]:
     """The member at ``at``, inflated, and where it ends; ValueError if it is damaged or cut off."""
     z = zlib.decompressobj(31)
     try:
-        out = z.decompress(memoryview(data)[at:])
+        out = z.decompress(memoryview(data)[at:], CELL_BYTES)
     except zlib.error as e:
         raise ValueError(str(e)) from e
     if not z.eof:

@@ -3,18 +3,23 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from public_tokenizers import path
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from barloom.llm import bpe, common, exactdedup, langid, media, mixing, queries, secretscan, simhash, urlfilter, warc
 
 SF = "/root/testdata/sf0.001"
+OWN, LIB = bpe.WordBpe.load(path("word_bpe_49k.json")), Tokenizer.from_file(path("word_bpe_49k.json"))
 ODD = [None, "", " ", "\n\t", "a", "A b", "Ünï çôdé ẞ Σ İ", "x" * 70000, "w " * 30000, "\x1c\x85  ", "12 34", "!!!"]
 
 
@@ -108,10 +113,7 @@ def test_simhash_odd_rows(odd):
 
 
 def test_bpe_equals_the_library(spark, docs, odd):
-    from tokenizers import Tokenizer
-
-    lib = Tokenizer.from_file(path("word_bpe_49k.json"))
-    own = bpe.WordBpe.load(path("word_bpe_49k.json"))
+    lib, own = LIB, OWN
     draw = random.Random(1)
     letters = list("abcdeinth'st re  \t\n\x1c\x85 éßÜİΣσςǅ²½٣3中文😀é!?$.-_\x00\x7f") + ["<|endoftext|>", "<|startoftext|>", "'ll", "<|"]
     texts = ["".join(draw.choices(letters, k=draw.randint(0, 40))) for _ in range(3000)] + [t or "" for t in ODD] + ["ab" * 5000, "aaaa" * 5000]
@@ -356,6 +358,31 @@ def test_media_round_trip(odd, docs):
     assert all(r.error and r.codec is None for r in media.probe(bad).collect())
 
 
+@given(st.binary(max_size=400), st.integers(0, 5000), st.binary(min_size=1, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_readers_survive_any_bytes(noise, at, patch):
+    """Damaged containers give an error that ``probe`` reports; damaged archives lose only bytes of gaps."""
+    data = media.write_media(b"x" * 192 * 40)
+    at %= len(data) - len(patch)
+    for bad in (noise, data[:at] + patch + data[at + len(patch) :], data[:at]):
+        try:
+            table = media.sample_table(bad)
+            assert all(o + n <= len(bad) for o, n, _ in table["samples"])
+        except (ValueError, KeyError, IndexError, struct.error):
+            pass
+    recs = [warc.member(warc.record(i, "u", b"p%d" % i * 50, hashlib.sha1(b"p%d" % i * 50).hexdigest(), None)) for i in range(3)]
+    whole = recs[0] + noise + recs[1] + patch + recs[2]
+    found = list(warc.read_archive(whole))
+    assert {r["page_id"] for r in found if r["kind"] == "response"} == {0, 1, 2}
+    assert sum(r["length"] for r in found if r["kind"] == "gap") == len(noise) + len(patch)
+
+
+@given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=80))
+@settings(max_examples=300, deadline=None)
+def test_bpe_equals_the_library_on_any_text(text):
+    assert OWN.encode(text) == " ".join(map(str, LIB.encode(text, add_special_tokens=False).ids))
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline as p
 
