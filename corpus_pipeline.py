@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, exactdedup, langid, mixing, simhash
+from barloom.llm import bpe, exactdedup, langid, mixing, nearcopies
 from barloom.llm.common import materialize
 
 #: Kept columns, in order.
@@ -27,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints: that with the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs.select(COLUMNS)).select(COLUMNS)
+    """One document of each component of texts that share 0.8 of their five-word shingles: that with the smallest doc_id."""
+    return nearcopies.drop_near_copies(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
