@@ -157,8 +157,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     marks = slim.select("page_id", F.octet_length("html").alias("n"), F.sha2("html", 256).alias("digest")).where(F.col("n") >= revisit_bytes)
     marks = materialize(marks, "page-digests")
     heads = marks.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"))
-    revisits = marks.join(heads, ["digest", "n"]).where("page_id <> refers_to").select("page_id", "refers_to").distinct()
-    joined = slim.withColumn("sha1", F.sha1("html")).join(revisits, "page_id", "left")
+    revisits = marks.join(heads, ["digest", "n"]).where("page_id <> refers_to").select("page_id", "n", "digest", "refers_to").distinct()
+    keyed = slim.withColumns({"sha1": F.sha1("html"), "n": F.octet_length("html"), "digest": F.sha2("html", 256)})
+    joined = keyed.join(revisits, ["page_id", "digest", "n"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -1,10 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
-from barloom.llm import nearcopies
+from barloom.llm import nearcopies, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +69,11 @@ def test_pipeline_drops_near_copies_and_no_others(spark):
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(draw.choices(words, k=400)))]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in p.near_dedup(spark, docs, SF).collect()} == {1, 3}
+
+
+def test_warc_two_texts_under_one_id(spark):
+    rows = [(1, "a" * 1200), (1, "b" * 1300), (1, "short"), (2, "a" * 1200), (3, "b" * 1300), (4, "c" * 1100), (4, "a" * 1200)]
+    df = spark.createDataFrame([(i, f"http://x/{i}", t) for i, t in rows], "page_id long, url string, html string")
+    heads = {"a" * 1200: 4, "b" * 1300: 3, "c" * 1100: 4}
+    want = sorted((i, len(t), hashlib.sha1(t.encode()).hexdigest(), "response" if heads.get(t, i) == i else "revisit", None if heads.get(t, i) == i else heads[t]) for i, t in rows)
+    assert sorted(tuple(r) for r in warc.export_and_read(df).collect()) == want
