@@ -81,7 +81,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     block = head.get("warc-block-digest", "")
     if block.startswith("sha1:") and base64.b32encode(hashlib.sha1(data[start:end]).digest()).decode() != block[5:]:
         raise ValueError("block does not match its digest")
-    payload = None
+    checked, payload = block.startswith("sha1:"), None
     kind = head.get("warc-type", "")
     digest = head.get("warc-payload-digest", "")
     try:
@@ -95,12 +95,13 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
         payload = data[gap + 4 : end]
         if sha1 and hashlib.sha1(payload).hexdigest() != sha1:
             raise ValueError("payload does not match its digest")
+        checked = checked or bool(sha1)
 
     def number(key: str) -> int | None:
         m = re.fullmatch(rf"<?{ID}(-?\d+)>?", head.get(key, ""))
         return int(m[1]) if m else None
 
-    return {"kind": kind, "page_id": number("warc-record-id"), "uri": head.get("warc-target-uri"), "refers_to": number("warc-refers-to"), "digest": sha1, "payload": payload}, end + 4
+    return {"kind": kind, "page_id": number("warc-record-id"), "uri": head.get("warc-target-uri"), "refers_to": number("warc-refers-to"), "digest": sha1, "payload": payload, "checked": checked}, end + 4
 
 
 def inflate(data: bytes, at: int) -> tuple[bytes, int]:
@@ -115,36 +116,110 @@ def inflate(data: bytes, at: int) -> tuple[bytes, int]:
     return out, len(data) - len(z.unused_data)
 
 
+def inflate_prefix(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """What can be inflated of the damaged or cut member at ``at``, where that stops, and whether it was cut only."""
+    z, out, size, step = zlib.decompressobj(31), [], 0, 1 << 16
+    view = memoryview(data)
+    while at < len(data) and size < CELL_BYTES and not z.eof:
+        before = z.copy()
+        try:
+            part = z.decompress(view[at : at + step], CELL_BYTES - size)
+        except zlib.error:
+            if step == 1:
+                return b"".join(out), at, False
+            z, step = before, step // 2
+            continue
+        out.append(part)
+        size += len(part)
+        at = min(at + step, len(data)) - len(z.unconsumed_tail)
+    return b"".join(out), at, True
+
+
+def inner_records(inner: bytes, checked_only: bool = False) -> tuple[list[dict], list[tuple[int, int, str]]]:
+    """Valid records of an inflated member, and (start, end, reason) of the bytes that none covers.
+
+    checked_only leaves out records that no digest vouches for.
+    """
+    found, lost, place, bad, why = [], [], 0, None, ""
+    while place < len(inner):
+        try:
+            rec, end = parse_record(inner, place)
+            if checked_only and not rec["checked"]:
+                raise ValueError("no digest vouches for a record of a damaged member")
+        except ValueError as e:
+            if bad is None:
+                bad, why = place, str(e)
+            place = inner.find(VERSION, place + 1)
+            if place < 0:
+                break
+            continue
+        if bad is not None:
+            lost.append((bad, place, why))
+            bad = None
+        found.append(rec)
+        place = end
+    if bad is not None:
+        lost.append((bad, len(inner), why))
+    return found, lost
+
+
 def read_archive(data: bytes) -> Iterator[dict]:
-    """Records in order, and a row of kind ``gap`` for each stretch of bytes that no valid record covers."""
+    """Records in order, and a row of kind ``gap`` for each stretch of bytes that no valid record covers.
+
+    Of a whole member with bad records the good ones are kept; a gap in it has the member's offset, length 0
+    and its inflated bytes in the reason. Of a cut or damaged member the records before the fault are kept,
+    and a gap runs from the fault to the next valid place.
+    """
     at, bad, why = 0, None, ""
+    kept: tuple | None = None  # a damaged member's records, its offset and where inflating stopped
+
+    def closed(to: int) -> Iterator[dict]:
+        start = bad
+        if kept is not None:
+            found, first, stop = kept
+            if first > bad:
+                yield {"kind": "gap", "offset": bad, "length": first - bad, "reason": why}
+            start = min(stop, to)
+            for rec in found:
+                yield rec | {"offset": first, "length": start - first}
+        yield {"kind": "gap", "offset": start, "length": to - start, "reason": why if kept is None else kept_why}
+
+    kept_why = ""
     while at < len(data):
+        lost = []
         try:
             if data[at : at + 3] == MAGIC:
                 inner, end = inflate(data, at)
-                found, place = [], 0
-                while place < len(inner):
-                    rec, place = parse_record(inner, place)
-                    found.append(rec)
+                found, lost = inner_records(inner)
                 if not found:
-                    raise ValueError("empty member")
+                    raise ValueError(lost[0][2] if lost else "empty member")
             else:
                 rec, end = parse_record(data, at)
                 found = [rec]
         except ValueError as e:
+            if data[at : at + 3] == MAGIC:
+                part, stop, cut = inflate_prefix(data, at)
+                some, _ = inner_records(part, checked_only=not cut)
+                if some:
+                    if kept is not None:  # an earlier damaged member ends here
+                        yield from closed(at)
+                        bad = None
+                    kept, kept_why = (some, at, stop), str(e)
             if bad is None:
                 bad, why = at, str(e)
             nexts = [p for p in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if p >= 0]
             at = min(nexts, default=len(data))
             continue
         if bad is not None:
-            yield {"kind": "gap", "offset": bad, "length": at - bad, "reason": why}
-            bad = None
+            yield from closed(at)
+            bad = kept = None
         for rec in found:
             yield rec | {"offset": at, "length": end - at}
+        for a, b, reason in lost:
+            yield {"kind": "gap", "offset": at, "length": 0, "reason": f"inflated bytes {a} to {b}: {reason}"}
         at = end
     if bad is not None:
-        yield {"kind": "gap", "offset": bad, "length": len(data) - bad, "reason": why}
+        yield from closed(len(data))
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

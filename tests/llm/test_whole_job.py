@@ -77,3 +77,22 @@ def test_warc_two_texts_under_one_id(spark):
     heads = {"a" * 1200: 4, "b" * 1300: 3, "c" * 1100: 4}
     want = sorted((i, len(t), hashlib.sha1(t.encode()).hexdigest(), "response" if heads.get(t, i) == i else "revisit", None if heads.get(t, i) == i else heads[t]) for i, t in rows)
     assert sorted(tuple(r) for r in warc.export_and_read(df).collect()) == want
+
+
+def test_warc_salvage_within_members():
+    body = [b"".join(hashlib.sha256(b"%d %d" % (i, k)).hexdigest().encode() for k in range(4000)) for i in range(6)]
+    recs = [warc.record(i, f"http://x/{i}", b, hashlib.sha1(b).hexdigest(), None) for i, b in enumerate(body)]
+    bad = list(recs)
+    bad[2] = bad[2][:-50] + b"?" + bad[2][-49:]
+    whole, tail = warc.member(b"".join(bad)), warc.member(warc.record(9, "u", b"t", hashlib.sha1(b"t").hexdigest(), None))
+    got = list(warc.read_archive(whole + tail))
+    assert [r["page_id"] for r in got if r["kind"] != "gap"] == [0, 1, 3, 4, 5, 9]
+    assert [(r["offset"], r["length"]) for r in got if r["kind"] == "gap"] == [(0, 0)]
+    one = warc.member(b"".join(recs))
+    at = len(one) * 7 // 12
+    for data in (one[:at], one[:at] + tail, b"junk" + one[:at] + b"\xff" * 40 + one[at + 40 :] + tail, one[:at] + one[:at]):
+        got = list(warc.read_archive(data))
+        ids = [r["page_id"] for r in got if r["kind"] != "gap"]
+        assert {0, 1, 2} <= set(ids) and (9 in ids) == data.endswith(tail)
+        gaps = [r for r in got if r["kind"] == "gap"]
+        assert gaps and sum(g["length"] for g in gaps) + sum({r["offset"]: r["length"] for r in got if r["kind"] != "gap"}.values()) == len(data)
