@@ -431,11 +431,66 @@ def test_personal_data(spark, docs, odd):
         assert got == sorted(((r.doc_id, base(r.text)) for r in df.select("doc_id", "text").collect()), key=str)
     for r in queries.op6_pii(spark, SF).join(docs.select("doc_id", "text"), "doc_id").collect():
         want = base(r.text)
-        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and r.n_card == want.count("card:")
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [want.count(f"{k}:") for k in plain]
         assert set(want.split(",") if want else []) <= set(r.spans.split(","))
     assert pii.find_personal_data(odd.limit(0)).count() == 0
-    # A phone number and a card that run together escape the patterns; the trees find both.
-    texts = [(i, f"{'call me' if i % 2 else 'so'} +1 (269) 555-{1000 + i} now") for i in range(60)] + [(100 + i, "paid 4539578763621486 today") for i in range(60)]
-    texts += [(500, "see +1 (269) 555-3296 4539578763621486 there"), (501, "version 1.2.3 of 2024-10-11 10.12 item 123456789")]
-    found = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert found[500] == "card:22:38,phone:4:21" and found[501] == ""
+
+
+def merged(spans):
+    out = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
+def test_added_personal_data_equals_brute_force(spark, docs):
+    """Candidates, their freedom and the merged spans, recomputed with loops; the trees' cells are taken as they are."""
+    from barloom.llm import pii
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    texts |= {5000: "mail bob (at) example (dot) org or ann@x.org, card 4539.5787.6362.1486", 5001: "host 10 . 0 . 0 . 7 and 10[.]1[.]2[.]3", 5002: "+1 (269) 555-3296 4539578763621486", 5003: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows, found = pii.spans(df)
+    name = {r.rid: r.doc_id for r in rows.collect()}
+    got = {}
+    for r in found.collect():
+        assert (texts[name[r.rid]] or "")[r.start : r.end] == r.value
+        got.setdefault(name[r.rid], []).append(r)
+    cells, held = pii.train(found)
+    final = {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}
+    for i, t in texts.items():
+        mine = got.get(i, [])
+        base = [(r.start, r.end) for r in mine if r.base]
+        for k, kind in enumerate(pii.KINDS):
+            cands = sorted((r.start, r.end) for r in mine if r.kind == k and not r.base)
+            if kind != "email":  # its pattern has an anchor that re lacks
+                assert cands == sorted(m.span() for p in pii.CANDIDATES[kind] for m in re.finditer(p, t or ""))
+        for r in mine:
+            assert r.free == (not r.base and not any(a < r.end and r.start < b for a, b in base))
+        want = sorted((r.kind, r.start, r.end) for r in mine if r.base)
+        for k in range(4):
+            want += [(k, *s) for s in merged((r.start, r.end) for r in mine if r.free and r.kind == k and r.cell in cells)]
+        assert final[i] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(want))
+
+
+def test_personal_data_held_out_plants(spark):
+    """Disguised copies whose values the trees did not see: at least 0.9 are found, and 0.9 of what is found is planted."""
+    from barloom.llm import pii
+
+    _, found = pii.spans(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    _, held = pii.train(found)
+    assert set(held) == set(pii.KINDS)
+    assert all(recall >= 0.9 and precision >= 0.9 for recall, precision in held.values()), held
+
+
+def test_personal_data_many_matches_in_one_text(spark):
+    from barloom.llm import pii
+
+    n = 60_000
+    text = " ".join(f"user{i}@mail{i % 77}.org" for i in range(n))
+    r = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.n_email == n and r.base == ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+", text)) == r.spans
