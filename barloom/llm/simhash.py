@@ -34,19 +34,36 @@ NODE_ROWS = 4096
 RUN_ROWS, RUN_PAIRS = 1 << 16, 1 << 18
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """Signed 64-bit fingerprint of a whole text; 0 for null or no words."""
+def _parts(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 hashes of a whole text's shingles, repeats included, a slice at a time; none for null or no words."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and the six ASCII spaces
-    if not w:
-        return 0
-    total, n = np.zeros(64, np.int64), max(1, len(w) - words + 1)
-    for at in range(0, n, RUN_ROWS):  # very long texts: a slice of the shingles at a time
+    for at in range(0, max(1, len(w) - words + 1) if w else 0, RUN_ROWS):
         part = w[at : at + RUN_ROWS + words - 1]
         grams = zip(*(part[i:] for i in range(words)), strict=False) if len(w) >= words else [part]
-        h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in grams), np.uint64)
+        yield np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in grams), np.uint64)
+
+
+def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 hashes of all shingles, repeats included."""
+    return np.concatenate([*_parts(text, words), np.zeros(0, np.uint64)])
+
+
+def _majority(parts: Iterator[np.ndarray]) -> int:
+    total, n = np.zeros(64, np.int64), 0
+    for h in parts:
         total += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * total > n, bitorder="little")
-    return int(bits.view("<i8")[0])
+        n += len(h)
+    return int(np.packbits(2 * total > n, bitorder="little").view("<i8")[0])
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit number of the bits that over half of the hashes have."""
+    return _majority(hashes[at : at + RUN_ROWS] for at in range(0, len(hashes), RUN_ROWS))
+
+
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    """Signed 64-bit fingerprint of a whole text; 0 for null or no words."""
+    return _majority(_parts(text, words))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
