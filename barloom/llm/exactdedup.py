@@ -1,14 +1,17 @@
 """Exact deduplication through an extendible-hash index on shared files; JVM operations only.
 
 Entries (one small row a document: id, 64-bit hash, length, SHA-256) are written once to the shared
-folder. The directory starts as one bucket and doubles: a bucket whose distinct texts exceed
-``BUCKET_BYTES`` is split by the next hash bit, down to a depth that the total size sets, so that the
-directory has a few cells for each ``BUCKET_BYTES`` of text and never more than 2^20. Texts are then
-grouped within their bucket by hash and bytes: the aggregation chains entries of equal hash and
-compares their bytes, so that colliding hashes stay apart. It combines before the shuffle; a text
-that a third of all rows share travels once from each task. The heads are written to the index
-sorted by bucket and hash; documents find their head by hash and digest in a join whose hot keys
-the adaptive plan splits.
+folder. The directory starts as one bucket and doubles: a bucket whose rows hold more than its share of
+bytes is split by the next hash bit. The directory is stored beside the index; through it each document
+finds its bucket, and rows are dealt by bucket: one owner task has all of a bucket's rows, chains entries
+of equal hash and compares their bytes (it groups by hash and text, so that colliding hashes stay apart).
+The heads of the chains are the index; documents look theirs up by bucket, hash and digest.
+
+A text whose copies alone overfill a bucket cannot be split off by hash bits. Such hot texts, at most
+``HOT`` of them, are known from the entries; their rows combine in each task before one row a task travels.
+
+Buckets grow beyond ``BUCKET_BYTES`` once there would be more than ``MOST_BUCKETS`` of them, so that the
+directory, which is broadcast, never has more than four times as many cells.
 """
 
 from __future__ import annotations
@@ -20,25 +23,24 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, without
 
-#: Bytes of distinct text in a bucket before it splits.
-BUCKET_BYTES = 8 << 20
-#: The directory's largest depth; 2^20 cells of a few bytes are the bound on what is broadcast.
-MAX_DEPTH = 20
+#: Bytes of text in a bucket before it splits, and how many buckets there may be before they grow.
+BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 1 << 18
+#: Texts with more than this share of all bytes, and more than a bucket's, are hot: there are at most HOT.
+HOT = 100_000
 
 
 def _cell(depth: int) -> F.Column:
     return F.expr(f"shiftrightunsigned(h, {64 - depth})") if depth else F.lit(0).cast("long")
 
 
-def directory(entries: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(cell, bucket, depth) for each cell of the deepest level that holds entries.
+def directory(counts: DataFrame, bucket_bytes: int) -> DataFrame:
+    """(cell, bucket, depth, deepest) for each cell of the deepest level that holds entries; counts: (h, n_bytes).
 
     A bucket is named by its first cell; cells that share their first ``depth`` bits share it.
     """
-    texts = entries.groupBy("h").agg(F.max("n_bytes").alias("n_bytes"))
-    total = texts.agg(F.sum("n_bytes")).first()[0] or 0
-    deepest = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1.0, total / bucket_bytes)))) + 2)
-    cells = texts.groupBy(_cell(deepest).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"))
+    total = counts.agg(F.sum("n_bytes")).first()[0] or 0
+    deepest = max(0, math.ceil(math.log2(max(1.0, total / bucket_bytes)))) + 2
+    cells = counts.groupBy(_cell(deepest).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"))
     levels = cells.select("cell", "n_bytes", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("depth"))
     levels = levels.withColumn("prefix", F.expr(f"shiftright(cell, {deepest} - depth)"))
     fits = levels.groupBy("depth", "prefix").agg(F.sum("n_bytes").alias("held")).where((F.col("held") <= bucket_bytes) | (F.col("depth") == deepest))
@@ -46,7 +48,7 @@ def directory(entries: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame
     return found.select("cell", F.expr(f"shiftleft(shiftright(cell, {deepest} - depth), {deepest} - depth)").alias("bucket"), "depth", F.lit(deepest).alias("deepest"))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row of ``docs``.
 
     Texts are equal when identical after lower-casing A-Z only; null counts as empty. The largest
@@ -57,30 +59,43 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     norm = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
     entries = norm.select("doc_id", F.xxhash64("norm").alias("h"), F.octet_length("norm").cast("long").alias("n_bytes"), F.sha2("norm", 256).alias("text_sha256"))
     entries = materialize(entries, "hash-entries")
-    index = materialize(directory(entries, bucket_bytes), "hash-directory")
+    counts = materialize(entries.groupBy("h").agg(F.sum("n_bytes").alias("n_bytes"), F.max("n_bytes").alias("one")), "hash-counts")
+    total = counts.agg(F.sum("n_bytes")).first()[0] or 0
+    bucket_bytes = max(bucket_bytes, total // MOST_BUCKETS)
+    is_hot = F.col("n_bytes") > max(bucket_bytes, total / hot)
+    index = materialize(directory(counts.select("h", F.when(is_hot, F.col("one")).otherwise(F.col("n_bytes")).alias("n_bytes")), bucket_bytes), "hash-directory")
     deepest = index.agg(F.max("deepest")).first()[0] or 0
-    placed = norm.select("doc_id", "norm", F.xxhash64("norm").alias("h")).withColumn("cell", _cell(deepest)).join(F.broadcast(index.select("cell", "bucket")), "cell")
-    heads = placed.groupBy("bucket", "h", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    heads = heads.select("bucket", "h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
-    # Each owner task writes whole buckets, in order of hash; these rows are small and one a distinct text.
-    heads = materialize(heads.repartition("bucket").sortWithinPartitions("bucket", "h"), "hash-index")
-    return entries.join(heads, ["h", "text_sha256"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    cells = F.broadcast(index.select("cell", "bucket"))
+    placed = norm.select("doc_id", "norm", F.xxhash64("norm").alias("h")).withColumn("cell", _cell(deepest)).join(cells, "cell").drop("cell")
+    hot_texts = materialize(counts.where(is_hot).select("h"), "hot-texts")
+
+    def chained(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("bucket", "h", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+
+    if hot_texts.isEmpty():
+        heads = chained(placed.repartition("bucket"))
+    else:
+        mild, many = placed.join(F.broadcast(hot_texts), "h", "left_anti"), placed.join(F.broadcast(hot_texts), "h", "left_semi")
+        heads = chained(mild.repartition("bucket")).unionByName(chained(many))
+    heads = materialize(heads.select("bucket", "h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"), "hash-index")
+    looked_up = entries.withColumn("cell", _cell(deepest)).join(cells, "cell").join(heads, ["bucket", "h", "text_sha256"])
+    return looked_up.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` with one row of each group of equal texts: one that has the largest id; same columns.
+    """``docs`` with one row of each group of equal texts: one that has the largest id; same columns, whatever their names.
 
     Decisions are found again by id and digest, so rows of one id with different texts do not mix; null
     ids count as the smallest. Of rows that repeat the keeping id, one stays.
     """
     found = materialize(exact_duplicates(docs, id_col, text_col, **kw), "exact-groups")
-    named = found.select(F.col("doc_id").alias("__id"), F.xxhash64("text_sha256").alias("__digest"), "kept")
-    dropped = materialize(named.where(~F.col("kept")).select("__id", "__digest").distinct(), "exact-copies")
-    repeated = materialize(named.where("kept").groupBy("__id", "__digest").count().where("count > 1").drop("count"), "exact-repeats")
-    keyed = docs.withColumn("__text_digest", F.xxhash64(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)))
-    same = lambda side: F.col(id_col).eqNullSafe(side["__id"]) & (F.col("__text_digest") == side["__digest"])
+    named = found.select(F.col("doc_id").alias("an_id"), F.xxhash64("text_sha256").alias("a_digest"), "kept")
+    dropped = materialize(named.where(~F.col("kept")).select("an_id", "a_digest").distinct(), "exact-copies")
+    repeated = materialize(named.where("kept").groupBy("an_id", "a_digest").count().where("count > 1").drop("count"), "exact-repeats")
+    keyed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)).alias("digest"))
+    same = lambda side: keyed["id"].eqNullSafe(side["an_id"]) & (keyed["digest"] == side["a_digest"])
     out = without(keyed, dropped, same(dropped))
     if not repeated.isEmpty():
-        once = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, "__text_digest"])
+        once = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates(["id", "digest"])
         out = without(out, repeated, same(repeated)).unionByName(once)
-    return out.select(*docs.columns)
+    return out.select("row.*")
