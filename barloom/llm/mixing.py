@@ -57,10 +57,10 @@ def copies(rate: Column, doc_id: Column, seed: str = SEED) -> Column:
     return (F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).cast("int")
 
 
-def _with_plan(docs: DataFrame, source: Column, plan: DataFrame) -> DataFrame:
-    """``docs`` with the plan's columns for its source; broadcast only below a checked size."""
-    side = plan.withColumnRenamed("source", "__plan_source")
-    return docs.join(F.broadcast(side) if plan.count() <= BROADCAST_SOURCES else side, source.eqNullSafe(F.col("__plan_source")))
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows``, which have a column a_source, with the plan's columns; broadcast only below a checked size."""
+    side = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+    return rows.join(side, F.col("a_source").eqNullSafe(F.col("source")))
 
 
 def plan_for(docs: DataFrame, text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
@@ -76,16 +76,19 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     size 0, null sources form one source, repeated rows get equal values, no rows give no rows.
     Other columns are not read.
     """
-    slim = docs.select(F.col(id_col).alias("__doc"), F.col(source_col).alias("__source"), words_in(F.col(text_col)).alias("__size"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("a_source"), words_in(F.col(text_col)).alias("size"))
     slim = materialize(slim, "mix-sizes")
-    plan = materialize(targets(slim.select(F.col("__source").alias("source"), F.col("__size").alias("size")), **kw), "mix-plan")
-    rated = _with_plan(slim, F.col("__source"), plan).withColumn("__copies", copies(F.col("rate"), F.col("__doc"), seed))
-    return rated.select(F.col("__doc").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("__copies")).alias("taken"))
+    plan = materialize(targets(slim.select(F.col("a_source").alias("source"), "size"), **kw), "mix-plan")
+    rated = _with_plan(slim, plan)
+    return rated.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("rate"), F.col("doc_id"), seed)).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **kw) -> DataFrame:
-    """The mixed rows of ``docs``: each as often as its copies say; same columns."""
-    plan = plan_for(docs, text_col, source_col, **kw).select("source", F.col("rate").alias("__rate"))
-    joined = _with_plan(docs, docs[source_col], plan)
-    times = F.array_repeat(F.lit(0), copies(F.col("__rate"), docs[id_col], seed))
-    return joined.withColumn("__copy", F.explode(times)).select(*[docs[c] for c in docs.columns])
+    """The mixed rows of ``docs``: each as often as its copies say; same columns, whatever their names.
+
+    Rows that repeat an id, or have none, draw the same number for that id.
+    """
+    plan = plan_for(docs, text_col, source_col, **kw).select("source", "rate")
+    packed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("a_source"))
+    times = F.array_repeat(F.lit(0), copies(F.col("rate"), F.col("id"), seed))
+    return _with_plan(packed, plan).select("row", F.explode(times).alias("copy")).select("row.*")

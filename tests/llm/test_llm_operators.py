@@ -255,6 +255,9 @@ def test_mixing(spark, odd):
     assert mixing.mix_sizes(odd.limit(0)).count() == 0
     mixed = mixing.mix(odd)
     assert mixed.columns == odd.columns
+    clash = odd.withColumns({c: F.lit("x") for c in ("__rate", "__copy", "rate", "copy", "row", "id", "a_source", "__plan_source", "target")})
+    again = mixing.mix(clash)
+    assert again.columns == clash.columns and sorted(map(str, again.select(odd.columns).collect())) == sorted(map(str, mixed.collect())) and again.where("rate <> 'x' or row <> 'x'").count() == 0
     rates = mixing.mix_sizes(odd)
     assert mixed.select(F.sum(mixing.words_in(F.col("text")))).first()[0] == rates.select(F.sum("taken")).first()[0]
 
@@ -316,12 +319,34 @@ def test_exact_dedup_chains_and_splits(spark, docs, odd):
     assert index.agg(F.max("depth")).first()[0] >= 4
 
 
+def test_exact_dedup_deals_by_bucket(spark, docs, monkeypatch):
+    """Texts are dealt to the owner of their bucket, and by nothing else; hot texts combine first."""
+    plans, own = [], exactdedup.materialize
+
+    def kept(df, name):
+        if name == "hash-index":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return own(df, name)
+
+    monkeypatch.setattr(exactdedup, "materialize", kept)
+    exactdedup.exact_duplicates(docs).count()
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plans[0])
+    assert [re.sub(r"#\d+L?", "", d) for d in dealt] == ["bucket"]
+    many = docs.unionAll(docs.limit(1).crossJoin(spark.range(500)).select(docs.columns))
+    sizes = exactdedup.exact_duplicates(many, bucket_bytes=10_000, hot=100)
+    assert sizes.agg(F.max("group_size")).first()[0] >= 501 and sizes.count() == many.count()
+    assert len(re.findall(r"Exchange hashpartitioning\(bucket", plans[1])) == 2
+
+
 def test_exact_drop_keeps_one_row_a_group(spark, odd):
     rows = [(1, "A", "x"), (1, "a", "x"), (2, "a", "y"), (2, "a", "y"), (2, "b", "z"), (3, "b", "z"), (None, "b", "n"), (None, "c", "n"), (None, "c", "n"), (5, None, None), (4, "", "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, h string")
     assert sorted(exactdedup.drop_exact_duplicates(df).collect(), key=str) == sorted([(2, "a", "y"), (3, "b", "z"), (None, "c", "n"), (5, None, None)], key=str)
     assert exactdedup.drop_exact_duplicates(odd).count() == len({lower(r.text) for r in odd.collect()})
     assert exactdedup.drop_exact_duplicates(odd).columns == odd.columns
+    clash = odd.withColumns({c: F.lit("x") for c in ("__text_digest", "row", "id", "digest", "an_id", "kept")})
+    kept = exactdedup.drop_exact_duplicates(clash)
+    assert kept.columns == clash.columns and kept.where("__text_digest <> 'x' or digest <> 'x'").count() == 0
 
 
 def test_stages_on_an_empty_table(spark, docs):
@@ -387,18 +412,19 @@ def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline as p
 
     raw = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame([(9001, None, None, None, None), (9002, "12 !", "en", "src1", 4)], raw.schema)
+    odd = spark.createDataFrame([(9001, None, None, None, None), (9002, "12 !", "en", "src1", 4), (9003, "Το γρήγορο καφέ άλογο πηδά πάνω από το σκυλί " * 5, None, "src1", 9), (9004, raw.first().text + " one more ending of this text", None, None, 9)], raw.schema)
     docs, seen = raw.unionAll(odd), {}
     for name, stage in p.STAGES:
         docs = seen[name] = stage(spark, docs, SF)
         if name != "token_ids":
             assert docs.columns == raw.columns
     ids = {k: {r.doc_id for r in v.select("doc_id").collect()} for k, v in seen.items()}
+    langs = {r.doc_id: r.lang for r in seen["language"].collect()}
+    assert langs[9004] in ("en", "de", "fr", "es") and langs.pop(9004) and 9003 not in langs
+    ids = {k: v - {9004} for k, v in ids.items()}
     assert ids["language"] == {r.doc_id for r in raw.collect()}
     pdf = raw.toPandas()
     assert ids["exact_dedup"] == set(pdf.groupby(pdf.text.map(lower)).doc_id.max())
-    left = [(i, fp(t)) for i, t in zip(pdf.doc_id, pdf.text, strict=True) if i in ids["exact_dedup"]]
-    assert ids["near_dedup"] == set(components(left, lambda a, b: bin(a ^ b).count("1") <= 2).values())
     assert ids["token_ids"] == ids["mix"] <= ids["near_dedup"]
     assert p.run(spark, SF).count() > 0
 
