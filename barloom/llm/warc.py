@@ -1,8 +1,9 @@
 """WARC archives: a writer with revisit records, and a reader that salvages damaged archives.
 
-Archives are rows (path, content) of a shared table, the shape that Spark's ``binaryFile`` reader gives
-for archive files, so both come from any store that Spark reads, with Spark's commit protocol behind
-them. The writer cuts an archive every ``ARCHIVE_BYTES``; each record is a gzip member of its own.
+Archives are files: ``save_archives`` writes one for each row of ``write_archives`` through Spark's own
+writer and commit protocol, to any store that Spark writes, and ``binaryFile`` reads them back as rows
+(path, content). The writer cuts an archive every ``ARCHIVE_BYTES``; each record is a gzip member of its
+own, so that archive tools open the files and a fault costs no more than its member.
 
 The reader checks every record: version line, headers, length, end, and the payload's digest. After a
 failed check it looks for the next place where a valid member or version line starts, recovers what
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import BROADCAST_KEYS, materialize, scratch_path
 
 #: Compressed bytes after which a task starts a new archive.
 ARCHIVE_BYTES = 4 << 20
@@ -32,6 +33,8 @@ CELL_BYTES = (1 << 31) - (1 << 20)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 ID = "urn:x-page:"
+#: Compressed bytes that are inflated at once, and the most that a record's headers may have.
+STEP, HEAD_BYTES = 1 << 16, 1 << 20
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 ROWS = "path string, offset long, length long, kind string, page_id long, uri string, refers_to long, digest string, payload binary, reason string"
 
@@ -53,16 +56,17 @@ def record(page_id: int | None, uri: str | None, payload: bytes, sha1: str, refe
 
 
 def member(data: bytes) -> bytes:
-    """A gzip member without time stamp."""
+    """A gzip member without time stamp. A zero byte ends it: above 16 MB an empty member follows."""
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return z.compress(data) + z.flush()
+    out = z.compress(data) + z.flush()
+    return out if out.endswith(b"\0") else out + member(b"")
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     """The record at ``at`` and where it ends; ValueError if a check fails."""
     if data[at : at + 7] != VERSION:
         raise ValueError("no version line")
-    head_end = data.find(b"\r\n\r\n", at)
+    head_end = data.find(b"\r\n\r\n", at, at + HEAD_BYTES)
     if head_end < 0:
         raise ValueError("headers do not end")
     lines = data[at:head_end].decode("utf-8", "replace").split("\r\n")
@@ -105,20 +109,29 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
 
 
 def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The member at ``at``, inflated, and where it ends; ValueError if it is damaged or cut off."""
-    z = zlib.decompressobj(31)
+    """The member at ``at``, inflated, and where it ends; ValueError if it is damaged or cut off.
+
+    Fed in steps, so that no member copies the rest of the archive.
+    """
+    z, out, size, view = zlib.decompressobj(31), [], 0, memoryview(data)
     try:
-        out = z.decompress(memoryview(data)[at:], CELL_BYTES)
+        while not z.eof:
+            if at >= len(data):
+                raise ValueError("member is cut off")
+            part = z.decompress(view[at : at + STEP], CELL_BYTES - size)
+            out.append(part)
+            size += len(part)
+            at = min(at + STEP, len(data)) - len(z.unconsumed_tail) - len(z.unused_data)
+            if size >= CELL_BYTES and not z.eof:
+                raise ValueError("member is too large")
     except zlib.error as e:
         raise ValueError(str(e)) from e
-    if not z.eof:
-        raise ValueError("member is cut off")
-    return out, len(data) - len(z.unused_data)
+    return b"".join(out), at
 
 
 def inflate_prefix(data: bytes, at: int) -> tuple[bytes, int, bool]:
     """What can be inflated of the damaged or cut member at ``at``, where that stops, and whether it was cut only."""
-    z, out, size, step = zlib.decompressobj(31), [], 0, 1 << 16
+    z, out, size, step = zlib.decompressobj(31), [], 0, STEP
     view = memoryview(data)
     while at < len(data) and size < CELL_BYTES and not z.eof:
         before = z.copy()
@@ -184,6 +197,17 @@ def read_archive(data: bytes) -> Iterator[dict]:
                 yield rec | {"offset": first, "length": start - first}
         yield {"kind": "gap", "offset": start, "length": to - start, "reason": why if kept is None else kept_why}
 
+    found_at = {MAGIC: -1, VERSION: -1}
+
+    def nearest(start: int) -> int:
+        """Where the next member or version line may start; each sign is searched for once over the archive."""
+        for sign, place in found_at.items():
+            if place < start:
+                found_at[sign] = place = data.find(sign, start)
+            if place < 0:
+                found_at[sign] = len(data)
+        return min(found_at.values())
+
     kept_why = ""
     while at < len(data):
         lost = []
@@ -191,8 +215,8 @@ def read_archive(data: bytes) -> Iterator[dict]:
             if data[at : at + 3] == MAGIC:
                 inner, end = inflate(data, at)
                 found, lost = inner_records(inner)
-                if not found:
-                    raise ValueError(lost[0][2] if lost else "empty member")
+                if not found and inner:
+                    raise ValueError(lost[0][2])
             else:
                 rec, end = parse_record(data, at)
                 found = [rec]
@@ -207,8 +231,7 @@ def read_archive(data: bytes) -> Iterator[dict]:
                     kept, kept_why = (some, at, stop), str(e)
             if bad is None:
                 bad, why = at, str(e)
-            nexts = [p for p in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if p >= 0]
-            at = min(nexts, default=len(data))
+            at = nearest(at + 1)
             continue
         if bad is not None:
             yield from closed(at)
@@ -234,7 +257,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     heads = marks.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"))
     revisits = marks.join(heads, ["digest", "n"]).where("page_id <> refers_to").select("page_id", "n", "digest", "refers_to").distinct()
     keyed = slim.withColumns({"sha1": F.sha1("html"), "n": F.octet_length("html"), "digest": F.sha2("html", 256)})
-    joined = keyed.join(revisits, ["page_id", "digest", "n"], "left")
+    revisits = materialize(revisits, "page-revisits")
+    joined = keyed.join(F.broadcast(revisits) if revisits.count() <= BROADCAST_KEYS else revisits, ["page_id", "digest", "n"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -258,6 +282,16 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return joined.select("page_id", "url", "html", "sha1", "refers_to").mapInArrow(run, "path string, content binary")
 
 
+def save_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Write a file for each row (path, content) and return the files as rows (path, content) again.
+
+    Spark's text writer puts a separator behind each row; it is the zero byte that ends every member.
+    """
+    body = F.expr("cast(substring(content, 1, octet_length(content) - 1) as string)")
+    archives.select(body.alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(folder)
+    return archives.sparkSession.read.format("binaryFile").load(folder).where("length > 0").select("path", "content")
+
+
 def read_archives(archives: DataFrame) -> DataFrame:
     """Rows of ``ROWS`` from archives (path, content), as ``binaryFile`` or ``write_archives`` give them.
 
@@ -291,9 +325,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
 def export_and_read(pages: DataFrame, **kw) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) read back from written archives.
 
-    A revisit's length is that of the response it refers to; its digest is its own header's.
+    A revisit's length is that of the response it refers to; its digest is its own header's. Repeated rows repeat.
     """
-    archives = materialize(write_archives(pages, **kw), "warc")
+    archives = save_archives(write_archives(pages, **kw), scratch_path(pages.sparkSession, "warc"))
     back = read_archives(archives).where("kind <> 'gap'")
     slim = materialize(back.select("page_id", F.octet_length("payload").cast("long").alias("n"), F.when(F.col("kind") == "response", F.sha1("payload")).otherwise(F.col("digest")).alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to"), "warc-records")
     held = slim.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("n").alias("held"))

@@ -1,7 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
+import gzip
 import hashlib
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -96,3 +98,30 @@ def test_warc_salvage_within_members():
         assert {0, 1, 2} <= set(ids) and (9 in ids) == data.endswith(tail)
         gaps = [r for r in got if r["kind"] == "gap"]
         assert gaps and sum(g["length"] for g in gaps) + sum({r["offset"]: r["length"] for r in got if r["kind"] != "gap"}.values()) == len(data)
+
+
+def test_warc_files_are_plain_archives(spark):
+    """The files on disk are gzip members one after the other that any tool opens, also above 16 MB."""
+    draw = random.Random(3)
+    pages = [(i, f"http://x/{i}", draw.choice("abc") * draw.randint(0, 5000)) for i in range(200)] + [(900, "http://big", "z" * (17 << 20))]
+    folder = warc.scratch_path(spark, "warc-test")
+    files = warc.save_archives(warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), archive_bytes=4000), folder)
+    got = files.collect()
+    plain = [gzip.decompress(bytes(r.content)) for r in got]
+    assert len(got) > 2 and all(p.startswith(b"WARC/1.1\r\n") for p in plain) and sum(p.count(b"WARC/1.1\r\n") for p in plain) == len(pages)
+    back = warc.read_archives(files).where("kind = 'response'").select("page_id", F.octet_length("payload").alias("n")).collect()
+    heads = {h: max(i for i, _, x in pages if x == h) for h in {x for _, _, x in pages if len(x) >= 1000}}
+    assert {(r.page_id, r.n) for r in back} == {(i, len(h)) for i, _, h in pages if heads.get(h, i) == i}
+    assert warc.read_archives(files).where("kind = 'gap'").count() == 0
+
+
+def test_warc_reader_is_linear():
+    """64 MB of small members, also behind a fault, are read in time that grows with the bytes."""
+    rec = warc.member(warc.record(1, "u", b"p" * 40, hashlib.sha1(b"p" * 40).hexdigest(), None))
+    took = []
+    for n in (20_000, 80_000):
+        data = b"\x1f\x8b\x08" + rec * n
+        began = time.time()
+        assert sum(r["kind"] == "response" for r in warc.read_archive(data)) == n
+        took.append(time.time() - began)
+    assert took[1] < 10 * took[0], took
