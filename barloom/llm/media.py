@@ -1,9 +1,9 @@
 """ISO media containers: write a payload into boxes, walk the boxes, and read samples back.
 
 ``store`` wraps each payload as one track of 8-bit raw samples. ``probe`` reads a media column: it
-walks nested boxes, decodes the sample tables and returns codec, duration and the byte ranges of key
-samples; the payload is never decoded and, past the tables, never touched. ``read_samples`` returns the
-bytes of all samples in order.
+walks nested boxes, decodes the sample tables of every track, and of movie fragments, and returns codec,
+duration and the byte ranges of key samples; the payload is never decoded and, past the tables, never
+touched. ``read_samples`` returns the bytes of a track's samples in order.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from .common import with_fields
 
 #: Bytes of a sample, samples of a chunk, samples from one key sample to the next, samples a second.
 FRAME, CHUNK, KEY_EVERY, RATE = 192, 64, 25, 8000
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -72,8 +71,8 @@ def write_media(payload: bytes) -> bytes:
     return head + moov(first) + box(b"mdat", payload)
 
 
-def boxes(data: memoryview, start: int, end: int, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """(path of kinds, first and end byte of the body) of each box, parents first; bad sizes end the walk."""
+def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(kind, first and end byte of the body) of each box of one level; ValueError if a box leaves its parent."""
     at = start
     while at + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, at)
@@ -83,42 +82,55 @@ def boxes(data: memoryview, start: int, end: int, path: tuple = ()) -> Iterator[
         stop = end if size == 0 else at + size
         if stop < body or stop > end:
             raise ValueError(f"box {kind!r} at {at} of {size} bytes leaves its parent")
-        yield (*path, kind), body, stop
-        if kind in CONTAINERS:
-            yield from boxes(data, body, stop, (*path, kind))
+        yield kind, body, stop
         at = stop
 
 
-def sample_table(data: bytes) -> dict:
-    """Codec, timescale, duration, and (offset, size, is key) of each sample of the first track."""
-    view = memoryview(data)
-    found: dict[bytes, tuple[int, int]] = {}
-    for path, body, stop in boxes(view, 0, len(view)):
-        if path[-1] == b"trak" and b"stsd" in found:
-            break
-        found.setdefault(path[-1], (body, stop))
+def descend(data: memoryview, start: int, end: int, *path: bytes) -> tuple[int, int]:
+    """The body of the first box that ``path`` leads to. Only known paths are walked, so that depth cannot grow."""
+    for kind in path:
+        start, end = next(((b, s) for k, b, s in boxes(data, start, end) if k == kind), (-1, -1))
+        if start < 0:
+            raise ValueError(f"no box {kind!r}")
+    return start, end
+
+
+def _chunked(view: memoryview, stbl: dict[bytes, tuple[int, int]]) -> list[tuple[int, int, bool]]:
+    """(offset, size, is key) of each sample that a sample table describes."""
 
     def ints(kind: bytes, form: str, count_at: int = 4) -> list[tuple]:
-        body, stop = found[kind]
+        if kind not in stbl:
+            raise ValueError(f"no box {kind!r}")
+        body, stop = stbl[kind]
         n = struct.unpack_from(">I", view, body + count_at)[0]
         size = struct.calcsize(f">{form}")
         if body + count_at + 4 + n * size > stop:
             raise ValueError(f"table {kind!r} is longer than its box")
         return list(struct.iter_unpack(f">{form}", view[body + count_at + 4 : body + count_at + 4 + n * size]))
 
-    for kind in (b"mdhd", b"stsd", b"stts", b"stsc", b"stsz"):
-        if kind not in found:
-            raise ValueError(f"no box {kind!r}")
-    body = found[b"mdhd"][0]
-    scale, duration = struct.unpack_from(">IQ", view, body + 20) if view[body] == 1 else struct.unpack_from(">II", view, body + 12)
-    codec = bytes(view[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16]).decode("latin-1")
-    even, n = struct.unpack_from(">II", view, found[b"stsz"][0] + 4)
-    if even * n > len(view):
-        raise ValueError("samples are larger than the file")
-    sizes = [even] * n if even else [x for (x,) in ints(b"stsz", "I", 8)]
-    firsts = [x for (x,) in (ints(b"co64", "Q") if b"co64" in found else ints(b"stco", "I"))]
+    if b"stsz" in stbl:
+        even, n = struct.unpack_from(">II", view, stbl[b"stsz"][0] + 4)
+        if even * n > len(view):
+            raise ValueError("samples are larger than the file")
+        sizes = [even] * n if even else [x for (x,) in ints(b"stsz", "I", 8)]
+    elif b"stz2" in stbl:
+        bits = struct.unpack_from(">I", view, stbl[b"stz2"][0] + 4)[0] & 0xFF
+        if bits == 4:
+            body, stop = stbl[b"stz2"]
+            n = struct.unpack_from(">I", view, body + 8)[0]
+            if body + 12 + (n + 1) // 2 > stop:
+                raise ValueError("table b'stz2' is longer than its box")
+            sizes = [view[body + 12 + i // 2] >> (4 if i % 2 == 0 else 0) & 15 for i in range(n)]
+        elif bits in (8, 16):
+            sizes = [x for (x,) in ints(b"stz2", {8: "B", 16: "H"}[bits], 8)]
+        else:
+            raise ValueError(f"sizes of {bits} bits")
+    else:
+        raise ValueError("no box b'stsz'")
+    n = len(sizes)
+    firsts = [x for (x,) in (ints(b"co64", "Q") if b"co64" in stbl else ints(b"stco", "I"))]
     runs = ints(b"stsc", "III")
-    keys = {x for (x,) in ints(b"stss", "I")} if b"stss" in found else None
+    keys = {x for (x,) in ints(b"stss", "I")} if b"stss" in stbl else None
     if sum(c for c, _ in ints(b"stts", "II")) != n:
         raise ValueError("time table and sizes disagree")
     samples, k = [], 0
@@ -131,18 +143,105 @@ def sample_table(data: bytes) -> dict:
                 samples.append((at, sizes[k], keys is None or k + 1 in keys))
                 at += sizes[k]
                 k += 1
-    if k != n or samples and max(o + s for o, s, _ in samples) > len(view):
-        raise ValueError("samples lie outside the file")
-    return {"codec": codec, "timescale": scale, "duration": duration, "samples": samples}
-
-
-def read_samples(data: bytes) -> bytes:
-    """The bytes of all samples, in order."""
-    return b"".join(data[o : o + s] for o, s, _ in sample_table(data)["samples"])
+    if k != n:
+        raise ValueError("chunks and sizes disagree")
+    return samples
+
+
+def _fragments(view: memoryview, moof: tuple[int, int, int], defaults: dict[int, tuple], found: dict[int, dict]) -> None:
+    """Add the samples and durations of a movie fragment (start, body, stop) to its tracks."""
+    start, body, stop = moof
+    end = start
+    for kind, b, s in boxes(view, body, stop):
+        if kind != b"traf":
+            continue
+        at = descend(view, b, s, b"tfhd")[0]
+        flags, track = struct.unpack_from(">I", view, at)[0] & 0xFFFFFF, struct.unpack_from(">I", view, at + 4)[0]
+        if track not in found:
+            raise ValueError(f"fragment of an unknown track {track}")
+        at += 8
+        base = end if end > start and not flags & 0x20000 else start
+        if flags & 1:
+            base, at = struct.unpack_from(">Q", view, at)[0], at + 8
+        at += 4 if flags & 2 else 0
+        usual = list(defaults.get(track, (0, 0, 0)))
+        for i, bit in enumerate((0x8, 0x10, 0x20)):
+            if flags & bit:
+                usual[i], at = struct.unpack_from(">I", view, at)[0], at + 4
+        place = base
+        for kind2, b2, s2 in boxes(view, b, s):
+            if kind2 != b"trun":
+                continue
+            flags, n = struct.unpack_from(">I", view, b2)[0] & 0xFFFFFF, struct.unpack_from(">I", view, b2 + 4)[0]
+            at = b2 + 8
+            if flags & 1:
+                place, at = base + struct.unpack_from(">i", view, at)[0], at + 4
+            lead = None
+            if flags & 4:
+                lead, at = struct.unpack_from(">I", view, at)[0], at + 4
+            bits = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+            if at + 4 * len(bits) * n > s2 or n > len(view):
+                raise ValueError("run of samples is longer than its box or file")
+            for i in range(n):
+                row = dict(zip(bits, struct.unpack_from(f">{len(bits)}I", view, at + 4 * len(bits) * i), strict=True))
+                size = row.get(0x200, usual[1])
+                marks = row.get(0x400, lead if lead is not None and i == 0 else usual[2])
+                found[track]["samples"].append((place, size, not marks & 0x10000))
+                found[track]["ticks"] += row.get(0x100, usual[0])
+                place += size
+        end = place
+
+
+def tracks(data: bytes) -> list[dict]:
+    """Codec, timescale, duration, and (offset, size, is key) of each sample, for each track in the file's order."""
+    view = memoryview(data)
+    top = list(boxes(view, 0, len(view)))
+    moov = next(((b, s) for k, b, s in top if k == b"moov"), None)
+    if moov is None:
+        raise ValueError("no box b'moov'")
+    found: dict[int, dict] = {}
+    defaults: dict[int, tuple] = {}
+    for kind, b, s in boxes(view, *moov):
+        if kind == b"trak":
+            head = descend(view, b, s, b"tkhd")[0]
+            number = struct.unpack_from(">I", view, head + (20 if view[head] == 1 else 12))[0]
+            at = descend(view, b, s, b"mdia", b"mdhd")[0]
+            scale, duration = struct.unpack_from(">IQ", view, at + 20) if view[at] == 1 else struct.unpack_from(">II", view, at + 12)
+            stbl: dict[bytes, tuple[int, int]] = {}
+            for k, x, y in boxes(view, *descend(view, b, s, b"mdia", b"minf", b"stbl")):
+                stbl.setdefault(k, (x, y))
+            if b"stsd" not in stbl:
+                raise ValueError("no box b'stsd'")
+            codec = bytes(view[stbl[b"stsd"][0] + 12 : stbl[b"stsd"][0] + 16]).decode("latin-1")
+            if number in found:
+                raise ValueError(f"two tracks of number {number}")
+            found[number] = {"codec": codec, "timescale": scale, "duration": duration, "samples": _chunked(view, stbl), "ticks": 0}
+        elif kind == b"mvex":
+            for k, x, _ in boxes(view, b, s):
+                if k == b"trex":
+                    number, _, *usual = struct.unpack_from(">IIIII", view, x + 4)
+                    defaults[number] = tuple(usual)
+    start = 0
+    for kind, b, s in top:
+        if kind == b"moof":
+            _fragments(view, (start, b, s), defaults, found)
+        start = s
+    if not found:
+        raise ValueError("no box b'trak'")
+    for t in found.values():
+        t["duration"] += t.pop("ticks")
+        if t["samples"] and (min(o for o, _, _ in t["samples"]) < 0 or max(o + s for o, s, _ in t["samples"]) > len(view)):
+            raise ValueError("samples lie outside the file")
+    return list(found.values())
+
+
+def read_samples(data: bytes, track: int = 0) -> bytes:
+    """The bytes of all samples of a track, in order."""
+    return b"".join(data[o : o + s] for o, s, _ in tracks(data)[track]["samples"])
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media) for each row of ``docs``: its text's bytes in a container; null as empty."""
+    """(doc_id, n_bytes, media) for each row of ``docs``: its text's bytes in a container; null as empty, repeated rows repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,31 +255,36 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def probe(files: DataFrame, media_col: str = "media") -> DataFrame:
-    """``files``'s columns without the media column, with codec, timescale, duration, samples, keyframes, error.
+    """``files``'s columns without the media column, with track, codec, timescale, duration, samples, keyframes, error.
 
-    Columns that have these names are replaced.
-    duration is in seconds. A null, empty or malformed container has nulls and its error.
+    One row a track, numbered from 0 in the file's order; repeated rows repeat, columns that have these
+    names are replaced. duration is in seconds. A null, empty or malformed container has one row, with
+    nulls and its error.
     """
-    new = ["codec", "timescale", "duration", "samples", "keyframes", "error"]
+    new = ["track", "codec", "timescale", "duration", "samples", "keyframes", "error"]
     kept = [c for c in files.columns if c not in new and c != media_col]
     picked = files.select(*kept, F.col(media_col))
     keys = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def look(data: bytes | None) -> tuple:
+    def look(data: bytes | None) -> list[tuple]:
         try:
-            t = sample_table(data or b"")
-        except (ValueError, KeyError, IndexError, struct.error) as e:
-            return None, None, None, None, None, str(e)[:200] or type(e).__name__
-        ranges = [{"start": o, "end": o + s} for o, s, key in t["samples"] if key]
-        return t["codec"], t["timescale"], t["duration"] / t["timescale"] if t["timescale"] else None, len(t["samples"]), ranges, None
+            found = tracks(data or b"")
+        except (ValueError, IndexError, struct.error) as e:
+            return [(None,) * 6 + (str(e)[:200] or type(e).__name__,)]
+        return [
+            (i, t["codec"], t["timescale"], t["duration"] / t["timescale"] if t["timescale"] else None, len(t["samples"]), [{"start": o, "end": o + s} for o, s, key in t["samples"] if key], None)
+            for i, t in enumerate(found)
+        ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.float64(), pa.int64(), keys, pa.string()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), keys, pa.string()]
         for batch in batches:
             found = [look(v.as_py()) for v in batch.column(len(kept))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], [*kept, *new])
+            at = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+            flat = [row for f in found for row in f]
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[: len(kept)]), *(pa.array([f[i] for f in flat], k) for i, k in enumerate(kinds))], [*kept, *new])
 
-    schema = with_fields(files.select(*kept), codec="string", timescale="long", duration="double", samples="long", keyframes="array<struct<start: bigint, end: bigint>>", error="string")
+    schema = with_fields(files.select(*kept), track="long", codec="string", timescale="long", duration="double", samples="long", keyframes="array<struct<start: bigint, end: bigint>>", error="string")
     return picked.mapInArrow(run, schema)
 
 
@@ -196,7 +300,7 @@ def digest(files: DataFrame) -> DataFrame:
             rows = []
             for v in batch.column(2):
                 data = v.as_py()
-                t = sample_table(data)
+                t = tracks(data)[0]
                 payload = b"".join(data[o : o + s] for o, s, _ in t["samples"])
                 keys = [(o, o + s) for o, s, key in t["samples"] if key]
                 ranges = hashlib.md5(",".join(f"{a}-{b}" for a, b in keys).encode()).hexdigest()

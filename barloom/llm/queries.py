@@ -74,9 +74,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import materialize
     from .media import digest, store
 
-    return digest(store(_read(spark, sf_dir, "documents")))
+    return digest(materialize(store(_read(spark, sf_dir, "documents")), "media", "zstd"))
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_url_filter, op4_langid, op5_secret_scan, op6_pii, op7_mixing, op8_warc, op9_exact_dedup, op10_media)}

@@ -376,13 +376,88 @@ def test_media_round_trip(odd, docs):
         assert r.error is None and r.codec == "raw " and r.samples == -(-max(1, r.n_bytes) // 192) and len(r.keyframes) == -(-r.samples // 25)
     data = media.write_media(b"k" * 192 * 70)
     assert media.read_samples(data) == b"k" * 192 * 70
-    keys = [k for k in media.sample_table(data)["samples"] if k[2]]
+    keys = [k for k in media.tracks(data)[0]["samples"] if k[2]]
     assert len(keys) == 3 and data[keys[1][0] : keys[1][0] + 192] == b"k" * 192
     spark = docs.sparkSession
     bad = spark.createDataFrame([(1, None), (2, b""), (3, data[:300]), (4, b"\0\0\0\x05moov" + b"x" * 9)], "doc_id long, media binary").withColumn("codec", F.lit("clash"))
+    nested = b""
+    for _ in range(3000):
+        nested = media.box(b"moov", nested)
+    bad = bad.unionAll(spark.createDataFrame([(5, nested)], "doc_id long, media binary").withColumn("codec", F.lit("clash")))
     assert all(r.error and r.codec is None for r in media.probe(bad).collect())
 
 
+def plain_boxes(data, at=0, end=None):
+    """Name and body of each box, by a reader of its own."""
+    end = len(data) if end is None else end
+    while at < end:
+        n = int.from_bytes(data[at : at + 4], "big")
+        yield data[at + 4 : at + 8].decode("latin-1"), data[at + 8 : at + n]
+        at += n
+
+
+def inner(data, *path):
+    for p in path:
+        data = dict(plain_boxes(data))[p]
+    return data
+
+
+def test_media_form_against_a_plain_reader(spark, docs):
+    """media_bytes, media_sha256 and feature of the query, from containers parsed by other code."""
+    got = {r.doc_id: r for r in queries.op10_media(spark, SF).collect()}
+    stored = media.store(docs).collect()
+    assert len(got) == len(stored)
+    for r in stored:
+        data = bytes(r.media)
+        stbl = inner(data, "moov", "trak", "mdia", "minf", "stbl")
+        num = lambda b, i, n=4: int.from_bytes(b[i : i + n], "big")
+        stsz, stss, stsc, co64, mdhd = inner(stbl, "stsz"), inner(stbl, "stss"), inner(stbl, "stsc"), inner(stbl, "co64"), inner(data, "moov", "trak", "mdia", "mdhd")
+        size, n = num(stsz, 4), num(stsz, 8)
+        runs = [(num(stsc, 8 + 12 * i), num(stsc, 12 + 12 * i)) for i in range(num(stsc, 4))]
+        places = []
+        for c in range(num(co64, 4)):
+            per = [p for first, p in runs if first <= c + 1][-1]
+            places += [num(co64, 8 + 8 * c, 8) + k * size for k in range(per)]
+        keys = [places[num(stss, 8 + 4 * i) - 1] for i in range(num(stss, 4))]
+        assert len(places) == n and b"".join(data[p : p + size] for p in places) == inner(data, "mdat")
+        ranges = hashlib.md5(",".join(f"{k}-{k + size}" for k in keys).encode()).hexdigest()
+        want = f"codec=raw;seconds={num(mdhd, 24, 8) / num(mdhd, 20):.6f};samples={n};keys={len(keys)};first={keys[0]}-{keys[0] + size};ranges={ranges}"
+        g = got[r.doc_id]
+        assert (g.media_bytes, g.media_sha256, g.feature) == (len(data), hashlib.sha256(data).hexdigest(), want)
+
+
+def test_media_tracks_and_fragments(spark):
+    """Two tracks, compact sizes, and samples of movie fragments."""
+    def trak(number, codec, *tables):
+        stbl = media.box(b"stbl", media.full(b"stsd", struct.pack(">I", 1), media.box(codec, bytes(8))), *tables)
+        mdhd = media.full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 500, 0, 0))
+        return media.box(b"trak", media.full(b"tkhd", struct.pack(">IIIII", 0, 0, number, 0, 0)), media.box(b"mdia", mdhd, media.box(b"minf", stbl)))
+
+    def tables(sizes, first, half=False):
+        packed = bytes((a << 4 | b) for a, b in zip(sizes[::2], [*sizes, 0][1::2], strict=True)) if half else bytes(sizes)
+        n = len(sizes)
+        return (
+            media.full(b"stts", struct.pack(">III", 1, n, 10) if n else struct.pack(">I", 0)), media.full(b"stsc", struct.pack(">IIII", 1, 1, n, 1) if n else struct.pack(">I", 0)),
+            media.full(b"stz2", struct.pack(">II", 4 if half else 8, n), packed), media.full(b"stco", struct.pack(">II", 1, first) if n else struct.pack(">I", 0)),
+        )
+
+    def file(first):
+        moov = media.box(b"moov", trak(1, b"mp4a", *tables([3, 5, 2], first, half=True)), trak(7, b"avc1", *tables([20, 30], first + 10)), trak(9, b"opus", *tables([], 0)), media.box(b"mvex", media.full(b"trex", struct.pack(">IIIII", 9, 1, 40, 4, 0x10000))))
+        moof = lambda at: media.box(b"moof", media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 9), flags=0x20000), media.full(b"trun", struct.pack(">IiI", 3, at, 0), flags=5), media.full(b"trun", struct.pack(">IIIII", 2, 50, 6, 60, 7), flags=0x300)))
+        frag = moof(len(moof(0)) + 8)
+        return moov + media.box(b"mdat", bytes(range(60))) + frag + media.box(b"mdat", b"aaaabbbbccccddddddeeeeeee"), len(moov) + 8
+
+    data, first = file(0)
+    data, _ = file(first)
+    got = media.tracks(data)
+    assert [t["codec"] for t in got] == ["mp4a", "avc1", "opus"]
+    assert [[s for _, s, _ in t["samples"]] for t in got] == [[3, 5, 2], [20, 30], [4, 4, 4, 6, 7]]
+    assert media.read_samples(data) == bytes(range(10)) and media.read_samples(data, 1) == bytes(range(10, 60)) and media.read_samples(data, 2) == b"aaaabbbbccccddddddeeeeeee"
+    assert [k for _, _, k in got[2]["samples"]] == [True, False, False, False, False] and got[2]["duration"] == 500 + 3 * 40 + 110
+    rows = media.probe(spark.createDataFrame([(1, data), (1, data), (2, b"")], "doc_id long, media binary")).orderBy("doc_id", "track").collect()
+    assert [(r.doc_id, r.track, r.codec, r.samples) for r in rows] == [(1, 0, "mp4a", 3)] * 2 + [(1, 1, "avc1", 2)] * 2 + [(1, 2, "opus", 5)] * 2 + [(2, None, None, None)]
+
+
 @given(st.binary(max_size=400), st.integers(0, 5000), st.binary(min_size=1, max_size=6))
 @settings(max_examples=200, deadline=None)
 def test_readers_survive_any_bytes(noise, at, patch):
@@ -391,9 +466,8 @@ def test_readers_survive_any_bytes(noise, at, patch):
     at %= len(data) - len(patch)
     for bad in (noise, data[:at] + patch + data[at + len(patch) :], data[:at]):
         try:
-            table = media.sample_table(bad)
-            assert all(o + n <= len(bad) for o, n, _ in table["samples"])
-        except (ValueError, KeyError, IndexError, struct.error):
+            assert all(o + n <= len(bad) for t in media.tracks(bad) for o, n, _ in t["samples"])
+        except (ValueError, IndexError, struct.error):
             pass
     recs = [warc.member(warc.record(i, "u", b"p%d" % i * 50, hashlib.sha1(b"p%d" % i * 50).hexdigest(), None)) for i in range(3)]
     whole = recs[0] + noise + recs[1] + patch + recs[2]
