@@ -17,10 +17,18 @@ SMALLINT = (
 KEY = ["pair", "timestamp_utc"]
 
 
+def one_of_each(df: DataFrame, key: list[str]) -> DataFrame:
+    """One row for each key: of several the greatest, compared column by column, so that reruns agree."""
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*key).agg(F.max(F.struct(*rest)).alias("__row")).select(*(F.col(c) if c in key else F.col(f"__row.{c}").alias(c) for c in df.columns))
+
+
 def insert_ignore(existing: DataFrame, new: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Rows of ``new`` whose key ``existing`` lacks, one for each key: what is to be appended."""
     key = key or KEY
-    return new.dropDuplicates(key).join(existing.select(*key), key, "left_anti")
+    return one_of_each(new, key).join(existing.select(*key), key, "left_anti")
 
 
 def fit_schema(df: DataFrame, columns: list[str], reserved: tuple = ("id",)) -> DataFrame:
@@ -37,7 +45,7 @@ def join_update(target: DataFrame, updates: DataFrame, key: list[str] | None = N
     """
     key = key or KEY
     cols = [c for c in updates.columns if c in target.columns and c not in key]
-    side = updates.dropDuplicates(key).select(*key, F.lit(True).alias("__hit"), *(F.col(c).alias(f"__new_{c}") for c in cols))
+    side = one_of_each(updates.select(*key, *cols), key).select(*key, F.lit(True).alias("__hit"), *(F.col(c).alias(f"__new_{c}") for c in cols))
     joined = target.join(side, key, "left")
     kinds = dict(target.dtypes)
     fill = lambda c: F.coalesce(F.col(f"__new_{c}").cast(kinds[c]), F.lit(missing).cast(kinds[c])) if kinds[c] in ("double", "float", "smallint", "int", "bigint") else F.col(f"__new_{c}")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from barloom.plans.pipeline import DIGITS
 
 BARS = """candles AS (
-  SELECT event_type AS pair, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS timestamp_utc, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
-         arg_max(value, ts) AS close, count(*)::DOUBLE AS volume
+  SELECT event_type AS pair, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS timestamp_utc, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+         arg_max(value, (ts, event_id)) AS close, count(*)::DOUBLE AS volume
   FROM events GROUP BY 1, 2)"""
 ROWS = BARS + """, x AS (
   SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY pair) AS n, lag(close) OVER w AS c1, lag(close, 3) OVER w AS c3, lag(open) OVER w AS o1, lag(high) OVER w AS h1,
@@ -40,7 +40,7 @@ SQL: dict[str, str] = {}
 
 SQL["candles"] = q(BARS, f"SELECT {rounded('open', 'high', 'low', 'close', 'volume')} FROM candles")
 SQL["candles_by_user"] = f"""SELECT {rounded('open', 'high', 'low', 'close', 'volume')} FROM (
-  SELECT user_id::VARCHAR AS pair, CAST(date_trunc('day', ts) AS TIMESTAMP) AS timestamp_utc, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2)"""
+  SELECT user_id::VARCHAR AS pair, CAST(date_trunc('day', ts) AS TIMESTAMP) AS timestamp_utc, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2)"""
 SQL["scan_pair"] = q(BARS, f"SELECT {rounded('open', 'high', 'low', 'close', 'volume')} FROM candles WHERE pair = 'click' AND timestamp_utc BETWEEN '2024-01-05' AND '2024-01-12'")
 SQL["scan_latest"] = q(BARS, f"SELECT {rounded('open', 'high', 'low', 'close', 'volume')} FROM candles QUALIFY row_number() OVER (PARTITION BY pair ORDER BY timestamp_utc DESC) <= 100")
 SQL["scan_trailing"] = q(BARS, f"SELECT {rounded('open', 'high', 'low', 'close', 'volume')} FROM candles WHERE timestamp_utc >= (SELECT max(timestamp_utc) - INTERVAL 7 DAY FROM candles)")
@@ -251,12 +251,12 @@ SQL["validate_clean"] = q(BARS, """SELECT pair, '' AS validator, '' AS issue_typ
 def stats_sql(table: str, columns: list[str]) -> str:
     long = " UNION ALL ".join(f"SELECT pair, '{c}' AS \"column\", {c}::DOUBLE AS v FROM {table}" for c in columns)
     return f"""long AS ({long}), st AS (SELECT pair, "column", count(*) AS n, avg(v) AS mean, quantile_cont(v, 0.5) AS median, min(v) AS least, max(v) AS most, stddev_samp(v) AS sd, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3,
-      count_if(v = 0)::BIGINT AS zeros, count(DISTINCT v) AS "distinct", CASE WHEN count(*) > 2 AND stddev_pop(v) > 1e-9 THEN skewness(v) END AS skew FROM long GROUP BY 1, 2),
+      count_if(v = 0)::BIGINT AS zeros, count(DISTINCT v) AS "distinct", CASE WHEN count(*) > 2 AND stddev_pop(v) > 1e-9 THEN skewness(v) END AS skew, CASE WHEN count(*) > 3 AND stddev_pop(v) > 1e-9 THEN kurtosis(v) END AS kurt, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM long GROUP BY 1, 2),
     sx AS (SELECT st.*, (SELECT count(*) FROM long WHERE long.pair = st.pair AND long."column" = st."column" AND (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1))) AS outliers FROM st)"""
 
 
-SQL["distributions"] = q(BARS + ", " + stats_sql("candles", ["open", "close", "volume"]), "SELECT " + rounded("mean", "median", "least", "most", "sd", "q1", "q3", "skew", keys='pair, "column", n, zeros, "distinct", outliers') + " FROM sx")
-SQL["distribution_issues"] = q("li AS (SELECT *, l_returnflag AS pair, power(l_quantity / 10, 3) AS cube FROM lineitem), " + stats_sql("li", ["l_quantity", "l_tax", "l_extendedprice", "cube"]), """SELECT pair, "column", 'high_zeros_percentage' AS issue_type, round(100 * zeros / n, 6) AS value FROM sx WHERE 100 * zeros / n > 40
+SQL["distributions"] = q(BARS + ", " + stats_sql("candles", ["open", "close", "volume"]), "SELECT " + rounded("mean", "median", "least", "most", "sd", "q1", "q3", "iqr", "skew", "kurt", keys='pair, "column", n, zeros, "distinct", outliers') + " FROM sx")
+SQL["distribution_issues"] = q("li AS (SELECT *, l_returnflag AS pair, power(l_quantity / 10, 6) AS cube, CASE WHEN l_tax < 0.05 THEN 0.0 ELSE l_tax END AS rest, CASE WHEN l_quantity = 50 THEN l_extendedprice ELSE l_tax END AS rare FROM lineitem), " + stats_sql("li", ["l_quantity", "l_extendedprice", "cube", "rest", "rare"]), """SELECT pair, "column", 'high_zeros_percentage' AS issue_type, round(100 * zeros / n, 6) AS value FROM sx WHERE 100 * zeros / n > 40
   UNION ALL SELECT pair, "column", 'extreme_skewness', round(skew, 6) FROM sx WHERE abs(skew) > 10 UNION ALL SELECT pair, "column", 'high_outliers_percentage', round(100 * outliers / n, 6) FROM sx WHERE 100 * outliers / n > 5""")
 SQL["issue_neighbourhood"] = q(GAPS, "SELECT gp.pair, gp.gap_end AS issue_time, c.timestamp_utc, round(c.close, 6) AS close FROM gp JOIN candles c ON c.pair = gp.pair AND c.timestamp_utc BETWEEN gp.gap_end - INTERVAL 5 HOUR AND gp.gap_end + INTERVAL 5 HOUR")
 
@@ -268,7 +268,7 @@ def summary_sql(source: str) -> str:
 
 
 SQL["market_summary"] = q(BARS + ", " + summary_sql("candles"), f"SELECT {rounded('close', 'previous_close', 'volume', 'change_pct', keys='pair')} FROM mk")
-SQL["movers"] = q("uc AS (SELECT user_id::VARCHAR AS pair, date_trunc('hour', ts) AS timestamp_utc, arg_max(value, ts) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2), " + summary_sql("uc"), " UNION ALL ".join(
+SQL["movers"] = q("uc AS (SELECT user_id::VARCHAR AS pair, date_trunc('hour', ts) AS timestamp_utc, arg_max(value, (ts, event_id)) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2), " + summary_sql("uc"), " UNION ALL ".join(
     f"SELECT '{b}' AS board, place::INT AS place, pair, round(score, 6) AS score FROM (SELECT pair, {e} AS score, row_number() OVER (ORDER BY {e} DESC, pair) AS place FROM mk WHERE {e} IS NOT NULL) WHERE place <= 5" for b, e in (("gainers", "change_pct"), ("losers", "-change_pct"), ("volume", "volume"))))
 SQL["alerts"] = q(RECURSE + f", a AS (SELECT pair, timestamp_utc, round(rsi, 6) AS rsi, round(coalesce(hist - hist1, 0), 6) AS m FROM t), b AS (SELECT *, lag(m) OVER {W}) AS m1 FROM a)", """SELECT pair, timestamp_utc, CASE WHEN rsi > 70 THEN 'overbought' WHEN rsi < 30 THEN 'oversold' END AS rsi_alert,
   CASE WHEN m1 <= 0 AND m > 0 THEN 'bullish' WHEN m1 >= 0 AND m < 0 THEN 'bearish' END AS macd_cross FROM b WHERE rsi_alert IS NOT NULL OR macd_cross IS NOT NULL""")
@@ -291,3 +291,40 @@ SQL["performance"] = q(BARS + """, tr AS (SELECT pair, timestamp_utc, least((clo
 
 _ALL = ("price_action", "momentum", "volatility", "volume", "statistical", "pattern", "calendar", "labels", "momentum_recursive", "volatility_recursive", "volume_recursive", "multi_timeframe", "cross_pair")
 SQL["full_backfill"] = "SELECT * FROM " + " JOIN ".join(f"({SQL[n]})" + ("" if k == 0 else " USING (pair, timestamp_utc)") for k, n in enumerate(_ALL))
+
+SQL["scan_listed"] = q(BARS, f"SELECT {rounded('open', 'high', 'low', 'close', 'volume')} FROM candles WHERE pair <> 'error'")
+SQL["parse_index_candles"] = q(ROWS, f"""SELECT pair || '-USDT' AS symbol, epoch_ms(timestamp_utc) AS ms, {rounded('open', 'high', 'low', 'close', keys='1 AS one').replace('1 AS one, ', '')},
+  i % 4 <> 0 AS confirmed FROM x""")
+#: Columns of each recomputing validator; the queries move every seventh bar of all of them.
+PLANTED = {
+    "momentum": "stoch_k_14 williams_r_14 roc_10 stoch_d_14 cci_14 awesome_oscillator",
+    "volatility": "true_range bollinger_width_1h bollinger_percent_b donchian_channel_width_1h historical_vol_30",
+    "volume": "obv_1h money_flow_index_1h obv_slope_1h volume_change_pct_1h vwma_20 chaikin_money_flow volume_price_confirmation volume_price_trend",
+    "recursive": "rsi_1h rsi_slope_1h macd_slope_1h macd_hist_slope_1h tsi ppo atr_1h normalized_atr_14 keltner_channel_width chaikin_volatility parabolic_sar_1h klinger_oscillator volume_oscillator volume_zone_oscillator hurst_exponent shannon_entropy",
+    "statistical": "std_dev_returns_20 skewness_20 kurtosis_20 z_score_20 autocorr_1 estimated_slippage_1h bid_ask_spread_1h",
+    "patterns": "pattern_doji pattern_engulfing pattern_hammer pattern_morning_star resistance_level support_level",
+    "temporal": "hour_of_day day_of_week month_of_year is_weekend asian_session european_session american_session",
+    "labels": "future_return_1h_pct future_return_4h_pct future_return_12h_pct future_return_1d_pct future_return_3d_pct future_return_1w_pct future_return_2w_pct future_max_return_24h_pct future_max_drawdown_12h_pct was_profitable_12h future_risk_adj_return_12h profit_target_1pct profit_target_2pct",
+}
+for _name, _cols in PLANTED.items():
+    SQL[f"validate_{_name}"] = q(ROWS, f"""SELECT pair, '{_name}' AS validator, 'calculation_mismatch' AS issue_type, unnest({_cols.split()}) AS "column", count_if(i % 7 = 3)::BIGINT AS issues, count(*) AS candles FROM x GROUP BY pair""")
+_RANKS = ["volume_rank_1h", "volatility_rank_1h", "performance_rank_btc_1h", "performance_rank_eth_1h"]
+SQL["validate_cross_pair"] = q(ROWS, f"""SELECT pair, 'cross_pair' AS validator, 'rank_range' AS issue_type, unnest({_RANKS}) AS "column", count_if(i % 11 = 2)::BIGINT AS issues, count(*) AS candles FROM x GROUP BY pair
+  UNION ALL SELECT pair, 'cross_pair', 'correlation_range', 'btc_corr_24h', count_if(i % 13 = 5)::BIGINT, count(*) FROM x GROUP BY pair
+  UNION ALL SELECT pair, 'cross_pair', 'benchmark_correlation', 'btc_corr_24h', count_if(i % 13 = 5)::BIGINT, count(*) FROM x WHERE pair = 'click' GROUP BY pair""")
+
+
+def turned(column: str, k: int) -> str:
+    return f"CASE WHEN i % {k} = 1 THEN 1 - {column} ELSE {column} END"
+
+
+SQL["validate_targets"] = f"""WITH l AS ({SQL["labels"]}), r AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY timestamp_utc) - 1 AS i FROM l),
+  f AS (SELECT pair, future_max_return_24h_pct AS top, future_return_12h_pct AS gain, {turned("profit_target_1pct", 5)} AS p1, {turned("profit_target_2pct", 9)} AS p2, {turned("was_profitable_12h", 4)} AS w FROM r),
+  c AS (SELECT pair, 'targets' AS validator, 'inconsistent_target' AS issue_type, 'profit_target_1pct' AS "column", count_if(p1 <> (top > 0.01)::INT)::BIGINT AS issues, count(*) AS candles FROM f GROUP BY pair
+    UNION ALL SELECT pair, 'targets', 'inconsistent_target', 'profit_target_2pct', count_if(p2 <> (top > 0.02)::INT)::BIGINT, count(*) FROM f GROUP BY pair
+    UNION ALL SELECT pair, 'targets', 'order_of_targets', 'profit_target_2pct', count_if(p2 > p1)::BIGINT, count(*) FROM f GROUP BY pair
+    UNION ALL SELECT pair, 'labels', 'inconsistent_profit', 'was_profitable_12h', count_if(w <> (gain > 0)::INT)::BIGINT, count(*) FROM f GROUP BY pair)
+  SELECT * FROM c WHERE issues > 0"""
+SQL["full_backfill_wide"] = SQL["full_backfill"].replace("SELECT * FROM ", "SELECT * EXCLUDE (future_risk_adj_return_12h) FROM ", 1).replace("event_type AS pair", "user_id::VARCHAR AS pair").replace("'click'", "'1'").replace("'view'", "'2'")
+SQL["clean_values"] = """SELECT l_orderkey AS pair, l_linenumber AS timestamp_utc, round(CASE WHEN l_linenumber > 3 THEN l_tax / l_quantity ELSE 0 END, 6) AS ratio,
+  round_even(l_quantity / 2, 0)::SMALLINT AS volume_rank_1h FROM lineitem"""

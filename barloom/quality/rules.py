@@ -5,6 +5,8 @@ RANGES = (
     (("rsi_1h", "rsi_4h", "rsi_1d", "stoch_k_14", "stoch_d_14", "money_flow_index_1h"), 0, 100),
     (("btc_corr_24h", "autocorr_1"), -1, 1),
     (("volume_rank_1h", "volatility_rank_1h", "performance_rank_btc_1h", "performance_rank_eth_1h"), 0, 100),
+    (("hurst_exponent",), 0, 1),
+    (("shannon_entropy",), 0, None),
     (("hour_of_day",), 0, 23),
     (("day_of_week",), 0, 6),
     (("month_of_year",), 1, 12),

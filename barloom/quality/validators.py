@@ -178,23 +178,37 @@ def validate(stored: DataFrame, params: Params | None = None, skip: tuple = ())
 
 
 def distributions(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(pair, column, n, mean, median, least, most, sd, q1, q3, zeros, distinct, skew, outliers) of numeric columns.
+    """(pair, column, n, mean, median, least, most, sd, q1, q3, iqr, zeros, distinct, skew, kurt, outliers) of numeric columns.
 
-    Quartiles are exact with linear interpolation, deviation and skew those of a sample; outliers lie
-    beyond one and a half times the quartiles' distance. One unpivot, two aggregations.
+    Quartiles are exact with linear interpolation; deviation, skew and kurtosis (excess) those of a sample;
+    outliers lie beyond one and a half times the quartiles' distance. Values are counted first; their
+    places are running sums over the sorted distinct values, so that no buffer holds a column's values.
     """
     long = df.select(PAIR, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot([PAIR], columns, "column", "value").where("value is not null and not isnan(value)")
-    v = F.col("value")
-    n = F.count(F.lit(1))
-    fix = F.sqrt(n * (n - 1)) / (n - 2)
+    v, n = F.col("value"), F.count(F.lit(1))
+    spread = F.stddev_pop(v) > 1e-9
     by = long.groupBy(PAIR, "column").agg(
-        n.alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"), F.stddev_samp(v).alias("sd"),
-        F.percentile(v, F.lit(0.25)).alias("q1"), F.percentile(v, F.lit(0.75)).alias("q3"), F.count_if(v == 0).alias("zeros"), F.countDistinct(v).alias("distinct"),
-        F.when((n > 2) & (F.stddev_pop(v) > 1e-9), F.skewness(v) * fix).alias("skew"),
+        n.alias("n"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), F.stddev_samp(v).alias("sd"), F.count_if(v == 0).alias("zeros"),
+        F.when((n > 2) & spread, F.skewness(v) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
+        F.when((n > 3) & spread, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(v) + 6)).alias("kurt"),
+    )
+    counted = long.groupBy(PAIR, "column", "value").agg(n.alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(PAIR, "column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("upto", upto).join(by.select(PAIR, "column", "n"), [PAIR, "column"])
+
+    def quantile(p: float) -> Column:
+        at = (F.col("n") - 1) * p
+        value = lambda k: F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("c") <= k), v))
+        low, high = value(F.floor(at)), value(F.ceil(at))
+        return low + (high - low) * F.max(at - F.floor(at))
+
+    cuts = placed.groupBy(PAIR, "column").agg(quantile(0.5).alias("median"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3"), F.count(F.lit(1)).alias("distinct"))
+    cuts = cuts.withColumn("iqr", F.col("q3") - F.col("q1"))
+    far = (v < F.col("q1") - 1.5 * F.col("iqr")) | (v > F.col("q3") + 1.5 * F.col("iqr"))
+    out = counted.join(cuts, [PAIR, "column"]).groupBy(PAIR, "column").agg(F.coalesce(F.sum(F.when(far, F.col("c"))), F.lit(0)).alias("outliers"))
+    return by.join(cuts, [PAIR, "column"]).join(out, [PAIR, "column"]).select(
+        PAIR, "column", "n", "mean", "median", "least", "most", "sd", "q1", "q3", "iqr", "zeros", "distinct", "skew", "kurt", "outliers",
     )
-    span = 1.5 * (F.col("q3") - F.col("q1"))
-    out = long.join(by.select(PAIR, "column", (F.col("q1") - span).alias("lo"), (F.col("q3") + span).alias("hi")), [PAIR, "column"]).groupBy(PAIR, "column").agg(F.count_if((v < F.col("lo")) | (v > F.col("hi"))).alias("outliers"))
-    return by.join(out, [PAIR, "column"])
 
 
 def distribution_issues(stats: DataFrame) -> DataFrame:

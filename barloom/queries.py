@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.frames import numbered
+from barloom.functions.frames import clean, numbered
 from barloom.operators import features, gaps, joins, upsert
 from barloom.operators.cross_pair import cross_pair
 from barloom.operators.multi_timeframe import complete_grid, multi_timeframe, resample
@@ -201,8 +201,10 @@ def q_distributions(spark, sf_dir):
 
 
 def q_distribution_issues(spark, sf_dir):
-    li = candles.read_table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "pair").withColumn("cube", F.pow(F.col("l_quantity") / 10, F.lit(3)))
-    return tidy(validators.distribution_issues(validators.distributions(li, ["l_quantity", "l_tax", "l_extendedprice", "cube"])))
+    li = candles.read_table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "pair").withColumns(
+        {"cube": F.pow(F.col("l_quantity") / 10, F.lit(6)), "rest": F.when(F.col("l_tax") < 0.05, 0.0).otherwise(F.col("l_tax")), "rare": F.when(F.col("l_quantity") == 50, F.col("l_extendedprice")).otherwise(F.col("l_tax"))}
+    )
+    return tidy(validators.distribution_issues(validators.distributions(li, ["l_quantity", "l_extendedprice", "cube", "rest", "rare"])))
 
 
 def q_issue_grades(spark, sf_dir):
@@ -277,10 +279,13 @@ def q_streaming_candles(spark, sf_dir):
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and the master local."""
+    import re
     import tempfile
 
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (root or tempfile.mkdtemp(prefix="barloom-")).rstrip("/")
 
 
@@ -342,7 +347,77 @@ def q_top_width(spark, sf_dir):
     return tidy(df.withColumn("place", F.row_number().over(order)).where("place <= 10"))
 
 
+def q_scan_listed(spark, sf_dir):
+    """Bars of the live instruments of a list with repeats: a semi join."""
+    e = candles.read_table(spark, sf_dir, "events")
+    listed = e.select(F.concat("event_type", F.when(F.col("event_type") == "view", "-USDT").otherwise("-USDT-SWAP")).alias("instId"), F.lit("USDT").alias("quoteCcy"), F.when(F.col("event_type") == "view", "live").otherwise("off").alias("state")).where("event_type <> 'error'")
+    pairs = raw.swap_pairs(listed).select(F.regexp_replace("symbol", "-USDT(-SWAP)?$", "").alias("pair"))
+    return tidy(candles.of_pairs(candles.hourly(spark, sf_dir), pairs.unionAll(pairs)))
+
+
+def q_parse_index_candles(spark, sf_dir):
+    """Bars written as index messages of six texts and parsed back; every fourth is not confirmed."""
+    bars = numbered(candles.hourly(spark, sf_dir))
+    ms = F.unix_millis(F.col("timestamp_utc").cast("timestamp"))
+    texts = [ms.cast("string"), *(F.col(c).cast("string") for c in ("open", "high", "low", "close")), F.when(F.col("__i") % 4 == 0, "0").otherwise("1")]
+    parsed = raw.parse_price_candles(bars.select(F.concat("pair", F.lit("-USDT-SWAP")).alias("symbol"), F.to_json(F.array(*texts)).alias("data")), index=True)
+    return tidy(parsed.select("symbol", F.unix_millis("timestamp").alias("ms"), "open", "high", "low", "close", "confirmed"))
+
+
+def _planted(validator: str):
+    """A query for a recomputing validator: every seventh bar's stored features are moved beyond any tolerance."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        added: dict[str, str] = {}
+        groups = validators.RECOMPUTE[validator]
+        stored = numbered(compute_features(candles.hourly(spark, sf_dir), PARAMS, groups, added))
+        off = {c: (F.col(c) + F.when(F.col("__i") % 7 == 3, 2).otherwise(0)).cast(dict(stored.dtypes)[c]) for c, g in added.items() if g in groups and dict(stored.dtypes)[c] != "boolean"}
+        return validators.recomputed(stored.withColumns(off).drop("__i", "__n"), {validator: groups}, PARAMS)
+
+    return query
+
+
+def q_validate_cross_pair(spark, sf_dir):
+    """Cross-section features with ranks above 100 and correlations below -1 set in some bars."""
+    df = numbered(compute_features(candles.hourly(spark, sf_dir), PARAMS, ["cross_pair"]))
+    ranks = {c: F.when(F.col("__i") % 11 == 2, 200).otherwise(F.col(c)) for c in ("volume_rank_1h", "volatility_rank_1h", "performance_rank_btc_1h", "performance_rank_eth_1h")}
+    corr = F.when(F.col("__i") % 13 == 5, -3.0).otherwise(F.col("btc_corr_24h"))
+    return validators.count_issues(df.withColumns({**ranks, "btc_corr_24h": corr}), validators.cross_pair_checks("click"))
+
+
+def q_validate_targets(spark, sf_dir):
+    """Labels whose targets and profit flags are turned over in some bars."""
+    df = numbered(compute_features(candles.hourly(spark, sf_dir), PARAMS, ["labels"]))
+    flip = lambda c, k: (F.when(F.col("__i") % k == 1, 1 - F.col(c)).otherwise(F.col(c))).cast("int")
+    df = df.withColumns({"profit_target_1pct": flip("profit_target_1pct", 5), "profit_target_2pct": flip("profit_target_2pct", 9), "was_profitable_12h": flip("was_profitable_12h", 4)})
+    return validators.count_issues(df, validators.target_checks())
+
+
+def q_full_backfill_wide(spark, sf_dir):
+    """All feature groups over hourly bars of every user: as many pairs as there are users.
+
+    One column is left out: its divisor is next to 0 in sparse bars, and its quotient beyond 16 digits.
+    """
+    bars = candles.candles_from_events(candles.read_table(spark, sf_dir, "events"), "1 hour", "user_id")
+    return tidy(compute_features(bars, Params(cross_pair=CrossPair(btc="1", eth="2"))).drop(*RAW, "future_risk_adj_return_12h"))
+
+
+def q_clean_values(spark, sf_dir):
+    """Line items' ratios with NaN, infinities and nulls set to 0, in the columns that a target table has."""
+    li = candles.read_table(spark, sf_dir, "lineitem")
+    ratio = F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).when(F.col("l_linenumber") == 2, F.lit(float("inf"))).when(F.col("l_linenumber") > 3, F.col("l_tax") / F.col("l_quantity"))
+    df = li.select(F.col("l_orderkey").alias("pair"), F.col("l_linenumber").alias("id"), F.col("l_linenumber").alias("timestamp_utc"), clean(ratio).alias("ratio"), (F.col("l_quantity") / 2).alias("volume_rank_1h"), F.lit(1).alias("unknown"))
+    return tidy(upsert.fit_schema(df, ["pair", "timestamp_utc", "ratio", "volume_rank_1h", "id"]))
+
+
 QUERIES = {
+    "scan_listed": q_scan_listed,
+    "parse_index_candles": q_parse_index_candles,
+    **{f"validate_{name}": _planted(name) for name in ("momentum", "volatility", "volume", "recursive", "statistical", "patterns", "temporal", "labels")},
+    "validate_cross_pair": q_validate_cross_pair,
+    "validate_targets": q_validate_targets,
+    "full_backfill_wide": q_full_backfill_wide,
+    "clean_values": q_clean_values,
     "candles": q_candles,
     "candles_by_user": q_candles_by_user,
     "scan_pair": q_scan_pair,

@@ -10,17 +10,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def moment(time: Column, number: Column | None) -> Column:
+    """What orders events: their time, then their number. One decimal, as aggregation buffers of fixed width hash, where a struct would sort."""
+    t = F.unix_micros(time.cast("timestamp"))
+    if number is None:
+        return t
+    return t.cast("decimal(19,0)") * F.lit(str(10**19)).cast("decimal(20,0)") + number.cast("decimal(19,0)")
+
+
 def candles_from_events(events: DataFrame, width: str = "1 hour", pair: str = "event_type") -> DataFrame:
     """Bars of ``width`` for each value of ``pair``: first, greatest, least and last value, count as volume.
 
     Partial aggregates meet in one shuffle; event times need no time zone. Events without pair, time or
-    value make no bar.
+    value make no bar. Of events of one time, the event_id decides which is first and last.
     """
     t = F.col("ts")
+    at = moment(t, F.coalesce("event_id", F.lit(-1)) if "event_id" in events.columns else None)
     rows = events.where(F.col(pair).isNotNull() & t.isNotNull() & F.col("value").isNotNull())
     bars = rows.groupBy(F.col(pair).cast("string").alias("pair"), F.window(t, width).start.alias("timestamp_utc")).agg(
-        F.min_by("value", t).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
-        F.max_by("value", t).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"),
+        F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
+        F.max_by("value", at).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"),
     )
     return bars
 
@@ -34,6 +43,11 @@ def of_pair(bars: DataFrame, pair: str) -> DataFrame:
     return bars.where(F.col("pair") == pair)
 
 
+def of_pairs(bars: DataFrame, listed: DataFrame, pair: str = "pair") -> DataFrame:
+    """Bars of the pairs that ``listed`` has: a semi join, so that repeated entries do not repeat bars."""
+    return bars.join(listed.select(F.col(pair).alias("pair")), "pair", "left_semi")
+
+
 def in_range(bars: DataFrame, start: str | Column, end: str | Column) -> DataFrame:
     """Bars from ``start`` to ``end``, both included."""
     kind = dict(bars.dtypes)["timestamp_utc"]

@@ -1,10 +1,9 @@
-"""Exchange messages: positional arrays of texts, funding rates, trades, premiums, and paged recordings."""
+"""Exchange messages: positional arrays of texts, funding rates, trades and premiums."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from barloom.functions.frames import millis, truthy
 
@@ -74,50 +73,3 @@ def fetch_summary(logs: DataFrame, line: str = "line") -> DataFrame:
         F.min(F.when(seen != "", seen)).alias("first_time"),
     )
 
-
-class _PagePartition(InputPartition):
-    def __init__(self, symbol: str):
-        self.symbol = symbol
-
-
-class _PageReader(DataSourceReader):
-    """Pages back from the newest record of each symbol until a page is empty or older than ``until``."""
-
-    def __init__(self, options: dict):
-        self.root, self.symbols = options["path"], options["symbols"].split(",")
-        self.until, self.limit = int(options.get("until", 0)), int(options.get("limit", 100))
-
-    def partitions(self):
-        return [_PagePartition(s) for s in self.symbols]
-
-    def read(self, partition):
-        import json
-        from pathlib import Path
-
-        # A recording holds one JSON array a line, newest first; a page is what lies before the cursor.
-        rows = [json.loads(x) for x in Path(self.root, f"{partition.symbol}.jsonl").read_text().splitlines()]
-        cursor = None
-        while page := [r for r in rows if cursor is None or int(r[0]) < cursor][: self.limit]:
-            for r in page:
-                if int(r[0]) > self.until:
-                    yield partition.symbol, json.dumps(r)
-            cursor = int(page[-1][0])
-            if cursor <= self.until:
-                break
-
-
-class PagedCandles(DataSource):
-    """``spark.read.format("paged_candles")``: recorded pages of a candle endpoint, a partition for each symbol.
-
-    Options: path (a folder of ``<symbol>.jsonl`` recordings), symbols, until (epoch ms), limit (a page).
-    """
-
-    @classmethod
-    def name(cls):
-        return "paged_candles"
-
-    def schema(self):
-        return "symbol string, data string"
-
-    def reader(self, schema):
-        return _PageReader(self.options)

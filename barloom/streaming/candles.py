@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.schemas import EVENTS
+from barloom.sources.candles import moment
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -26,9 +27,10 @@ def candle_stream(events: DataFrame, width: str = "1 hour", late: str = "2 hours
     Repeated events (same id within the watermark) count once.
     """
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    at = moment(F.col("ts"), F.col("event_id"))
     bars = rows.groupBy(F.col("event_type").alias("pair"), F.window("ts", width).alias("w")).agg(
-        F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
-        F.max_by("value", "ts").alias("close"), F.count(F.lit(1)).cast("double").alias("volume"),
+        F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
+        F.max_by("value", at).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"),
     )
     return bars.select("pair", F.col("w.start").alias("timestamp_utc"), "open", "high", "low", "close", "volume")
 
