@@ -44,7 +44,16 @@ def materialize(df: DataFrame, name: str, compression: str | None = None) -> Dat
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a table of ``materialize`` that nothing will read again."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df.scratch)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -107,7 +116,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for each node of undirected ``edges`` (a, b); component is its smallest node.
 
     Alternating large-star and small-star rounds (O(log n) of them), each written to the shared
-    folder. Loops and repeated edges are ignored, edges with a null end too. No edges: no rows.
+    folder, where the round before is deleted. They end when count and digest of the edges stay; more
+    than ``rounds`` of them are an error, never a partial result. Loops and repeated edges are ignored, edges with a null end too. No edges: no rows.
     Nodes without an edge are not returned; the caller's left join gives them themselves.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -116,8 +126,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not seen[0]:
             break
-        now = materialize(star_edges(now), "edges")
+        before, now = now, materialize(star_edges(now), "edges")
         state = _state(now)
+        release(before)
         if state == seen:
             break
         seen = state
