@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import bpe, exactdedup, langid, mixing, nearcopies
-from barloom.llm.common import materialize
+from barloom.llm.common import materialize, release
 
 #: Kept columns, in order.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -64,10 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read again by the next."""
+    """All stages over ``documents``; each stage's rows are written, read again by the next, and then deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{name}")
+            written = materialize(docs, f"stage-{name}")
+            if k:
+                release(before)
+            docs = before = written
     return docs
