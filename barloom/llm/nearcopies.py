@@ -36,7 +36,7 @@ AGREE = 44
 _MIX = np.random.default_rng(42).integers(1, 1 << 63, (2, BANDS * ROWS, 1), np.uint64)
 _MULTIPLY, _ADD = _MIX[0] | np.uint64(1), _MIX[1]
 #: Shingles mixed at once, rows and bytes of sets that a task joins at once, node pairs descended at once.
-RUN_SHINGLES, RUN_ROWS, RUN_BYTES, RUN_PAIRS = 1 << 14, 1 << 14, 32 << 20, 1 << 18
+RUN_SHINGLES, RUN_ROWS, RUN_BYTES, RUN_PAIRS = 1 << 12, 1 << 13, 12 << 20, 1 << 17
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
