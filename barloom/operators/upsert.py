@@ -58,6 +58,7 @@ def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite") -> None
     df.withColumn("month", month).repartition("month", "pair").sortWithinPartitions("pair", "timestamp_utc").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int = 64) -> None:
-    """A table bucketed and sorted by pair, so that later windows and joins on the pair need no shuffle."""
-    df.write.bucketBy(buckets, "pair").sortBy("pair", "timestamp_utc").mode("overwrite").saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> None:
+    """A table bucketed and sorted by pair, so that later windows and joins on the pair need no shuffle; at ``path`` if given."""
+    out = df.repartition(buckets, "pair").write.bucketBy(buckets, "pair").sortBy("pair", "timestamp_utc").mode("overwrite")
+    (out.option("path", path) if path else out).saveAsTable(table)

@@ -328,3 +328,13 @@ SQL["validate_targets"] = f"""WITH l AS ({SQL["labels"]}), r AS (SELECT *, row_n
 SQL["full_backfill_wide"] = SQL["full_backfill"].replace("SELECT * FROM ", "SELECT * EXCLUDE (future_risk_adj_return_12h) FROM ", 1).replace("event_type AS pair", "user_id::VARCHAR AS pair").replace("'click'", "'1'").replace("'view'", "'2'")
 SQL["clean_values"] = """SELECT l_orderkey AS pair, l_linenumber AS timestamp_utc, round(CASE WHEN l_linenumber > 3 THEN l_tax / l_quantity ELSE 0 END, 6) AS ratio,
   round_even(l_quantity / 2, 0)::SMALLINT AS volume_rank_1h FROM lineitem"""
+SQL["resource_rollup"] = """SELECT operation, resource, count(*) AS n, round(avg(used), 6) AS mean, round(min(used), 6) AS least, round(max(used), 6) AS most FROM (
+  SELECT l_returnflag AS operation, unnest(['cpu', 'memory', 'gpu']) AS resource, unnest([l_quantity, CASE WHEN l_discount > 0 THEN 100 * l_discount END, 100 * l_tax])::DOUBLE AS used FROM lineitem) WHERE used IS NOT NULL GROUP BY 1, 2"""
+SQL["duration_log"] = SQL["duration_rollup"]
+SQL["text_report"] = q(ISSUES, f"""SELECT 1::INT AS section, row_number() OVER (ORDER BY validator)::INT AS place, validator || ': ' || grade || ', ' || issues || ' issues in ' || pairs_with_issues || ' of ' || pairs || ' pairs' AS line FROM ({SQL["issue_grades"]})
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY issues DESC, pair)::INT, pair || ': ' || issues || ' issues' FROM ({SQL["top_offenders"]})
+  UNION ALL SELECT 3, row_number() OVER (ORDER BY issues DESC, issue_type)::INT, issue_type || ': ' || issues FROM ({SQL["commonest_issues"]})""")
+SQL["recheck"] = q(ROWS, """SELECT a.pair, a.timestamp_utc AS issue_time, 'upper_shadow' AS "column", b.timestamp_utc, round(b.high - greatest(b.open, b.close) + CASE WHEN b.i % 29 = 3 THEN 1 ELSE 0 END, 6) AS stored,
+  round(b.high - greatest(b.open, b.close), 6) AS recomputed FROM x a JOIN x b ON a.pair = b.pair AND a.i % 29 = 3 AND b.timestamp_utc BETWEEN a.timestamp_utc - INTERVAL 5 HOUR AND a.timestamp_utc + INTERVAL 5 HOUR""")
+SQL["write_partitioned"] = q(BARS, f"SELECT {rounded('open', 'high', 'low', 'close', '2 * volume AS volume')} FROM candles")
+SQL["write_bucketed"] = SQL["scan_latest"]

@@ -44,6 +44,17 @@ def duration_rollup(durations: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(whole)).select("operation", "n", "total", "mean", "least", "most", (100 * F.col("total") / F.col("__all")).alias("share_pct"))
 
 
+def resource_rollup(samples: DataFrame, columns: list[str], by: str = "operation") -> DataFrame:
+    """(operation, resource, n, mean, least, most) of sampled loads, one column a resource; nulls are not counted."""
+    long = samples.select(by, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot([by], columns, "resource", "used").where("used is not null")
+    return long.groupBy(by, "resource").agg(F.count(F.lit(1)).alias("n"), F.avg("used").alias("mean"), F.min("used").alias("least"), F.max("used").alias("most"))
+
+
+def append_log(rows: DataFrame, path: str, kind: str = "csv") -> None:
+    """Add rows to a log of CSV or JSON lines; files that are there stay."""
+    rows.write.mode("append").option("header", True).format(kind).save(path)
+
+
 def performance(trades: DataFrame) -> DataFrame:
     """(pair, trades, net_return, win_rate, mean_hours, sharpe, max_drawdown) of closed trades by pair.
 

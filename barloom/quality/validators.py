@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.frames import PAIR, TIME, by_pair
+from barloom.operators.joins import within
 from barloom.params import Params
 from barloom.plans.pipeline import compute_features
 from barloom.schemas import ISSUES
@@ -240,6 +241,17 @@ def commonest(issues: DataFrame, k: int = 5) -> DataFrame:
     return issues.groupBy("issue_type").agg(F.sum("issues").alias("issues")).orderBy(F.desc("issues"), "issue_type").limit(k)
 
 
+def text_report(issues: DataFrame, bars: DataFrame, offenders: int = 20, types: int = 5) -> DataFrame:
+    """(section, place, line) of a report to be read: grades by validator, worst pairs, commonest types of issue."""
+    grades = grade(issues, bars)
+    place = lambda name, *order: F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order))
+    # Each section has a bounded number of rows: one a validator, ``offenders``, ``types``.
+    head = grades.select(F.lit(1).alias("section"), place("grades", "validator").alias("place"), F.format_string("%s: %s, %d issues in %d of %d pairs", "validator", "grade", "issues", "pairs_with_issues", "pairs").alias("line"))
+    worst = top_offenders(issues, offenders).select(F.lit(2).alias("section"), place("worst", F.desc("issues"), PAIR).alias("place"), F.format_string("%s: %d issues", PAIR, "issues").alias("line"))
+    often = commonest(issues, types).select(F.lit(3).alias("section"), place("often", F.desc("issues"), "issue_type").alias("place"), F.format_string("%s: %d", "issue_type", "issues").alias("line"))
+    return head.unionByName(worst).unionByName(often)
+
+
 def write_report(issues: DataFrame, path: str) -> None:
     """Issues as JSON lines."""
     issues.write.mode("overwrite").json(path)
@@ -272,3 +284,25 @@ def drill_down(issues: DataFrame) -> DataFrame:
         look = F.when(fits, F.array(*map(F.lit, columns))).otherwise(look)
         hint = F.when(fits, advice).otherwise(hint)
     return issues.withColumns({"look_at": look, "hint": hint})
+
+
+def recheck(stored: DataFrame, issues: DataFrame, params: Params | None = None, hours: int = 5) -> DataFrame:
+    """(pair, issue_time, column, timestamp_utc, stored, recomputed) around each issue (pair, issue_time, column).
+
+    The groups that make the issues' columns are recomputed for the pairs that have issues, and no others.
+    """
+    named = [r[0] for r in issues.select("column").distinct().collect()]  # at most one row a column of the table
+    added: dict[str, str] = {}
+    raw = stored.join(issues.select(PAIR).distinct(), PAIR, "left_semi")
+    bars = raw.select(PAIR, TIME, "open", "high", "low", "close", "volume")
+    compute_features(bars, params, None, added)  # builds a plan to learn the columns' groups; nothing runs
+    columns = [c for c in named if c in added and c in stored.columns]
+    schema = "pair string, issue_time timestamp_ntz, column string, timestamp_utc timestamp_ntz, stored double, recomputed double"
+    if not columns:
+        return stored.sparkSession.createDataFrame([], schema)
+    made = compute_features(bars, params, sorted({added[c] for c in columns}))
+    both = raw.select(PAIR, TIME, *columns).join(made.select(PAIR, TIME, *(F.col(c).alias(f"__{c}") for c in columns)), [PAIR, TIME])
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("stored"), F.col(f"__{c}").cast("double").alias("recomputed")) for c in columns))
+    long = both.select(PAIR, TIME, F.explode(pairs).alias("x")).select(PAIR, TIME, F.col("x.column").alias("__column"), "x.stored", "x.recomputed")
+    near = within(issues.select(PAIR, "issue_time", "column"), long, PAIR, "issue_time", TIME, hours * 3600)
+    return near.where(F.col("column") == F.col("__column")).drop("__column")

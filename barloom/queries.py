@@ -410,7 +410,65 @@ def q_clean_values(spark, sf_dir):
     return tidy(upsert.fit_schema(df, ["pair", "timestamp_utc", "ratio", "volume_rank_1h", "id"]))
 
 
+def q_resource_rollup(spark, sf_dir):
+    """Line items as load samples: quantity, discount and tax stand for three resources; a discount of 0 is no sample."""
+    li = candles.read_table(spark, sf_dir, "lineitem")
+    loads = li.select(F.col("l_returnflag").alias("operation"), F.col("l_quantity").alias("cpu"), F.when(F.col("l_discount") > 0, 100 * F.col("l_discount")).alias("memory"), (100 * F.col("l_tax")).alias("gpu"))
+    return tidy(reports.resource_rollup(loads, ["cpu", "memory", "gpu"]))
+
+
+def _new_path(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{scratch(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def q_duration_log(spark, sf_dir):
+    """Durations logged in two runs that append to one log, read back and summed up."""
+    e = candles.read_table(spark, sf_dir, "events").select(F.col("event_type").alias("operation"), F.col("value").alias("seconds"))
+    path = _new_path(spark, "durations")
+    for run in ("operation = 'click'", "operation <> 'click'"):
+        reports.append_log(e.where(run), path)
+    return tidy(reports.duration_rollup(spark.read.schema("operation string, seconds double").csv(path, header=True)))
+
+
+def q_text_report(spark, sf_dir):
+    return validators.text_report(q_completeness(spark, sf_dir), candles.hourly(spark, sf_dir))
+
+
+def q_recheck(spark, sf_dir):
+    """Around each disturbed bar, what is stored and what a recomputation gives."""
+    stored = features.price_action(numbered(candles.hourly(spark, sf_dir)))
+    stored = stored.withColumn("upper_shadow", F.col("upper_shadow") + F.when(F.col("__i") % 29 == 3, 1).otherwise(0))
+    issues = stored.where("__i % 29 = 3").select("pair", F.col("timestamp_utc").alias("issue_time"), F.lit("upper_shadow").alias("column"))
+    return tidy(validators.recheck(stored.drop("__i", "__n"), issues, PARAMS))
+
+
+def q_write_partitioned(spark, sf_dir):
+    """Bars written by month twice: the second write replaces the months that it has."""
+    path = _new_path(spark, "by-month")
+    bars = candles.hourly(spark, sf_dir)
+    upsert.write_partitioned(bars, path)
+    upsert.write_partitioned(bars.withColumn("volume", F.col("volume") * 2), path)
+    return tidy(spark.read.parquet(path).drop("month"))
+
+
+def q_write_bucketed(spark, sf_dir):
+    """The newest bars of each pair from a bucketed table: a window without a shuffle."""
+    import uuid
+
+    table = f"bars_{uuid.uuid4().hex}"
+    upsert.write_bucketed(candles.hourly(spark, sf_dir), table, 8, _new_path(spark, "bucketed"))
+    return tidy(candles.latest(spark.table(table), 100))
+
+
 QUERIES = {
+    "resource_rollup": q_resource_rollup,
+    "duration_log": q_duration_log,
+    "text_report": q_text_report,
+    "recheck": q_recheck,
+    "write_partitioned": q_write_partitioned,
+    "write_bucketed": q_write_bucketed,
     "scan_listed": q_scan_listed,
     "parse_index_candles": q_parse_index_candles,
     **{f"validate_{name}": _planted(name) for name in ("momentum", "volatility", "volume", "recursive", "statistical", "patterns", "temporal", "labels")},

@@ -167,6 +167,30 @@ def test_asof_ties_and_unmatched(spark):
     assert joins.asof_backward(left, right, "k", "t", "u", ["v"], keep_unmatched=True).count() == 4
 
 
+def test_asof_over_slots_against_a_loop(spark):
+    rng = np.random.default_rng(5)
+    left = [(str(k), int(t)) for k, t in zip(rng.integers(0, 4, 300), rng.integers(0, 500, 300), strict=True)] + [(None, 7)]
+    right = [(str(k), int(t), float(t * 10 + k)) for k, t in zip(rng.integers(0, 3, 60), rng.integers(0, 500, 60), strict=True)] + [(None, 1, 1.0)]
+    want = sorted((k, t, max(((u, v) for j, u, v in right if j == k and u <= t), default=(0, None))[1] if k is not None else None) for k, t in left[:-1])
+    a, b = spark.createDataFrame(left, "k string, t int"), spark.createDataFrame(right, "k string, u int, v double")
+    for slot in (1, 7, 86_400):
+        got = joins.asof_backward(a, b, "k", "t", "u", ["v"], keep_unmatched=True, slot=slot).collect()
+        assert sorted(map(tuple, (r for r in got if r.k is not None))) == want, slot
+        assert [r.v for r in got if r.k is None] == [None]
+    assert joins.asof_backward(a.limit(0), b, "k", "t", "u", ["v"]).count() == 0 and joins.asof_backward(a, b.limit(0), "k", "t", "u", ["v"]).count() == 0
+
+
+def test_bucketed_bars_need_no_shuffle(spark):
+    plan = QUERIES["write_bucketed"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_recheck_without_known_columns(spark):
+    df = bars(spark, walk(5))
+    issues = df.select("pair", F.col("timestamp_utc").alias("issue_time"), F.lit("close").alias("column"))
+    assert validators.recheck(df, issues).count() == 0
+
+
 def test_insert_ignore_and_join_update(spark):
     df = bars(spark, walk(5))
     assert upsert.insert_ignore(df.limit(0), df.unionByName(df)).count() == 5
