@@ -88,22 +88,18 @@ def texts_of(batch: pa.RecordBatch, name: str) -> Iterator[str | None]:
         yield value.as_py()
 
 
-#: Keys that one broadcast holds (some tens of MB), and how many broadcasts there may be; beyond, keys are joined by shuffle.
-BROADCAST_KEYS, BROADCAST_PARTS = 500_000, 4
+#: Keys of dropped rows are broadcast up to so many (some tens of MB); beyond, they are joined by shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def without(docs: DataFrame, dropped: DataFrame, on: Column) -> DataFrame:
-    """``docs`` without the rows that ``dropped``, a written table of keys, names.
+    """``docs`` without the rows that ``dropped``, a written table of distinct keys, names.
 
-    Keys are broadcast, in several parts one after the other if there are many, so that texts are shuffled
-    only where the keys are more than ``BROADCAST_PARTS`` broadcasts hold. Rows are the same either way.
+    Few keys are broadcast. More are shuffled with the rows and hashed a partition at a time, so that the
+    rows, whole texts among them, are neither sorted nor spilled. Rows are the same either way.
     """
-    parts = -(-dropped.count() // BROADCAST_KEYS)
-    if parts > BROADCAST_PARTS:
-        return docs.join(dropped, on, "left_anti")
-    for k in range(parts):
-        docs = docs.join(F.broadcast(dropped.where(F.pmod(F.xxhash64(*dropped.columns), F.lit(parts)) == k)), on, "left_anti")
-    return docs
+    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_KEYS else dropped.hint("shuffle_hash")
+    return docs.join(side, on, "left_anti")
 
 
 def star_edges(edges: DataFrame) -> DataFrame:

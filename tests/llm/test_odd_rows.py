@@ -57,21 +57,21 @@ def test_long_urls_and_pages(spark):
     assert got == [(1, 5, 80_001, "net/", "block"), (2, 5, 1, None, "block"), (3, 5, 0, None, "allow"), (4, 40_003, 2, "net/", "block"), (5, 0, 0, None, "allow"), (5, 0, 0, None, "allow")]
 
 
-def test_dropped_keys_in_parts(spark, docs, monkeypatch):
-    """One broadcast, several, and the shuffle join leave the same rows."""
+def test_dropped_keys_by_broadcast_and_by_shuffle(spark, docs, monkeypatch):
+    """Both plans leave the same rows, and the shuffle plan sorts no texts."""
     more = docs.unionAll(docs.withColumn("doc_id", F.col("doc_id") + 5000)).unionAll(spark.createDataFrame([(None, "a", None, None, None), (None, "A", None, None, None)], docs.schema))
     kept = {}
-    for keys, parts in ((500_000, 4), (30, 8), (1, 2)):
+    for keys in (500_000, 0):
         monkeypatch.setattr(common, "BROADCAST_KEYS", keys)
-        monkeypatch.setattr(common, "BROADCAST_PARTS", parts)
         found = exactdedup.drop_exact_duplicates(more)
         plan = found._jdf.queryExecution().executedPlan().toString()
         kept[keys] = sorted(map(str, found.collect()))
-        assert (keys != 30) or plan.count("BroadcastHashJoin") >= 3
-    assert kept[500_000] == kept[30] == kept[1] and len(kept[1]) <= docs.count() + 1
-    monkeypatch.setattr(common, "BROADCAST_KEYS", 5)
+        assert "SortMergeJoin" not in plan and ("BroadcastHashJoin" if keys else "ShuffledHashJoin") in plan
+    assert kept[500_000] == kept[0] and len(kept[0]) <= docs.count() + 1
     gone = docs.where("doc_id % 11 = 3").select("doc_id")
-    for parts in (1, 100):
-        monkeypatch.setattr(common, "BROADCAST_PARTS", parts)
+    for keys in (5, 5000):
+        monkeypatch.setattr(common, "BROADCAST_KEYS", keys)
         left = common.without(docs, gone, docs["doc_id"] == gone["doc_id"])
         assert {r.doc_id for r in left.collect()} == {r.doc_id for r in docs.where("doc_id % 11 <> 3").collect()}
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    assert common.without(docs, gone.limit(0), docs["doc_id"] == gone["doc_id"]).count() == docs.count()
