@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .wide_sql import CLUSTERING, CONTAMINATION, DIVERGENCE
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -80,7 +82,27 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(materialize(store(_read(spark, sf_dir, "documents")), "media", "zstd"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_url_filter, op4_langid, op5_secret_scan, op6_pii, op7_mixing, op8_warc, op9_exact_dedup, op10_media)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(_read(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .contamination import find_contamination
+
+    found = find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    found = cluster(_read(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_url_filter, op4_langid, op5_secret_scan, op6_pii, op7_mixing, op8_warc, op9_exact_dedup, op10_media, op11_divergence, op12_decontamination, op13_centroids)}
 
 #: Links that pages declare are left out here (the pages of the tables declare none); the tests hold them against a loop.
 _URL_SQL = r"""
@@ -137,4 +159,7 @@ SQL = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t
     """,
+    "op11_divergence": DIVERGENCE,
+    "op12_decontamination": CONTAMINATION,
+    "op13_centroids": CLUSTERING,
 }
