@@ -338,3 +338,18 @@ SQL["recheck"] = q(ROWS, """SELECT a.pair, a.timestamp_utc AS issue_time, 'upper
   round(b.high - greatest(b.open, b.close), 6) AS recomputed FROM x a JOIN x b ON a.pair = b.pair AND a.i % 29 = 3 AND b.timestamp_utc BETWEEN a.timestamp_utc - INTERVAL 5 HOUR AND a.timestamp_utc + INTERVAL 5 HOUR""")
 SQL["write_partitioned"] = q(BARS, f"SELECT {rounded('open', 'high', 'low', 'close', '2 * volume AS volume')} FROM candles")
 SQL["write_bucketed"] = SQL["scan_latest"]
+
+#: All events as one-second bars of one pair.
+ONE_PAIR = BARS.replace("event_type AS pair, CAST(date_trunc('hour', ts) AS TIMESTAMP)", "'all' AS pair, CAST(date_trunc('second', ts) AS TIMESTAMP)")
+
+
+def _joined(*names: str) -> str:
+    """The queries of ``names`` over the one pair, side by side."""
+    return " JOIN ".join(f"({SQL[n].replace(BARS, ONE_PAIR)})" + ("" if k == 0 else " USING (pair, timestamp_utc)") for k, n in enumerate(names))
+
+
+SQL["recursive_by_slot"] = f"""SELECT * EXCLUDE (parabolic_sar_1h, chaikin_volatility) FROM {_joined('momentum_recursive', 'volatility_recursive', 'volume_recursive')}
+  JOIN (SELECT pair, timestamp_utc, obv_1h, obv_slope_1h, volume_price_trend FROM ({SQL['volume'].replace(BARS, ONE_PAIR)})) USING (pair, timestamp_utc)"""
+SQL["features_by_slot"] = f"SELECT * FROM {_joined('price_action', 'momentum', 'volatility', 'volume', 'statistical', 'pattern', 'calendar', 'labels')}".replace("SELECT *", "SELECT * EXCLUDE (shannon_entropy, hurst_exponent)", 1)
+SQL["rows_by_slot"] = q(BARS.replace("event_type AS pair, CAST(date_trunc('hour', ts) AS TIMESTAMP)", "user_id::VARCHAR AS pair, CAST(date_trunc('second', ts) AS TIMESTAMP)"),
+    "SELECT pair, timestamp_utc, row_number() OVER (PARTITION BY pair ORDER BY timestamp_utc) - 1 AS i, count(*) OVER (PARTITION BY pair) AS n FROM candles")

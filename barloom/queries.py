@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from barloom.functions.frames import clean, numbered
 from barloom.operators import features, gaps, joins, upsert
 from barloom.operators.cross_pair import cross_pair
+from barloom.operators.halo import features_by_slot
 from barloom.operators.multi_timeframe import complete_grid, multi_timeframe, resample
 from barloom.operators.recursive import MOMENTUM, STATISTICAL, VOLATILITY, VOLUME, recursive
+from barloom.operators.slots import numbered_by_slot, recursive_by_slot
 from barloom.params import CrossPair, Params
 from barloom.plans import reports
 from barloom.plans.pipeline import compute_features, rolling_update, tidy
@@ -462,7 +464,36 @@ def q_write_bucketed(spark, sf_dir):
     return tidy(candles.latest(spark.table(table), 100))
 
 
+def _one_pair(spark, sf_dir):
+    """All events as bars of one second of one pair: the history that no task should hold."""
+    e = candles.read_table(spark, sf_dir, "events").withColumn("every", F.lit("all"))
+    return candles.candles_from_events(e, "1 second", "every")
+
+
+def q_recursive_by_slot(spark, sf_dir):
+    """Recursive means and running sums of one long pair, cut into days.
+
+    One column is left out: its divisor is next to 0 where bars of one event have no span, and its quotient beyond 16 digits.
+    """
+    df = recursive_by_slot(_one_pair(spark, sf_dir), PARAMS, "1 day")
+    return tidy(df.drop(*RAW, "chaikin_volatility"))
+
+
+def q_features_by_slot(spark, sf_dir):
+    """The window groups of one long pair, by blocks of 500 rows and their halos."""
+    return tidy(features_by_slot(_one_pair(spark, sf_dir), PARAMS, width="1 day", block_rows=500).drop(*RAW))
+
+
+def q_rows_by_slot(spark, sf_dir):
+    """Row numbers and counts of every user's events, numbered a day at a time."""
+    bars = candles.candles_from_events(candles.read_table(spark, sf_dir, "events"), "1 second", "user_id")
+    return numbered_by_slot(bars, "1 day").select("pair", "timestamp_utc", F.col("__i").alias("i"), F.col("__n").alias("n"))
+
+
 QUERIES = {
+    "recursive_by_slot": q_recursive_by_slot,
+    "features_by_slot": q_features_by_slot,
+    "rows_by_slot": q_rows_by_slot,
     "resource_rollup": q_resource_rollup,
     "duration_log": q_duration_log,
     "text_report": q_text_report,
