@@ -182,6 +182,11 @@ def _before(head: pd.DataFrame) -> dict | None:
     return None if head["__start"].iloc[0] == 0 else {c: float(head[f"before_{c}"].iloc[0]) for c in ("high", "low", "close", "volume")}
 
 
+def states_of(bars: pd.DataFrame, before: dict | None, i0: int, tail: np.ndarray, p: Params) -> np.ndarray:
+    """The states after each of consecutive bars (rows by ``STATES``), from those before them."""
+    return _run(_inputs(bars, before), p, i0, tail[-1] if len(tail) else None)
+
+
 def slot_maps(rows: DataFrame, heads: DataFrame, p: Params) -> DataFrame:
     """(pair, __slot, tail, anew): what each slot's last rows give from a state of zeros, and which of them a running sum has started anew by."""
 
@@ -225,12 +230,13 @@ def slot_states(maps: DataFrame, heads: DataFrame, p: Params) -> DataFrame:
     return both.groupBy("pair").applyInPandas(compose, T.StructType([*heads.schema.fields, T.StructField("states", T.ArrayType(T.DoubleType()))]))
 
 
-def fill(bars: pd.DataFrame, head: pd.DataFrame, p: Params) -> dict[str, np.ndarray]:
-    """``COLUMNS`` of one slot's bars, ascending in time, from the states before it."""
+def fill(bars: pd.DataFrame, before: dict | None, i0: int, n: int, tail: np.ndarray, p: Params) -> dict[str, np.ndarray]:
+    """``COLUMNS`` of consecutive bars, ascending in time, from row number i0 of a pair of n rows.
+
+    before is the row before them and tail the states of up to ``TAIL`` rows before them, oldest first; None and empty at the pair's start.
+    """
     m, va = p.momentum, p.volatility
-    i0, n = int(head["__start"].iloc[0]), int(head["__n"].iloc[0])
-    tail = np.asarray(head["states"].iloc[0], float).reshape(-1, len(STATES))
-    y = np.concatenate([tail, _run(_inputs(bars, _before(head)), p, i0, tail[-1] if len(tail) else None)])
+    y = np.concatenate([tail, states_of(bars, before, i0, tail, p)])
     k = len(tail)
     i = np.arange(i0 - k, i0 + len(bars))
     s = {name: y[:, at] for name, at in _AT.items()}
@@ -268,7 +274,8 @@ def recursive_by_slot(bars: DataFrame, p: Params | None = None, width: str = "30
 
     def run(key: tuple, own: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("timestamp_utc", kind="stable")
-        made = fill(own, head, p)
+        tail = np.asarray(head["states"].iloc[0], float).reshape(-1, len(STATES))
+        made = fill(own, _before(head), int(head["__start"].iloc[0]), int(head["__n"].iloc[0]), tail, p)
         return pd.concat([own.drop(columns="__slot"), pd.DataFrame({c: made[c] for c in columns}, index=own.index)], axis=1)
 
     schema = T.StructType([*bars.select(*kept).schema.fields, *(T.StructField(c, T.DoubleType()) for c in columns)])

@@ -353,3 +353,12 @@ SQL["recursive_by_slot"] = f"""SELECT * EXCLUDE (parabolic_sar_1h, chaikin_volat
 SQL["features_by_slot"] = f"SELECT * FROM {_joined('price_action', 'momentum', 'volatility', 'volume', 'statistical', 'pattern', 'calendar', 'labels')}".replace("SELECT *", "SELECT * EXCLUDE (shannon_entropy, hurst_exponent)", 1)
 SQL["rows_by_slot"] = q(BARS.replace("event_type AS pair, CAST(date_trunc('hour', ts) AS TIMESTAMP)", "user_id::VARCHAR AS pair, CAST(date_trunc('second', ts) AS TIMESTAMP)"),
     "SELECT pair, timestamp_utc, row_number() OVER (PARTITION BY pair ORDER BY timestamp_utc) - 1 AS i, count(*) OVER (PARTITION BY pair) AS n FROM candles")
+
+SQL["feature_stream"] = f"""SELECT m.*, v.* EXCLUDE (pair, timestamp_utc, parabolic_sar_1h), q.* EXCLUDE (pair, timestamp_utc), o.obv_1h, o.obv_slope_1h, o.volume_price_trend, s.hurst_exponent, s.shannon_entropy
+  FROM ({SQL['momentum_recursive']}) m JOIN ({SQL['volatility_recursive']}) v USING (pair, timestamp_utc) JOIN ({SQL['volume_recursive']}) q USING (pair, timestamp_utc)
+  JOIN ({SQL['volume']}) o USING (pair, timestamp_utc) JOIN ({SQL['statistical']}) s USING (pair, timestamp_utc)"""
+# An hour has all its types in one batch, but for the purchases held back, which the watermark no longer lets in.
+SQL["release_hours"] = """WITH e AS (SELECT event_type, ts, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, event_type = 'purchase' AND hour(ts) % 6 = 0 AND day(ts) % 2 = 0 AS held FROM events),
+  m AS (SELECT max(ts) FILTER (NOT held) - INTERVAL 2 HOURS AS seen, max(ts) - INTERVAL 2 HOURS AS last FROM e),
+  h AS (SELECT hour, count(DISTINCT event_type) AS bars FROM e, m WHERE NOT held OR ts > seen GROUP BY hour)
+  SELECT hour, bars, CASE WHEN bars >= 5 THEN 'complete' ELSE 'deadline' END AS reason FROM h, m WHERE bars >= 5 OR hour + INTERVAL 1 HOUR <= last"""

@@ -490,7 +490,45 @@ def q_rows_by_slot(spark, sf_dir):
     return numbered_by_slot(bars, "1 day").select("pair", "timestamp_utc", F.col("__i").alias("i"), F.col("__n").alias("n"))
 
 
+def _streamed(spark, chunks, make, root):
+    """What ``make`` gives of a stream that ends and goes on from its checkpoint after each of ``chunks``; every batch in its own folder."""
+    from barloom.streaming import candles as bars, state
+
+    state.use_rocksdb(spark)
+    for chunk in chunks:
+        chunk.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(chunk.schema).parquet(f"{root}/in")
+        bars.write_bars(make(stream), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return f"{root}/out"
+
+
+def q_feature_stream(spark, sf_dir):
+    """Features kept in a stream of three batches: bars of three days of the first come with the third; then the current rows."""
+    from barloom.streaming.candles import current_bars
+    from barloom.streaming.state import KEPT, feature_stream
+
+    bars = candles.hourly(spark, sf_dir).withColumn("timestamp_utc", F.col("timestamp_utc").cast("timestamp"))
+    day, held = F.dayofmonth("timestamp_utc"), F.dayofmonth("timestamp_utc").between(8, 10) & (F.hour("timestamp_utc") % 8 == 3)
+    chunks = [bars.where((day <= 10) & ~held), bars.where((day > 10) & (day <= 20)), bars.where((day > 20) | held)]
+    path = _streamed(spark, chunks, feature_stream, _new_path(spark, "features"))
+    out = current_bars(spark, path).select("pair", F.col("timestamp_utc").cast("timestamp_ntz").alias("timestamp_utc"), *KEPT)
+    return tidy(out)
+
+
+def q_release_hours(spark, sf_dir):
+    """Hours of events that go out with all five types, or two hours late without; some purchases come after all other events."""
+    from barloom.streaming.state import release_hours
+
+    events = candles.read_table(spark, sf_dir, "events").select(F.col("event_type").alias("pair"), F.col("ts").cast("timestamp").alias("ts"))
+    day, held = F.dayofmonth("ts"), (F.col("pair") == "purchase") & (F.hour("ts") % 6 == 0) & (F.dayofmonth("ts") % 2 == 0)
+    chunks = [events.where((day <= 10) & ~held), events.where((day > 10) & (day <= 20) & ~held), events.where((day > 20) & ~held), events.where(held)]
+    path = _streamed(spark, chunks, lambda s: release_hours(s, expected=5, late="2 hours"), _new_path(spark, "hours"))
+    return spark.read.parquet(path).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "bars", "reason")
+
+
 QUERIES = {
+    "feature_stream": q_feature_stream,
+    "release_hours": q_release_hours,
     "recursive_by_slot": q_recursive_by_slot,
     "features_by_slot": q_features_by_slot,
     "rows_by_slot": q_rows_by_slot,
