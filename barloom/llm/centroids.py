@@ -53,7 +53,7 @@ def first_centroids(vectors: DataFrame, k: int = CENTROIDS, seed: int = 2) -> np
     """The k vectors with the smallest sha256 of ``seed:vec_id``; null ids come last, ties go by components. At most k rows travel."""
     mark = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = vectors.select(mark.alias("mark"), "v").orderBy(F.asc_nulls_last("mark"), "v").limit(k).collect()
-    return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], np.int64) if rows else np.zeros((0, 0), np.int64)
 
 
 def pivots_of(centroids: np.ndarray, m: int = PIVOTS) -> np.ndarray:
