@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.frames import rounded_short
@@ -62,3 +62,12 @@ def write_bucketed(df: DataFrame, table: str, buckets: int = 64, path: str | Non
     """A table bucketed and sorted by pair, so that later windows and joins on the pair need no shuffle; at ``path`` if given."""
     out = df.repartition(buckets, "pair").write.bucketBy(buckets, "pair").sortBy("pair", "timestamp_utc").mode("overwrite")
     (out.option("path", path) if path else out).saveAsTable(table)
+
+
+def analyze(spark: SparkSession, table: str, columns: tuple = ("pair", "timestamp_utc")) -> None:
+    """Statistics of a table and its key columns, by which Spark orders joins and picks what to broadcast.
+
+    Two tables bucketed alike by pair are joined on pair and time without an exchange where
+    ``spark.sql.requireAllClusterKeysForCoPartition`` is false.
+    """
+    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR COLUMNS {', '.join(columns)}")

@@ -362,3 +362,11 @@ SQL["release_hours"] = """WITH e AS (SELECT event_type, ts, CAST(date_trunc('hou
   m AS (SELECT max(ts) FILTER (NOT held) - INTERVAL 2 HOURS AS seen, max(ts) - INTERVAL 2 HOURS AS last FROM e),
   h AS (SELECT hour, count(DISTINCT event_type) AS bars FROM e, m WHERE NOT held OR ts > seen GROUP BY hour)
   SELECT hour, bars, CASE WHEN bars >= 5 THEN 'complete' ELSE 'deadline' END AS reason FROM h, m WHERE bars >= 5 OR hour + INTERVAL 1 HOUR <= last"""
+
+#: Hourly bars of users.
+USERS = BARS.replace("event_type AS pair", "user_id::VARCHAR AS pair")
+SQL["stored_update"] = SQL["join_update"]
+SQL["stored_insert"] = q(BARS, """SELECT pair, count(*) AS bars, sum(volume) AS volume, max(timestamp_utc) AS newest, count(*) FILTER (timestamp_utc <= TIMESTAMP '2024-01-22 23:00:00') AS before
+  FROM candles GROUP BY pair HAVING before > 0""")
+SQL["stored_scan"] = q(USERS, f"SELECT {rounded('open', 'high', 'low', 'close', 'volume')} FROM candles WHERE pair = '17' AND timestamp_utc BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'")
+SQL["insert_unknown"] = q(USERS, f"SELECT {rounded('open', 'high', 'low', 'close', 'volume')} FROM candles WHERE timestamp_utc > TIMESTAMP '2024-01-22 23:00:00'")

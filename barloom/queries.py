@@ -9,6 +9,7 @@ from barloom.functions.frames import clean, numbered
 from barloom.operators import features, gaps, joins, upsert
 from barloom.operators.cross_pair import cross_pair
 from barloom.operators.halo import features_by_slot
+from barloom.operators.keyfilter import build_filter, insert_unknown
 from barloom.operators.multi_timeframe import complete_grid, multi_timeframe, resample
 from barloom.operators.recursive import MOMENTUM, STATISTICAL, VOLATILITY, VOLUME, recursive
 from barloom.operators.slots import numbered_by_slot, recursive_by_slot
@@ -17,6 +18,7 @@ from barloom.plans import reports
 from barloom.plans.pipeline import compute_features, rolling_update, tidy
 from barloom.quality import validators
 from barloom.sources import candles, raw
+from barloom.sources.stored import StoredTable
 
 #: The roles of benchmark pairs in the test tables.
 PARAMS = Params(cross_pair=CrossPair(btc="click", eth="view"))
@@ -526,7 +528,58 @@ def q_release_hours(spark, sf_dir):
     return spark.read.parquet(path).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "bars", "reason")
 
 
+DAYS = "date_format(timestamp_utc, 'yyyy-MM-dd')"
+
+
+def q_stored_update(spark, sf_dir):
+    """The update of ``join_update`` on a stored table of a part a day: one part is written anew; then the table, reread."""
+    bars = candles.hourly(spark, sf_dir)
+    table = StoredTable(spark, _new_path(spark, "stored"), DAYS)
+    table.create(bars)
+    day = candles.in_range(bars, "2024-01-10", "2024-01-10 23:00:00")
+    table.update(day.select("pair", "timestamp_utc", F.when(F.hour("timestamp_utc") % 2 == 0, F.col("volume") * 10).alias("volume")))
+    return tidy(table.read())
+
+
+def q_stored_insert(spark, sf_dir):
+    """Bars of the first weeks stored, then all bars inserted twice: each is there once, and the first version is still to be read."""
+    bars = candles.hourly(spark, sf_dir)
+    table = StoredTable(spark, _new_path(spark, "stored"), DAYS)
+    table.create(candles.in_range(bars, "2024-01-01", "2024-01-22 23:00:00"))
+    table.insert(bars.unionByName(bars))
+    old = table.read(version=0).groupBy("pair").agg(F.count(F.lit(1)).alias("before"))
+    new = table.read().groupBy("pair").agg(F.count(F.lit(1)).alias("bars"), F.sum("volume").alias("volume"), F.max("timestamp_utc").alias("newest"))
+    return tidy(new.join(old, "pair"))
+
+
+def q_stored_scan(spark, sf_dir):
+    """One pair and week of a stored table of all users' bars: the manifest names the files that may have them."""
+    bars = candles.candles_from_events(candles.read_table(spark, sf_dir, "events"), "1 hour", "user_id")
+    table = StoredTable(spark, _new_path(spark, "stored"), DAYS)
+    table.create(bars)
+    return tidy(table.read("17", "2024-01-05", "2024-01-12"))
+
+
+def _known_split(spark, sf_dir):
+    bars = candles.candles_from_events(candles.read_table(spark, sf_dir, "events"), "1 hour", "user_id")
+    return candles.in_range(bars, "2024-01-01", "2024-01-22 23:00:00"), bars.unionByName(bars)
+
+
+def q_insert_unknown(spark, sf_dir):
+    """What a second fetch of all users' bars adds, told by Bloom filters of known keys by month."""
+    have, new = _known_split(spark, sf_dir)
+    month = F.date_format("timestamp_utc", "yyyy-MM")
+    path = _new_path(spark, "key-filter")
+    build_filter(have, period=month).write.parquet(path)
+    known = spark.read.parquet(path)
+    return tidy(insert_unknown(have, new, known, period=month))
+
+
 QUERIES = {
+    "stored_update": q_stored_update,
+    "stored_insert": q_stored_insert,
+    "stored_scan": q_stored_scan,
+    "insert_unknown": q_insert_unknown,
     "feature_stream": q_feature_stream,
     "release_hours": q_release_hours,
     "recursive_by_slot": q_recursive_by_slot,
