@@ -102,18 +102,20 @@ def without(docs: DataFrame, dropped: DataFrame, on: Column) -> DataFrame:
     return docs.join(side, on, "left_anti")
 
 
-def star_edges(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star round over edges (a, b) with a > b.
+def star_edges(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """One large-star and one small-star round over edges (a, b) with a > b, and the tables it wrote.
 
-    Each round is two aggregations and two equi-joins on a node; a hub's rows are split by the
-    adaptive skew join, and no neighbour list is ever collected.
+    Each star is an aggregation and an equi-join on a node. The minima are written before they are joined: where one
+    side of a join is an aggregation on its key, Spark cannot split that key; of two written tables the
+    adaptive skew join splits a hub's rows. No neighbour list is ever collected.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    down = large.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialize(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "least")
+    large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-star")
+    down = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "down")
     small = large.join(down, "a")
-    return small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    out = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    return out, [least, large, down]
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -130,9 +132,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not seen[0]:
             break
-        before, now = now, materialize(star_edges(now), "edges")
+        made, used = star_edges(now)
+        before, now = now, materialize(made, "edges")
         state = _state(now)
-        release(before)
+        for table in (before, *used):
+            release(table)
         if state == seen:
             break
         seen = state

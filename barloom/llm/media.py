@@ -95,8 +95,8 @@ def descend(data: memoryview, start: int, end: int, *path: bytes) -> tuple[int,
     return start, end
 
 
-def _chunked(view: memoryview, stbl: dict[bytes, tuple[int, int]]) -> list[tuple[int, int, bool]]:
-    """(offset, size, is key) of each sample that a sample table describes."""
+def _chunked(view: memoryview, stbl: dict[bytes, tuple[int, int]], room: int) -> list[tuple[int, int, bool]]:
+    """(offset, size, is key) of each sample that a sample table describes; more than ``room`` of them are an error."""
 
     def ints(kind: bytes, form: str, count_at: int = 4) -> list[tuple]:
         if kind not in stbl:
@@ -110,8 +110,8 @@ def _chunked(view: memoryview, stbl: dict[bytes, tuple[int, int]]) -> list[tuple
 
     if b"stsz" in stbl:
         even, n = struct.unpack_from(">II", view, stbl[b"stsz"][0] + 4)
-        if even * n > len(view):
-            raise ValueError("samples are larger than the file")
+        if even * n > len(view) or n > room:
+            raise ValueError("samples are larger or more than the file")
         sizes = [even] * n if even else [x for (x,) in ints(b"stsz", "I", 8)]
     elif b"stz2" in stbl:
         bits = struct.unpack_from(">I", view, stbl[b"stz2"][0] + 4)[0] & 0xFF
@@ -128,6 +128,8 @@ def _chunked(view: memoryview, stbl: dict[bytes, tuple[int, int]]) -> list[tuple
     else:
         raise ValueError("no box b'stsz'")
     n = len(sizes)
+    if n > room:
+        raise ValueError("more samples than the file has bytes")
     firsts = [x for (x,) in (ints(b"co64", "Q") if b"co64" in stbl else ints(b"stco", "I"))]
     runs = ints(b"stsc", "III")
     keys = {x for (x,) in ints(b"stss", "I")} if b"stss" in stbl else None
@@ -180,7 +182,8 @@ def _fragments(view: memoryview, moof: tuple[int, int, int], defaults: dict[int,
             if flags & 4:
                 lead, at = struct.unpack_from(">I", view, at)[0], at + 4
             bits = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
-            if at + 4 * len(bits) * n > s2 or n > len(view):
+            # Runs without fields of their own cost no bytes, so samples of all runs and tracks are counted against the file's.
+            if at + 4 * len(bits) * n > s2 or n > len(view) - sum(len(t["samples"]) for t in found.values()):
                 raise ValueError("run of samples is longer than its box or file")
             for i in range(n):
                 row = dict(zip(bits, struct.unpack_from(f">{len(bits)}I", view, at + 4 * len(bits) * i), strict=True))
@@ -193,7 +196,10 @@ def _fragments(view: memoryview, moof: tuple[int, int, int], defaults: dict[int,
 
 
 def tracks(data: bytes) -> list[dict]:
-    """Codec, timescale, duration, and (offset, size, is key) of each sample, for each track in the file's order."""
+    """Codec, timescale, duration, and (offset, size, is key) of each sample, for each track in the file's order.
+
+    A file that claims more samples than it has bytes is malformed, so what is held stays in proportion to the file.
+    """
     view = memoryview(data)
     top = list(boxes(view, 0, len(view)))
     moov = next(((b, s) for k, b, s in top if k == b"moov"), None)
@@ -215,7 +221,7 @@ def tracks(data: bytes) -> list[dict]:
             codec = bytes(view[stbl[b"stsd"][0] + 12 : stbl[b"stsd"][0] + 16]).decode("latin-1")
             if number in found:
                 raise ValueError(f"two tracks of number {number}")
-            found[number] = {"codec": codec, "timescale": scale, "duration": duration, "samples": _chunked(view, stbl), "ticks": 0}
+            found[number] = {"codec": codec, "timescale": scale, "duration": duration, "samples": _chunked(view, stbl, len(view) - sum(len(t["samples"]) for t in found.values())), "ticks": 0}
         elif kind == b"mvex":
             for k, x, _ in boxes(view, b, s):
                 if k == b"trex":

@@ -221,7 +221,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Second round: the tries of blocks that hold several components.
     named = materialize(shared.select("key", "band", "node", "fp").join(families, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "near-labels")
     held = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("most"))
-    mixed = named.join(held.where("labels > 1"), "key")
+    mixed = named.join(materialize(held.where("labels > 1"), "near-held"), "key")
     parts = F.ceil(F.col("m") / node_rows).cast("int")
     # Part 0 of a large block compares what is not of its most frequent component; in the other parts this is one side.
     dealt = (
@@ -236,7 +236,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     groups = connected_components(near.unionAll(far))
     named = materialize(nodes.select("node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-components")
-    linked = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "near-ids")
     return marks.select("doc_id", "node").join(named.join(linked, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 

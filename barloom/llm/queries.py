@@ -107,15 +107,14 @@ QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_url_filter, op4_lan
 #: Links that pages declare are left out here (the pages of the tables declare none); the tests hold them against a loop.
 _URL_SQL = r"""
     WITH RECURSIVE u AS (
-        SELECT page_id, html, coalesce(contains(url, '://'), false) AS good,
+        SELECT page_id, coalesce(contains(url, '://'), false) AS good,
                translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\?([^#]*)', 1) AS query,
                coalesce(regexp_matches(url, '(?s)^.*?://[^?#]*\?'), false) AS asks
         FROM pages),
     n AS (SELECT *, CASE WHEN good THEN host || path || CASE WHEN asks THEN '?' || query ELSE '' END END AS node,
                  regexp_replace(host || path || CASE WHEN asks THEN '?' || array_to_string(list_filter(string_split(query, '&'), lambda x: NOT regexp_matches(x, '^(utm_\w+|gclid|fbclid)=')), '&') ELSE '' END, '[?&]+$', '') AS bare FROM u),
-    g AS (SELECT html, min(node) AS head FROM n WHERE good AND strlen(html) >= 1000 GROUP BY html HAVING min(node) < max(node)),
-    e AS (SELECT node AS a, bare AS b FROM n WHERE good AND node <> bare UNION SELECT node, head FROM n JOIN g USING (html) WHERE good AND node <> head),
+    e AS (SELECT node AS a, bare AS b FROM n WHERE good AND node <> bare),
     s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     reach(node, other) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM reach r JOIN s ON r.other = s.a),
     rules(action, rule_host, rule_path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),

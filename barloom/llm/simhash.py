@@ -183,8 +183,9 @@ def links(distinct: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS)
         F.lit(64 - width).alias("rest"),
     ) for k, at, width in spans))
     rows = distinct.select("fingerprint", F.explode(turned).alias("t")).select("fingerprint", "t.trie", "t.bits", F.expr("shiftrightunsigned(t.bits, t.rest)").alias("top"))
-    n = rows.groupBy("trie", "top").agg(F.count(F.lit(1)).alias("n"))
-    shared = materialize(rows.join(n.where("n > 1"), ["trie", "top"]), "trie-nodes")
+    # Aggregates are written before they are joined to what they sum up, so that Spark can split a large node.
+    n = materialize(rows.groupBy("trie", "top").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "trie-counts")
+    shared = materialize(rows.join(n, ["trie", "top"]), "trie-nodes")
     plain = shared.where(F.col("n") <= node_rows).select("trie", "top", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "bits", "fingerprint")
 
     # Large nodes: child paths over the d most balanced bits, then pairs of paths within the budget.
@@ -194,6 +195,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS)
         "trie", "top",
         F.expr(f"slice(transform(array_sort(transform(balance, (v, i) -> struct(v, i))), s -> s.i), 1, least(24, 2 + int(ceil(log2(n / {node_rows}.0)))))").alias("at"),
     )
+    chosen = materialize(chosen, "trie-bits")
     near = "array(0)"
     for _ in range(budget):
         near = f"array_distinct(flatten(transform({near}, m -> concat(array(m), transform(sequence(0, size(at) - 1), i -> m | shiftleft(1, i))))))"
@@ -220,7 +222,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = links(distinct.select("fingerprint"), budget, node_rows).select(F.col("p").alias("a"), F.col("q").alias("b"))
     groups = connected_components(edges).withColumnRenamed("node", "fingerprint")
     named = distinct.join(groups, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
-    linked = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = materialize(named.select("fingerprint", "least", "component"), "named-fingerprints")
+    linked = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
     final = named.join(linked, "component").select("fingerprint", "component_id")
     return marks.join(final, "fingerprint").select("doc_id", "fingerprint", "component_id")
 

@@ -4,9 +4,9 @@ A rule fits its host and all subdomains where the url's path starts with the rul
 fitting rule decides. Urls without a fitting rule are judged by their equivalence class: edges join urls
 that name one document, connected components are found on the cluster, and a class with a blocked member
 blocks the rest unless another member is explicitly allowed. Edges are given redirects, refreshes and
-canonical links that pages declare, urls without their tracking parameters, and mirrors: pages of the
-same html of ``MIRROR_BYTES`` or more are copies of one document, and the first of their urls is its
-canonical form.
+canonical links that pages declare, and urls without their tracking parameters. Pages of equal html can be
+taken as mirrors of one document (``mirrors``); that is off unless asked for, as parked and error pages are alike
+on hosts that have nothing to do with each other.
 """
 
 from __future__ import annotations
@@ -22,10 +22,6 @@ BROADCAST_RULES = 50_000
 TRACKING = r"utm_\w+|gclid|fbclid"
 
 
-#: Html of so many bytes or more names its document: equal html, one canonical url. Shorter pages are too often alike.
-MIRROR_BYTES = 1000
-
-
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty if there is none."""
     return ascii_lower(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
@@ -45,7 +41,7 @@ def node_of(url: Column) -> Column:
 def canonical_of(url: Column) -> Column:
     """The url's node without tracking parameters."""
     bare = F.regexp_replace(node_of(url), rf"(?<=[?&])(?:{TRACKING})=[^&]*&?", "")
-    return F.regexp_replace(bare, r"[?&]+$", "")
+    return F.rtrim(bare, F.lit("?&"))
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -103,34 +99,40 @@ def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
     Targets are resolved against the page's url; a ``base`` tag is not read.
     """
-    html = F.col(html_col)
-    tag = F.coalesce(
-        F.regexp_extract(html, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1),
-        F.lit(""),
-    )
-    refresh = F.coalesce(F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\bcontent\s*=\s*[\"']?\s*\d+\s*;\s*url\s*=\s*[\"']?([^\"'>]+)", 1), F.lit(""))
-    maybe = F.lower(html)
+    pieces = F.split(F.col(html_col), ">")
+
+    def first(tag: str, marks: str, target: str) -> Column:
+        """The target in the first tag that has both: what follows the tag's name up to the next ``>``. Each piece is read once for each pattern."""
+        rests = F.transform(pieces, lambda p: F.regexp_extract(p, rf"(?is)<{tag}\b(.*)", 1))
+        fits = F.filter(rests, lambda r: r.rlike(marks) & r.rlike(target))
+        return F.coalesce(F.regexp_extract(F.get(fits, F.lit(0)), target, 1), F.lit(""))
+
+    link = first("link", r"(?i)\brel\s*+=\s*+[\"']?canonical\b", r"(?i)\bhref\s*+=\s*+[\"']?([^\"'\s>]+)")
+    refresh = first("meta", r"(?i)\bhttp-equiv\s*+=\s*+[\"']?refresh\b", r"(?i)\bcontent\s*+=\s*+[\"']?\s*+\d++\s*+;\s*+url\s*+=\s*+[\"']?([^\"'>]+)")
+    maybe = F.lower(html_col)
     found = pages.where(F.col(url_col).contains("://") & (maybe.contains("canonical") | maybe.contains("refresh")))
-    found = found.select(F.col(url_col).alias("from_url"), F.explode(F.array(tag, refresh)).alias("href")).where("href <> ''")
+    found = found.select(F.col(url_col).alias("from_url"), F.explode(F.array(link, refresh)).alias("href")).where("href <> ''")
+    # Other schemes (mailto, javascript, data) name no page.
+    found = found.where(~F.trim("href").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*+:(?!//)"))
     return found.select("from_url", resolve(F.col("from_url"), F.col("href")).alias("to_url"))
 
 
-def mirror_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = MIRROR_BYTES) -> DataFrame:
-    """(a, b) nodes: each url of a html that several urls have, and the first of these urls.
+def mirror_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(a, b) nodes: each url of a html that several urls have, and the first of these urls. Empty and null html has none.
 
-    Digests and nodes alone are shuffled; the first is found with partial minima, and html that a third
-    of all pages share is split over tasks by the adaptive skew join.
+    Digests and nodes alone are shuffled. The first is found with partial minima and written, so that the join back
+    is of two plain shuffles, in which the adaptive skew join splits a html that many pages share.
     """
-    rows = pages.where(F.octet_length(html_col) >= least).select(node_of(F.col(url_col)).alias("a"), F.sha2(html_col, 256).alias("digest")).where("a is not null")
+    rows = pages.where(F.octet_length(html_col) > 0).select(node_of(F.col(url_col)).alias("a"), F.sha2(html_col, 256).alias("digest")).where("a is not null")
     rows = materialize(rows, "url-digests")
-    first = rows.groupBy("digest").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b < last").select("digest", "b")
+    first = materialize(rows.groupBy("digest").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b < last").select("digest", "b"), "first-urls")
     return rows.join(first, "digest").where("a <> b").select("a", "b")
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", mirror_bytes: int | None = MIRROR_BYTES) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", mirrors: bool = False) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of ``pages``.
 
-    redirects: further (from_url, to_url) rows; mirror_bytes None joins no mirrors. A url's own rule decides; without one, a class that
+    redirects: further (from_url, to_url) rows; mirrors: whether equal html makes urls aliases. A url's own rule decides; without one, a class that
     holds a blocked url (of a page or only of an edge's end) and no allowed one is blocked; all else is
     allowed. Null urls and urls without ``://`` have empty host and path, no rule and verdict allow.
     Repeated rows repeat; other columns, whatever their names, are not read.
@@ -141,8 +143,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
     declared = [html_edges(pages, url_col, html_col)] if html_col else []
     for e in [*declared, *([redirects] if redirects is not None else [])]:
         edges = edges.unionAll(e.select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b")))
-    if html_col and mirror_bytes is not None:
-        edges = edges.unionAll(mirror_edges(pages, url_col, html_col, mirror_bytes))
+    if html_col and mirrors:
+        edges = edges.unionAll(mirror_edges(pages, url_col, html_col))
     edges = materialize(edges.where("a <> b").distinct(), "url-edges")
     classes = connected_components(edges)
 
