@@ -28,8 +28,8 @@ from .common import BROADCAST_KEYS, materialize, scratch_path
 ARCHIVE_BYTES = 4 << 20
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
-#: What a cell of a Spark row can hold; a member that inflates beyond it is quarantined.
-CELL_BYTES = (1 << 31) - (1 << 20)
+#: What a cell of a Spark row can hold, and what a member may inflate to unless its first record declares more; others are quarantined.
+CELL_BYTES, MEMBER_BYTES = (1 << 31) - (1 << 20), 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 ID = "urn:x-page:"
@@ -108,44 +108,50 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     return {"kind": kind, "page_id": number("warc-record-id"), "uri": head.get("warc-target-uri"), "refers_to": number("warc-refers-to"), "digest": sha1, "payload": payload, "checked": checked}, end + 4
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The member at ``at``, inflated, and where it ends; ValueError if it is damaged or cut off.
+def allowed(start: bytes, most: int) -> int:
+    """The most bytes that a member which starts like this may inflate to: what its first record declares, ``most`` at least, a cell at most."""
+    end = start.find(b"\r\n\r\n", 0, HEAD_BYTES) if start.startswith(VERSION) else -1
+    length = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,10})[ \t]*\r\n", start[: end + 2]) if end >= 0 else None
+    return min(CELL_BYTES, max(most, end + 8 + int(length[1]) if length else 0))
 
-    Fed in steps, so that no member copies the rest of the archive.
+
+def inflate(data: bytes, at: int, most: int = MEMBER_BYTES) -> tuple[bytes, int]:
+    """The member at ``at``, inflated, and where it ends; ValueError if it is damaged, cut off or too large.
+
+    Fed in steps, so that no member copies the rest of the archive; its start decides how much of it is inflated.
     """
-    z, out, size, view = zlib.decompressobj(31), [], 0, memoryview(data)
+    z, out, limit, view = zlib.decompressobj(31), bytearray(), None, memoryview(data)
     try:
         while not z.eof:
             if at >= len(data):
                 raise ValueError("member is cut off")
-            part = z.decompress(view[at : at + STEP], CELL_BYTES - size)
-            out.append(part)
-            size += len(part)
+            out += z.decompress(view[at : at + STEP], HEAD_BYTES if limit is None else limit + 1 - len(out))
             at = min(at + STEP, len(data)) - len(z.unconsumed_tail) - len(z.unused_data)
-            if size >= CELL_BYTES and not z.eof:
+            limit = allowed(bytes(out[:HEAD_BYTES]), most) if limit is None else limit
+            if len(out) > limit:
                 raise ValueError("member is too large")
     except zlib.error as e:
         raise ValueError(str(e)) from e
-    return b"".join(out), at
+    return bytes(out), at
 
 
-def inflate_prefix(data: bytes, at: int) -> tuple[bytes, int, bool]:
-    """What can be inflated of the damaged or cut member at ``at``, where that stops, and whether it was cut only."""
-    z, out, size, step = zlib.decompressobj(31), [], 0, STEP
+def inflate_prefix(data: bytes, at: int, most: int = MEMBER_BYTES) -> tuple[bytes, int, bool]:
+    """What can be inflated of the damaged, cut or too large member at ``at``, where that stops, and whether it was cut only."""
+    z, out, limit, step = zlib.decompressobj(31), bytearray(), None, STEP
     view = memoryview(data)
-    while at < len(data) and size < CELL_BYTES and not z.eof:
+    while at < len(data) and (limit is None or len(out) < limit) and not z.eof:
         before = z.copy()
         try:
-            part = z.decompress(view[at : at + step], CELL_BYTES - size)
+            part = z.decompress(view[at : at + step], HEAD_BYTES if limit is None else limit - len(out))
         except zlib.error:
             if step == 1:
-                return b"".join(out), at, False
+                return bytes(out), at, False
             z, step = before, step // 2
             continue
-        out.append(part)
-        size += len(part)
+        out += part
         at = min(at + step, len(data)) - len(z.unconsumed_tail)
-    return b"".join(out), at, True
+        limit = allowed(bytes(out[:HEAD_BYTES]), most) if limit is None and (len(out) >= HEAD_BYTES or b"\r\n\r\n" in out) else limit
+    return bytes(out), at, True
 
 
 def inner_records(inner: bytes, checked_only: bool = False) -> tuple[list[dict], list[tuple[int, int, str]]]:
@@ -176,12 +182,12 @@ def inner_records(inner: bytes, checked_only: bool = False) -> tuple[list[dict],
     return found, lost
 
 
-def read_archive(data: bytes) -> Iterator[dict]:
+def read_archive(data: bytes, most: int = MEMBER_BYTES) -> Iterator[dict]:
     """Records in order, and a row of kind ``gap`` for each stretch of bytes that no valid record covers.
 
     Of a whole member with bad records the good ones are kept; a gap in it has the member's offset, length 0
     and its inflated bytes in the reason. Of a cut or damaged member the records before the fault are kept,
-    and a gap runs from the fault to the next valid place.
+    and a gap runs from the fault to the next valid place. A member of more than ``most`` bytes is like a cut one.
     """
     at, bad, why = 0, None, ""
     kept: tuple | None = None  # a damaged member's records, its offset and where inflating stopped
@@ -213,7 +219,7 @@ def read_archive(data: bytes) -> Iterator[dict]:
         lost = []
         try:
             if data[at : at + 3] == MAGIC:
-                inner, end = inflate(data, at)
+                inner, end = inflate(data, at, most)
                 found, lost = inner_records(inner)
                 if not found and inner:
                     raise ValueError(lost[0][2])
@@ -222,7 +228,7 @@ def read_archive(data: bytes) -> Iterator[dict]:
                 found = [rec]
         except ValueError as e:
             if data[at : at + 3] == MAGIC:
-                part, stop, cut = inflate_prefix(data, at)
+                part, stop, cut = inflate_prefix(data, at, most)
                 some, _ = inner_records(part, checked_only=not cut)
                 if some:
                     if kept is not None:  # an earlier damaged member ends here
@@ -292,12 +298,13 @@ def save_archives(archives: DataFrame, folder: str) -> DataFrame:
     return archives.sparkSession.read.format("binaryFile").load(folder).where("length > 0").select("path", "content")
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
+def read_archives(archives: DataFrame, most: int = MEMBER_BYTES) -> DataFrame:
     """Rows of ``ROWS`` from archives (path, content), as ``binaryFile`` or ``write_archives`` give them.
 
     kind is the record's type, or ``gap`` for quarantined bytes, with offset, length and reason; offset
     and length are those of the member, or of the record in an uncompressed archive. page_id and
-    refers_to are null where ids are not of this writer. An empty or null archive has no rows.
+    refers_to are null where ids are not of this writer. An empty or null archive has no rows. A member that inflates
+    beyond ``most`` bytes, and beyond what its first record declares, keeps the records that come before; the rest is a gap.
     """
     names = [c.strip().split(" ")[0] for c in ROWS.split(",")]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
@@ -310,7 +317,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 path, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or b""
                 rows, size = [], 0
-                for r in read_archive(content):
+                for r in read_archive(content, most):
                     rows.append(r | {"path": path})
                     size += len(r.get("payload") or b"")
                     if size > 8 << 20:

@@ -1,5 +1,6 @@
 """Time and memory stay in proportion to the input where a file, a page, a url or a hub is made to cost more."""
 
+import hashlib
 import re
 import struct
 import time
@@ -8,7 +9,7 @@ import tracemalloc
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import common, media, urlfilter
+from barloom.llm import common, media, urlfilter, warc
 
 
 def box(kind, *parts):
@@ -38,6 +39,30 @@ def test_fragments_cannot_claim_more_samples_than_bytes(runs):
     tracemalloc.stop()
 
 
+def test_members_that_inflate_beyond_their_records(monkeypatch):
+    """A small member of 2 GB of zeros, bare and behind a good record, costs little and loses no other record; one that declares its size is read."""
+    import gzip
+    import zlib
+
+    zeros = zlib.compressobj(9, zlib.DEFLATED, 31)
+    good = [warc.member(warc.record(i, f"http://h/{i}", b"p" * 1500, hashlib.sha1(b"p" * 1500).hexdigest(), None)) for i in range(3)]
+    first = zlib.compressobj(9, zlib.DEFLATED, 31)
+    chunk = bytes(1 << 24)
+    bomb = b"".join([*(zeros.compress(chunk) for _ in range(125)), zeros.flush()])
+    led = first.compress(warc.record(9, "http://h/9", b"q", hashlib.sha1(b"q").hexdigest(), None)) + b"".join([*(first.compress(chunk) for _ in range(20)), first.flush()])
+    tracemalloc.start()
+    began = time.time()
+    rows = [r for r in warc.read_archive(good[0] + bomb + good[1] + led + good[2])]
+    took, peak = time.time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["page_id"] for r in rows if r["kind"] != "gap"] == [0, 1, 9, 2] and len([r for r in rows if r["kind"] == "gap"]) == 2
+    assert len(bomb) > 1_500_000 and took < 10 and peak < 500e6, (took, peak)
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1000)
+    body = b"z" * 3_000_000
+    large = gzip.compress(warc.record(5, "http://h/5", body, hashlib.sha1(body).hexdigest(), None), mtime=0)
+    assert [(r["kind"], len(r["payload"])) for r in warc.read_archive(large, most=1000)] == [("response", 3_000_000)]
+
+
 def test_pages_of_unclosed_tags_and_urls_of_ampersands(spark):
     html = ["<link rel=canonical " * 50_000, "<link " * 170_000 + "rel=canonical href=/x", "<meta http-equiv=refresh " * 40_000, "<" * 1_000_000, "rel=" * 250_000 + "<link canonical", "<link rel=" + " " * 1_000_000]
     urls = ["http://a.net/?" + "&" * 1_000_000, "http://b.org/?" + "&" * 500_000 + "x" + "?" * 500_000, "http://c.org/?" + "utm_" * 250_000, "http://d.org/p?utm_a=1&" * 40_000]
