@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.frames import PAIR, TIME, by_pair
+from barloom.functions.scratch import written
 from barloom.operators.joins import within
+from barloom.operators.selection import BROADCAST_RANKS, quantiles
 from barloom.params import Params
 from barloom.plans.pipeline import compute_features
 from barloom.schemas import ISSUES
@@ -181,11 +183,12 @@ def validate(stored: DataFrame, params: Params | None = None, skip: tuple = ())
 def distributions(df: DataFrame, columns: list[str]) -> DataFrame:
     """(pair, column, n, mean, median, least, most, sd, q1, q3, iqr, zeros, distinct, skew, kurt, outliers) of numeric columns.
 
-    Quartiles are exact with linear interpolation; deviation, skew and kurtosis (excess) those of a sample;
-    outliers lie beyond one and a half times the quartiles' distance. Values are counted first; their
-    places are running sums over the sorted distinct values, so that no buffer holds a column's values.
+    Quartiles are exact with linear interpolation, found by selection (``operators.selection``); deviation, skew and
+    kurtosis (excess) are those of a sample; outliers lie beyond one and a half times the quartiles' distance. No task holds a
+    column whole: counts, moments and distinct values are partial aggregates.
     """
     long = df.select(PAIR, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot([PAIR], columns, "column", "value").where("value is not null and not isnan(value)")
+    long = written(long, "values")
     v, n = F.col("value"), F.count(F.lit(1))
     spread = F.stddev_pop(v) > 1e-9
     by = long.groupBy(PAIR, "column").agg(
@@ -193,20 +196,13 @@ def distributions(df: DataFrame, columns: list[str]) -> DataFrame:
         F.when((n > 2) & spread, F.skewness(v) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
         F.when((n > 3) & spread, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(v) + 6)).alias("kurt"),
     )
-    counted = long.groupBy(PAIR, "column", "value").agg(n.alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(PAIR, "column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    placed = counted.withColumn("upto", upto).join(by.select(PAIR, "column", "n"), [PAIR, "column"])
-
-    def quantile(p: float) -> Column:
-        at = (F.col("n") - 1) * p
-        value = lambda k: F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("c") <= k), v))
-        low, high = value(F.floor(at)), value(F.ceil(at))
-        return low + (high - low) * F.max(at - F.floor(at))
-
-    cuts = placed.groupBy(PAIR, "column").agg(quantile(0.5).alias("median"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3"), F.count(F.lit(1)).alias("distinct"))
-    cuts = cuts.withColumn("iqr", F.col("q3") - F.col("q1"))
+    by = written(by, "moments")
+    cuts = written(quantiles(long, by, [PAIR, "column"], {"median": 0.5, "q1": 0.25, "q3": 0.75}).withColumn("iqr", F.col("q3") - F.col("q1")), "quartiles")
+    kinds = long.select(PAIR, "column", (v + 0.0).alias("value")).distinct().groupBy(PAIR, "column").agg(n.alias("distinct"))
     far = (v < F.col("q1") - 1.5 * F.col("iqr")) | (v > F.col("q3") + 1.5 * F.col("iqr"))
-    out = counted.join(cuts, [PAIR, "column"]).groupBy(PAIR, "column").agg(F.coalesce(F.sum(F.when(far, F.col("c"))), F.lit(0)).alias("outliers"))
+    few = cuts.count() <= BROADCAST_RANKS  # a row a pair and column
+    out = long.join(F.broadcast(cuts) if few else cuts, [PAIR, "column"]).groupBy(PAIR, "column").agg(F.count_if(far).alias("outliers"))
+    cuts = cuts.join(kinds, [PAIR, "column"])
     return by.join(cuts, [PAIR, "column"]).join(out, [PAIR, "column"]).select(
         PAIR, "column", "n", "mean", "median", "least", "most", "sd", "q1", "q3", "iqr", "zeros", "distinct", "skew", "kurt", "outliers",
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.frames import clean, numbered
+from barloom.functions.scratch import new_path
 from barloom.operators import features, gaps, joins, upsert
 from barloom.operators.cross_pair import cross_pair
 from barloom.operators.halo import features_by_slot
@@ -271,28 +272,15 @@ def q_rolling_update(spark, sf_dir):
 
 def q_streaming_candles(spark, sf_dir):
     """The events as a stream: watermark, tumbling windows, idempotent batches; then the current bars."""
-    import uuid
-
     from barloom.streaming.candles import candle_stream, current_bars, event_stream, write_bars
 
-    root = f"{scratch(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    root = new_path(spark, "stream")
     bars = candle_stream(event_stream(spark, f"{sf_dir}/events.parq*"), late="60 days")
     write_bars(bars, f"{root}/bars", f"{root}/checkpoint").awaitTermination()
     out = current_bars(spark, f"{root}/bars")
     return tidy(out.withColumn("timestamp_utc", F.col("timestamp_utc").cast("timestamp_ntz")))
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and the master local."""
-    import re
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (root or tempfile.mkdtemp(prefix="barloom-")).rstrip("/")
-
-
 def q_parse_trades(spark, sf_dir):
     """Line items as trade messages; a discount of 0 stands for a missing size, which is skipped."""
     li = candles.read_table(spark, sf_dir, "lineitem")
@@ -323,9 +311,7 @@ def q_chart_window(spark, sf_dir):
 
 def q_report_reader(spark, sf_dir):
     """A written JSON report, read back: label leakage and gaps go, missing values stay, with hints."""
-    import uuid
-
-    path = f"{scratch(spark)}/{spark.sparkContext.applicationId}/report-{uuid.uuid4().hex}"
+    path = new_path(spark, "report")
     validators.write_report(q_completeness(spark, sf_dir), path)
     return validators.drill_down(validators.read_report(spark, path, "completeness", "null_values")).select("pair", "column", "issues", "candles", "hint")
 
@@ -421,16 +407,10 @@ def q_resource_rollup(spark, sf_dir):
     return tidy(reports.resource_rollup(loads, ["cpu", "memory", "gpu"]))
 
 
-def _new_path(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{scratch(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def q_duration_log(spark, sf_dir):
     """Durations logged in two runs that append to one log, read back and summed up."""
     e = candles.read_table(spark, sf_dir, "events").select(F.col("event_type").alias("operation"), F.col("value").alias("seconds"))
-    path = _new_path(spark, "durations")
+    path = new_path(spark, "durations")
     for run in ("operation = 'click'", "operation <> 'click'"):
         reports.append_log(e.where(run), path)
     return tidy(reports.duration_rollup(spark.read.schema("operation string, seconds double").csv(path, header=True)))
@@ -450,7 +430,7 @@ def q_recheck(spark, sf_dir):
 
 def q_write_partitioned(spark, sf_dir):
     """Bars written by month twice: the second write replaces the months that it has."""
-    path = _new_path(spark, "by-month")
+    path = new_path(spark, "by-month")
     bars = candles.hourly(spark, sf_dir)
     upsert.write_partitioned(bars, path)
     upsert.write_partitioned(bars.withColumn("volume", F.col("volume") * 2), path)
@@ -462,7 +442,7 @@ def q_write_bucketed(spark, sf_dir):
     import uuid
 
     table = f"bars_{uuid.uuid4().hex}"
-    upsert.write_bucketed(candles.hourly(spark, sf_dir), table, 8, _new_path(spark, "bucketed"))
+    upsert.write_bucketed(candles.hourly(spark, sf_dir), table, 8, new_path(spark, "bucketed"))
     return tidy(candles.latest(spark.table(table), 100))
 
 
@@ -512,7 +492,7 @@ def q_feature_stream(spark, sf_dir):
     bars = candles.hourly(spark, sf_dir).withColumn("timestamp_utc", F.col("timestamp_utc").cast("timestamp"))
     day, held = F.dayofmonth("timestamp_utc"), F.dayofmonth("timestamp_utc").between(8, 10) & (F.hour("timestamp_utc") % 8 == 3)
     chunks = [bars.where((day <= 10) & ~held), bars.where((day > 10) & (day <= 20)), bars.where((day > 20) | held)]
-    path = _streamed(spark, chunks, feature_stream, _new_path(spark, "features"))
+    path = _streamed(spark, chunks, feature_stream, new_path(spark, "features"))
     out = current_bars(spark, path).select("pair", F.col("timestamp_utc").cast("timestamp_ntz").alias("timestamp_utc"), *KEPT)
     return tidy(out)
 
@@ -524,7 +504,7 @@ def q_release_hours(spark, sf_dir):
     events = candles.read_table(spark, sf_dir, "events").select(F.col("event_type").alias("pair"), F.col("ts").cast("timestamp").alias("ts"))
     day, held = F.dayofmonth("ts"), (F.col("pair") == "purchase") & (F.hour("ts") % 6 == 0) & (F.dayofmonth("ts") % 2 == 0)
     chunks = [events.where((day <= 10) & ~held), events.where((day > 10) & (day <= 20) & ~held), events.where((day > 20) & ~held), events.where(held)]
-    path = _streamed(spark, chunks, lambda s: release_hours(s, expected=5, late="2 hours"), _new_path(spark, "hours"))
+    path = _streamed(spark, chunks, lambda s: release_hours(s, expected=5, late="2 hours"), new_path(spark, "hours"))
     return spark.read.parquet(path).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "bars", "reason")
 
 
@@ -534,7 +514,7 @@ DAYS = "date_format(timestamp_utc, 'yyyy-MM-dd')"
 def q_stored_update(spark, sf_dir):
     """The update of ``join_update`` on a stored table of a part a day: one part is written anew; then the table, reread."""
     bars = candles.hourly(spark, sf_dir)
-    table = StoredTable(spark, _new_path(spark, "stored"), DAYS)
+    table = StoredTable(spark, new_path(spark, "stored"), DAYS)
     table.create(bars)
     day = candles.in_range(bars, "2024-01-10", "2024-01-10 23:00:00")
     table.update(day.select("pair", "timestamp_utc", F.when(F.hour("timestamp_utc") % 2 == 0, F.col("volume") * 10).alias("volume")))
@@ -544,7 +524,7 @@ def q_stored_update(spark, sf_dir):
 def q_stored_insert(spark, sf_dir):
     """Bars of the first weeks stored, then all bars inserted twice: each is there once, and the first version is still to be read."""
     bars = candles.hourly(spark, sf_dir)
-    table = StoredTable(spark, _new_path(spark, "stored"), DAYS)
+    table = StoredTable(spark, new_path(spark, "stored"), DAYS)
     table.create(candles.in_range(bars, "2024-01-01", "2024-01-22 23:00:00"))
     table.insert(bars.unionByName(bars))
     old = table.read(version=0).groupBy("pair").agg(F.count(F.lit(1)).alias("before"))
@@ -555,7 +535,7 @@ def q_stored_insert(spark, sf_dir):
 def q_stored_scan(spark, sf_dir):
     """One pair and week of a stored table of all users' bars: the manifest names the files that may have them."""
     bars = candles.candles_from_events(candles.read_table(spark, sf_dir, "events"), "1 hour", "user_id")
-    table = StoredTable(spark, _new_path(spark, "stored"), DAYS)
+    table = StoredTable(spark, new_path(spark, "stored"), DAYS)
     table.create(bars)
     return tidy(table.read("17", "2024-01-05", "2024-01-12"))
 
@@ -569,7 +549,7 @@ def q_insert_unknown(spark, sf_dir):
     """What a second fetch of all users' bars adds, told by Bloom filters of known keys by month."""
     have, new = _known_split(spark, sf_dir)
     month = F.date_format("timestamp_utc", "yyyy-MM")
-    path = _new_path(spark, "key-filter")
+    path = new_path(spark, "key-filter")
     build_filter(have, period=month).write.parquet(path)
     known = spark.read.parquet(path)
     return tidy(insert_unknown(have, new, known, period=month))
