@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from barloom.plans.pipeline import DIGITS
+from barloom.quality import rules
 
 BARS = """candles AS (
   SELECT event_type AS pair, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS timestamp_utc, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
@@ -245,7 +248,7 @@ def _sanity() -> str:
 
 SQL["sanity"] = _sanity()
 SQL["recompute"] = q(ROWS, """SELECT pair, 'price_action' AS validator, 'calculation_mismatch' AS issue_type, unnest(['upper_shadow', 'gap_open']) AS "column", count_if(i % 7 = 3)::BIGINT AS issues, count(*) AS candles FROM x GROUP BY pair""")
-SQL["validate_clean"] = q(BARS, """SELECT pair, '' AS validator, '' AS issue_type, '' AS "column", 0::BIGINT AS issues, 0::BIGINT AS candles FROM candles WHERE false""")
+SQL["validate_clean"] = q(BARS, "SELECT pair, count(*) AS candles, 0::BIGINT AS issues FROM candles GROUP BY pair")
 
 
 def stats_sql(table: str, columns: list[str]) -> str:
@@ -295,7 +298,7 @@ SQL["full_backfill"] = "SELECT * FROM " + " JOIN ".join(f"({SQL[n]})" + ("" if k
 SQL["scan_listed"] = q(BARS, f"SELECT {rounded('open', 'high', 'low', 'close', 'volume')} FROM candles WHERE pair <> 'error'")
 SQL["parse_index_candles"] = q(ROWS, f"""SELECT pair || '-USDT' AS symbol, epoch_ms(timestamp_utc) AS ms, {rounded('open', 'high', 'low', 'close', keys='1 AS one').replace('1 AS one, ', '')},
   i % 4 <> 0 AS confirmed FROM x""")
-#: Columns of each recomputing validator; the queries move every seventh bar of all of them.
+#: Columns of each recomputing validator.
 PLANTED = {
     "momentum": "stoch_k_14 williams_r_14 roc_10 stoch_d_14 cci_14 awesome_oscillator",
     "volatility": "true_range bollinger_width_1h bollinger_percent_b donchian_channel_width_1h historical_vol_30",
@@ -306,8 +309,23 @@ PLANTED = {
     "temporal": "hour_of_day day_of_week month_of_year is_weekend asian_session european_session american_session",
     "labels": "future_return_1h_pct future_return_4h_pct future_return_12h_pct future_return_1d_pct future_return_3d_pct future_return_1w_pct future_return_2w_pct future_max_return_24h_pct future_max_drawdown_12h_pct was_profitable_12h future_risk_adj_return_12h profit_target_1pct profit_target_2pct",
 }
-for _name, _cols in PLANTED.items():
-    SQL[f"validate_{_name}"] = q(ROWS, f"""SELECT pair, '{_name}' AS validator, 'calculation_mismatch' AS issue_type, unnest({_cols.split()}) AS "column", count_if(i % 7 = 3)::BIGINT AS issues, count(*) AS candles FROM x GROUP BY pair""")
+#: Bars whose close is moved where features were stored: by too little to be seen in some hours, by a hundredth or a half in others.
+MOVED = BARS.replace("candles AS (", "unmoved AS (", 1) + """, candles AS (SELECT * REPLACE (close * CASE hour(timestamp_utc) % 7 WHEN 3 THEN 1.0000000001::DOUBLE WHEN 5 THEN 1.01::DOUBLE WHEN 1 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS close) FROM unmoved)"""
+_SOURCES = {"momentum": ("momentum",), "volatility": ("volatility",), "volume": ("volume",), "recursive": ("momentum_recursive", "volatility_recursive", "volume_recursive", "statistical"), "statistical": ("statistical",), "patterns": ("pattern",), "labels": ("labels",)}
+
+
+def mismatches(name: str) -> str:
+    """Features of the bars and of the moved bars, both stated in SQL, compared within each column's tolerance."""
+    whole = lambda bars: " JOIN ".join(f"({re.sub(r', [3678]\) AS (\w+)', r', 13) AS \1', SQL[n].replace(BARS, bars))})" + ("" if k == 0 else " USING (pair, timestamp_utc)") for k, n in enumerate(_SOURCES[name]))
+    apart = lambda c: f"coalesce(abs(b.{c}::DOUBLE - a.{c}::DOUBLE) > {rules.TOLERANCE.get(c, 1e-6)}, b.{c} IS NULL)"
+    counts = ", ".join(f"count_if({apart(c)})::BIGINT AS {c}" for c in PLANTED[name].split())
+    return f"""WITH a AS (SELECT * FROM {whole(BARS)}), b AS (SELECT * FROM {whole(MOVED)}), c AS (SELECT pair, count(*) AS candles, {counts} FROM a JOIN b USING (pair, timestamp_utc) GROUP BY pair)
+  SELECT pair, '{name}' AS validator, 'calculation_mismatch' AS issue_type, "column", issues, candles FROM c UNPIVOT (issues FOR "column" IN ({PLANTED[name].replace(" ", ", ")})) WHERE issues > 0"""
+
+
+for _name in _SOURCES:
+    SQL[f"validate_{_name}"] = mismatches(_name)
+SQL["validate_temporal"] = q(ROWS, f"""SELECT pair, 'temporal' AS validator, 'calculation_mismatch' AS issue_type, unnest({PLANTED['temporal'].split()}) AS "column", count_if(i % 7 = 3)::BIGINT AS issues, count(*) AS candles FROM x GROUP BY pair""")
 _RANKS = ["volume_rank_1h", "volatility_rank_1h", "performance_rank_btc_1h", "performance_rank_eth_1h"]
 SQL["validate_cross_pair"] = q(ROWS, f"""SELECT pair, 'cross_pair' AS validator, 'rank_range' AS issue_type, unnest({_RANKS}) AS "column", count_if(i % 11 = 2)::BIGINT AS issues, count(*) AS candles FROM x GROUP BY pair
   UNION ALL SELECT pair, 'cross_pair', 'correlation_range', 'btc_corr_24h', count_if(i % 13 = 5)::BIGINT, count(*) FROM x GROUP BY pair
@@ -370,3 +388,18 @@ SQL["stored_insert"] = q(BARS, """SELECT pair, count(*) AS bars, sum(volume) AS
   FROM candles GROUP BY pair HAVING before > 0""")
 SQL["stored_scan"] = q(USERS, f"SELECT {rounded('open', 'high', 'low', 'close', 'volume')} FROM candles WHERE pair = '17' AND timestamp_utc BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'")
 SQL["insert_unknown"] = q(USERS, f"SELECT {rounded('open', 'high', 'low', 'close', 'volume')} FROM candles WHERE timestamp_utc > TIMESTAMP '2024-01-22 23:00:00'")
+
+#: Checks of bars by number: type of issue, column, condition.
+_RAW = (("high_low_issues", "high", "high < low"), ("open_high_issues", "open", "high < open"), ("low_close_issues", "low", "low > close"), ("high_close_issues", "close", "high < close"), ("low_open_issues", "open", "low > open"), ("negative_volume", "volume", "volume < 0"))
+SQL["validation_results"] = q("""b AS (SELECT l_returnflag || l_linestatus AS pair, make_timestamp((l_orderkey * 10 + l_linenumber) * 1000000) AS t, l_extendedprice AS open, l_extendedprice * (1 + l_tax) AS high,
+    l_extendedprice * (1 - l_discount) AS low, l_quantity * 1000 AS close, l_quantity - 2 AS volume FROM lineitem),
+  h AS (""" + " UNION ALL ".join(f"SELECT pair, t, {k} AS i, '{n}' AS kind, '{c}' AS col, {c}::DOUBLE AS v FROM b WHERE {w}" for k, (n, c, w) in enumerate(_RAW)) + """),
+  s AS (SELECT pair, sum(n)::BIGINT AS issues_count, string_agg(kind || ':' || n, ',' ORDER BY kind) AS summary FROM (SELECT pair, kind, count(*) AS n FROM h GROUP BY ALL) GROUP BY pair),
+  e AS (SELECT pair, string_agg(kind || '|' || col || '|' || strftime(t, '%Y-%m-%d %H:%M:%S') || '|' || round(v, 4)::DECIMAL(20, 4), ';' ORDER BY i, k) AS issues
+    FROM (SELECT *, row_number() OVER (PARTITION BY pair, i ORDER BY t, v) AS k FROM h) WHERE k <= 5 GROUP BY pair),
+  n AS (SELECT pair, count(*) AS candles_count FROM b GROUP BY pair)""", """SELECT pair, 'completed' AS status, coalesce(issues_count, 0) AS issues_count, candles_count, round(100.0::DOUBLE * coalesce(issues_count, 0) / candles_count, 6) AS issue_percentage, coalesce(summary, '') AS summary, coalesce(issues, '') AS issues
+  FROM n LEFT JOIN s USING (pair) LEFT JOIN e USING (pair) UNION ALL SELECT r_name, 'no_data', 0, 0, 0, '', '' FROM region WHERE r_name NOT IN (SELECT pair FROM b)""")
+SQL["validation_gaps"] = q(BARS + """, b AS (SELECT *, timestamp_utc - lag(timestamp_utc) OVER (PARTITION BY pair ORDER BY timestamp_utc) > INTERVAL 66 MINUTES AS gap FROM candles WHERE hour(timestamp_utc) NOT IN (3, 4)),
+  e AS (SELECT pair, string_agg('gap|timestamp_utc|' || strftime(timestamp_utc, '%Y-%m-%d %H:%M:%S'), ';' ORDER BY timestamp_utc) AS issues FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY timestamp_utc) AS k FROM b WHERE gap) WHERE k <= 10 GROUP BY pair),
+  n AS (SELECT pair, count(*) FILTER (gap) AS g, count(*) AS c FROM b GROUP BY pair)""", """SELECT pair, 'completed' AS status, g AS issues_count, c AS candles_count, round(100.0::DOUBLE * g / c, 6) AS issue_percentage, CASE WHEN g > 0 THEN 'gap:' || g ELSE '' END AS summary, coalesce(issues, '') AS issues
+  FROM n LEFT JOIN e USING (pair) UNION ALL SELECT pair, 'missing_columns', 0, count(*), 0, '', '' FROM candles GROUP BY pair""")

@@ -6,10 +6,12 @@ counted by pair with partial sums. ``examples`` gives the first rows of a check,
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions.frames import PAIR, TIME, by_pair
 from barloom.functions.scratch import written
@@ -45,6 +47,62 @@ def examples(df: DataFrame, check: Check, k: int = 5) -> DataFrame:
     return df.where(check.failed).withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= k).drop("__rn")
 
 
+#: Columns that validators cannot do without; a table that lacks one has a status, not issues.
+NEEDED = {"raw_ohlcv": ("open", "high", "low", "close", "volume"), "completeness": (TIME,), "targets": ("future_max_return_24h_pct", "future_return_12h_pct", "profit_target_1pct", "profit_target_2pct", "was_profitable_12h"), "cross_pair": ("btc_corr_24h",)}
+#: Examples kept of each check, and of gaps.
+EXAMPLES, GAP_EXAMPLES = 5, 10
+#: One row a pair: what ``results`` returns and ``read_results`` reads.
+RESULT = (
+    "pair string, validator string, status string, issues_count bigint, candles_count bigint, issue_percentage double, issue_summary map<string, struct<count: bigint>>, "
+    "issues array<struct<issue_type: string, column: string, timestamp: timestamp_ntz, actual: double>>"
+)
+
+
+def results(df: DataFrame, validator: str, make: Callable[[DataFrame], tuple[DataFrame, list[Check]]], pairs: DataFrame | None = None, k: int = EXAMPLES, gaps: int = GAP_EXAMPLES) -> DataFrame:
+    """``RESULT``: one row a pair, with counts by type of issue and the first examples of each check.
+
+    make gives the table and checks, for a table that has the columns of ``NEEDED``; without them each pair's status is
+    ``missing_columns``. pairs: those that must have a row; one without bars has status ``no_data``. issue_percentage is issues for
+    a hundred bars. Of a check and pair at most ``k`` examples are kept, ``gaps`` of gaps: the limit is taken in each task before rows are
+    shuffled, so no task holds a pair's failures.
+    """
+    known = df.select(PAIR).distinct() if pairs is None else df.select(PAIR).distinct().union(pairs.select(PAIR)).distinct()
+    if any(c not in df.columns for c in NEEDED.get(validator, ())):
+        out = known.join(df.groupBy(PAIR).agg(F.count(F.lit(1)).alias("candles_count")), PAIR, "left").withColumns({"status": F.when(F.col("candles_count").isNull(), "no_data").otherwise("missing_columns"), "issues_count": F.lit(0).cast("long"), "issue_summary": F.lit(None), "issues": F.lit(None)})
+        return _shaped(out, validator)
+    df, checks = make(df)
+    hits = F.array_compact(F.array(*(F.when(c.failed, F.lit(i)) for i, c in enumerate(checks))))
+    name = lambda n: F.element_at(F.array(*(F.lit(c[n]) for c in checks)), F.col("__i") + 1)
+    actual = F.element_at(F.array(*(F.col(c.column).try_cast("double") if c.column in df.columns and c.column != TIME else F.lit(None).cast("double") for c in checks)), F.col("__i") + 1)
+    rows = df.withColumn("__i", F.explode(hits)).select(PAIR, F.col(TIME).cast("timestamp_ntz").alias("timestamp"), "__i", name(1).alias("issue_type"), name(2).alias("column"), actual.alias("actual"))
+    counts = rows.groupBy(PAIR, "issue_type").agg(F.count(F.lit(1)).alias("count")).groupBy(PAIR).agg(F.sum("count").alias("issues_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("issue_type", F.struct("count"))))).alias("issue_summary"))
+    first = Window.partitionBy(PAIR, "__i").orderBy("timestamp", "actual")
+    kept = rows.withColumn("__k", F.row_number().over(first)).where(F.col("__k") <= max(k, gaps)).where(F.col("__k") <= F.when(F.col("issue_type") == "gap", gaps).otherwise(k))
+    kept = kept.groupBy(PAIR).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__k", F.struct("issue_type", "column", "timestamp", "actual").alias("x")))), lambda e: e["x"]).alias("issues"))
+    bars = df.groupBy(PAIR).agg(F.count(F.lit(1)).alias("candles_count"))
+    out = known.join(bars, PAIR, "left").join(counts, PAIR, "left").join(kept, PAIR, "left")
+    return _shaped(out.withColumn("status", F.when(F.col("candles_count").isNull(), "no_data").otherwise("completed")), validator)
+
+
+def _shaped(out: DataFrame, validator: str) -> DataFrame:
+    """Rows of ``RESULT``: no issue is 0, an empty map and an empty list."""
+    n, bars = F.coalesce("issues_count", F.lit(0).cast("long")), F.coalesce("candles_count", F.lit(0).cast("long"))
+    none = T._parse_datatype_string(RESULT)
+    empty = lambda c: F.from_json(F.lit("{}" if c == "issue_summary" else "[]"), none[c].dataType)
+    nested = {c: F.coalesce(F.col(c).cast(none[c].dataType), empty(c)) for c in ("issue_summary", "issues")}
+    made = {"validator": F.lit(validator), "issues_count": n, "candles_count": bars, "issue_percentage": F.when(bars > 0, 100 * n / bars).otherwise(0.0), **nested}
+    return out.select(*(made.get(c, F.col(c)).alias(c) for c in none.names))
+
+
+def write_results(rows: DataFrame, path: str) -> None:
+    """Results as JSON lines, nested as they are."""
+    rows.write.mode("overwrite").json(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RESULT).json(path)
+
+
 def raw_checks(columns: list[str]) -> list[Check]:
     """Order of prices, negative volumes, taker volume above the whole."""
     o, h, lo, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))

@@ -196,9 +196,11 @@ def q_recompute(spark, sf_dir):
 
 
 def q_validate_clean(spark, sf_dir):
-    """Recomputing validators over freshly computed features: no rows."""
-    stored = compute_features(candles.hourly(spark, sf_dir), PARAMS, ["price_action", "momentum", "volatility", "volume", "statistical", "pattern", "calendar", "labels", "recursive"])
-    return validators.validate(stored, PARAMS, skip=("raw_ohlcv", "completeness", "sanity"))
+    """Recomputing validators over freshly computed features: no pair has an issue."""
+    bars = candles.hourly(spark, sf_dir)
+    stored = compute_features(bars, PARAMS, ["price_action", "momentum", "volatility", "volume", "statistical", "pattern", "calendar", "labels", "recursive"])
+    found = validators.validate(stored, PARAMS, skip=("raw_ohlcv", "completeness", "sanity")).groupBy("pair").agg(F.sum("issues").alias("issues"))
+    return bars.groupBy("pair").agg(F.count(F.lit(1)).alias("candles")).join(found, "pair", "left").select("pair", "candles", F.coalesce("issues", F.lit(0)).cast("long").alias("issues"))
 
 
 def q_distributions(spark, sf_dir):
@@ -355,14 +357,22 @@ def q_parse_index_candles(spark, sf_dir):
 
 
 def _planted(validator: str):
-    """A query for a recomputing validator: every seventh bar's stored features are moved beyond any tolerance."""
+    """A query for a recomputing validator: features of bars whose close is moved in some hours, held against the bars as they are.
+
+    Some differences are below a column's tolerance and some above. Calendar columns, which no price changes, are moved themselves.
+    """
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        added: dict[str, str] = {}
-        groups = validators.RECOMPUTE[validator]
-        stored = numbered(compute_features(candles.hourly(spark, sf_dir), PARAMS, groups, added))
-        off = {c: (F.col(c) + F.when(F.col("__i") % 7 == 3, 2).otherwise(0)).cast(dict(stored.dtypes)[c]) for c, g in added.items() if g in groups and dict(stored.dtypes)[c] != "boolean"}
-        return validators.recomputed(stored.withColumns(off).drop("__i", "__n"), {validator: groups}, PARAMS)
+        groups, bars = validators.RECOMPUTE[validator], candles.hourly(spark, sf_dir)
+        if validator == "temporal":
+            stored = numbered(compute_features(bars, PARAMS, groups))
+            off = {c: (F.col(c) + F.when(F.col("__i") % 7 == 3, 2).otherwise(0)).cast(k) for c, k in stored.dtypes if c not in ("pair", "timestamp_utc", *RAW, "__i", "__n")}
+            stored = stored.withColumns(off).drop("__i", "__n")
+        else:
+            part = F.hour("timestamp_utc") % 7
+            moved = bars.withColumn("close", F.col("close") * F.when(part == 3, 1.0000000001).when(part == 5, 1.01).when(part == 1, 1.5).otherwise(1.0))
+            stored = compute_features(moved, PARAMS, groups).drop("close").join(bars.select("pair", "timestamp_utc", "close"), ["pair", "timestamp_utc"])
+        return validators.recomputed(stored, {validator: groups}, PARAMS)
 
     return query
 
@@ -555,7 +565,34 @@ def q_insert_unknown(spark, sf_dir):
     return tidy(insert_unknown(have, new, known, period=month))
 
 
+def _flat(rows):
+    """Results with their maps and lists as texts, to be compared."""
+    issues = F.array_join(F.transform("issues", lambda x: F.concat_ws("|", x["issue_type"], x["column"], F.date_format(x["timestamp"], "yyyy-MM-dd HH:mm:ss"), F.round(x["actual"], 4).cast("decimal(20,4)").cast("string"))), ";")
+    summary = F.array_join(F.transform(F.map_entries("issue_summary"), lambda x: F.concat(x["key"], F.lit(":"), x["value"]["count"])), ",")
+    return rows.select("pair", "status", "issues_count", "candles_count", F.round("issue_percentage", 6).alias("issue_percentage"), summary.alias("summary"), issues.alias("issues"))
+
+
+def q_validation_results(spark, sf_dir):
+    """Line items read as bars, and a pair without any: one nested row a pair, written as JSON and read back."""
+    li = candles.read_table(spark, sf_dir, "lineitem")
+    bars = li.select(F.concat("l_returnflag", "l_linestatus").alias("pair"), F.timestamp_seconds(F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("timestamp_ntz").alias("timestamp_utc"), F.col("l_extendedprice").alias("open"), (F.col("l_extendedprice") * (1 + F.col("l_tax"))).alias("high"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("low"), (F.col("l_quantity") * 1000).alias("close"), (F.col("l_quantity") - 2).alias("volume"))
+    listed = candles.read_table(spark, sf_dir, "region").select(F.col("r_name").alias("pair"))
+    path = new_path(spark, "results")
+    validators.write_results(validators.results(bars, "raw_ohlcv", lambda d: (d, validators.raw_checks(d.columns)), listed), path)
+    return _flat(validators.read_results(spark, path))
+
+
+def q_validation_gaps(spark, sf_dir):
+    """Gaps of hourly bars with ten examples a pair; the same bars without volume only have a status."""
+    bars = candles.hourly(spark, sf_dir)
+    gappy = validators.results(bars.where("hour(timestamp_utc) not in (3, 4)"), "completeness", validators.completeness_checks)
+    less = validators.results(bars.drop("volume"), "raw_ohlcv", lambda d: (d, validators.raw_checks(d.columns)))
+    return _flat(gappy.unionByName(less))
+
+
 QUERIES = {
+    "validation_results": q_validation_results,
+    "validation_gaps": q_validation_gaps,
     "stored_update": q_stored_update,
     "stored_insert": q_stored_insert,
     "stored_scan": q_stored_scan,
