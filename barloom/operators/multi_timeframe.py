@@ -63,34 +63,88 @@ def frame_indicators(bars: pd.DataFrame, daily: bool) -> dict[str, np.ndarray]:
     }
 
 
-def frame_columns(bars: pd.DataFrame, micros: np.ndarray, closed_bars_only: bool = False) -> dict[str, np.ndarray]:
-    """The columns of ``MTF`` for one pair's hourly bars, ascending in time; 0 where there are too few bars."""
+def skipping_rsi(close: np.ndarray, n: int = 14) -> np.ndarray:
+    """``rsi`` over closes of which some are missing: changes from or to a missing one are skipped, and missing rows carry the value before."""
+    d = np.diff(close, prepend=np.nan)
+    at = np.flatnonzero(~np.isnan(d))
+    # As a series without gaps: n + 1 closes make the first value.
+    value = rsi(np.concatenate([[0.0], np.cumsum(d[at])]), n)[1:]
+    out = np.full(len(close), np.nan)
+    out[at] = value
+    return pd.Series(out).ffill().fillna(50.0).to_numpy()
+
+
+def grid_indicators(bars: pd.DataFrame, daily: bool) -> dict[str, np.ndarray]:
+    """The ten indicators over a grid of bars, empty ones with missing prices and volume 0.
+
+    Exponential means carry their value over empty bars and weigh it by the positions that have passed; windows count
+    positions, and those that need all of them have 0 where one is missing; Wilder's means skip; a volume before an empty bar is lost to
+    its change. Without empty bars this is ``frame_indicators``.
+    """
+    h, lo, c, v = (bars[k].to_numpy(float) for k in ("high", "low", "close", "volume"))
+    k, least = (1, 1) if daily else (2, 20)
+    before = np.concatenate([[np.nan], c[:-1]])
+    tr = np.fmax(h - lo, np.fmax(abs(h - before), abs(lo - before)))
+    macd = ewm(c, 12) - ewm(c, 26)
+    rs = skipping_rsi(c)
+    rolled = lambda x: pd.Series(x).rolling(20, min_periods=least)
+    tp = (h + lo + c) / 3
+    dt = np.diff(tp, prepend=np.nan)
+    up, down = (pd.Series(np.where(side, tp * v, 0.0)).rolling(14, min_periods=1 if daily else 14).sum().to_numpy() for side in (dt > 0, dt < 0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mfi = 100 - 100 / (1 + np.where(down > 0, up / down, np.inf if daily else 100.0))
+        grown = np.diff(v, prepend=v[0]) / np.concatenate([v[:1], v[:-1]])
+    signed = np.nan_to_num(np.sign(c - before)) * v
+    signed[0] = v[0] if daily else 0.0
+    grown[:1] = 0.0
+    return {
+        "rsi": rs, "rsi_slope": step(rs, k), "macd_slope": step(macd), "macd_hist_slope": step(macd - ewm(macd, 9)), "atr": ewm(tr, 14),
+        "bollinger_width": 4 * rolled(c).std().fillna(0.0).to_numpy(), "donchian_channel_width": (rolled(h).max() - rolled(lo).min()).fillna(0.0).to_numpy(),
+        "money_flow_index": mfi, "obv_slope": step(np.cumsum(signed), k), "volume_change_pct": np.nan_to_num(grown, nan=0.0, posinf=0.0, neginf=0.0),
+    }
+
+
+def frame_columns(bars: pd.DataFrame, micros: np.ndarray, closed_bars_only: bool = False, complete: bool = False) -> dict[str, np.ndarray]:
+    """The columns of ``MTF`` for one pair's hourly bars, ascending in time; 0 where there are too few bars.
+
+    complete: indicators are those of the whole grid of bars, empty ones included, which also counts for the least number of bars.
+    """
     out = {}
     for name, width in WIDTHS.items():
         key = micros // width
         first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.zeros(0, int)
-        if len(bars) < LEAST_ROWS or len(first) < LEAST_BARS[name]:
+        many = int(key[first[-1]] - key[first[0]]) + 1 if complete and len(first) else len(first)
+        if len(bars) < LEAST_ROWS or many < LEAST_BARS[name]:
             out |= {f"{c}_{name}": np.zeros(len(bars)) for c in (*OHLCV, *INDICATORS)}
             continue
         o, h, lo, c, v = (bars[k].to_numpy(float) for k in OHLCV)
         end = np.append(first[1:], len(bars)) - 1
         made = {"open": o[first], "high": np.maximum.reduceat(h, first), "low": np.minimum.reduceat(lo, first), "close": c[end], "volume": np.add.reduceat(v, first)}
-        made |= frame_indicators(pd.DataFrame(made), name == "1d")
+        have = key[first]
+        if complete:
+            have = np.arange(have[0], have[-1] + 1)
+            laid = {k: np.full(many, 0.0 if k == "volume" else np.nan) for k in made}
+            for k, x in made.items():
+                laid[k][key[first] - have[0]] = x
+            made = laid | grid_indicators(pd.DataFrame(laid), name == "1d")
+            made = {k: np.nan_to_num(x) for k, x in made.items()}
+        else:
+            made |= frame_indicators(pd.DataFrame(made), name == "1d")
         wanted = key - closed_bars_only
-        at = np.minimum(np.searchsorted(key[first], wanted), len(first) - 1)
-        there = key[first][at] == wanted
+        at = np.minimum(np.searchsorted(have, wanted), len(have) - 1)
+        there = have[at] == wanted
         out |= {f"{k}_{name}": np.where(there, x[at], 0.0) for k, x in made.items()}
     return out
 
 
-def multi_timeframe(df: DataFrame, p: object = None, closed_bars_only: bool = False) -> DataFrame:
+def multi_timeframe(df: DataFrame, p: object = None, closed_bars_only: bool = False, complete: bool = False) -> DataFrame:
     """``df`` with ten indicators and OHLCV of each higher frame.
 
     A row gets the values of the bar that encloses it, which includes later hours; with
     ``closed_bars_only`` those of the bar before, which was known. Missing values are 0. Indicators are
-    computed on bars that have rows; ``complete_grid`` gives the others. One grouped pass resamples,
-    computes and hands back, so that no bar is joined.
+    computed on bars that have rows, or, if ``complete``, on the whole grid of bars (``grid_indicators``). One grouped pass
+    resamples, computes and hands back, so that no bar is joined.
     """
     from .recursive import grouped_pass
 
-    return grouped_pass(df, p, MTF, closed_bars_only)
+    return grouped_pass(df, p, MTF, closed_bars_only, complete)

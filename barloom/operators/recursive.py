@@ -65,7 +65,7 @@ def recursive_columns(bars: pd.DataFrame, p: Params) -> dict[str, np.ndarray]:
     }
 
 
-def grouped_pass(df: DataFrame, p: Params | None, columns: tuple, closed_bars_only: bool = False) -> DataFrame:
+def grouped_pass(df: DataFrame, p: Params | None, columns: tuple, closed_bars_only: bool = False, complete: bool = False) -> DataFrame:
     """``df`` with ``columns``, recursive ones and those of higher frames; every other column passes through.
 
     After window features of the same pair the rows are already dealt and sorted: no further shuffle.
@@ -82,7 +82,7 @@ def grouped_pass(df: DataFrame, p: Params | None, columns: tuple, closed_bars_on
         if higher:
             # A zoned time arrives in the session's zone; frames are cut in UTC.
             micros = bars.pop("__micros").to_numpy() if zoned else bars["timestamp_utc"].to_numpy("datetime64[us]").astype(np.int64)
-            made |= frame_columns(bars, micros, closed_bars_only)
+            made |= frame_columns(bars, micros, closed_bars_only, complete)
         return pd.concat([bars, pd.DataFrame({k: made[k] for k in columns}, index=bars.index)], axis=1)
 
     rows = df.select(*kept)

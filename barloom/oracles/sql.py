@@ -188,6 +188,39 @@ SQL["multi_timeframe"] = q("RECURSIVE " + BARS + ", " + higher("4 hours", "a4")
     LEFT JOIN t4h ON t4h.pair = c.pair AND t4h.timestamp_utc = time_bucket(INTERVAL '4 hours', c.timestamp_utc) LEFT JOIN t1d ON t1d.pair = c.pair AND t1d.timestamp_utc = time_bucket(INTERVAL '1 day', c.timestamp_utc)""")
 
 
+def grid_sql(name: str, width: str, least: int) -> str:
+    """CTEs of the ten indicators on the grid of bars ``f{name}``: g counts the empty bars since the last full one, k the changes between full ones."""
+    j, daily = (1, True) if name == "1d" else (2, False)
+    needs = "" if daily else f"CASE WHEN count(close) OVER {last(20)} < 20 THEN 0 ELSE "
+    end = "" if daily else " END"
+    of = lambda w: w.replace("pair", "x.pair").replace("timestamp_utc", "x.timestamp_utc")
+    mean = lambda e, x, a: f"CASE WHEN close IS NULL THEN r.{e} ELSE (power(1 - {a}, g + 1) * r.{e} + {a} * {x}) / (power(1 - {a}, g + 1) + {a}) END AS {e}"
+    return f"""f{name} AS (SELECT g.pair, g.timestamp_utc, open, high, low, close, coalesce(volume, 0) AS volume FROM (SELECT pair, unnest(generate_series(min(timestamp_utc), max(timestamp_utc), INTERVAL '{width}')) AS timestamp_utc FROM a{name} GROUP BY pair) g
+      LEFT JOIN a{name} USING (pair, timestamp_utc) QUALIFY count(*) OVER (PARTITION BY g.pair) >= {least}),
+  x{name} AS (SELECT *, row_number() OVER w - 1 AS i, lag(close) OVER w AS c1, (high + low + close) / 3 AS tp, lag((high + low + close) / 3) OVER w AS tp1, lag(volume) OVER w AS v1 FROM f{name} WINDOW w AS (PARTITION BY pair ORDER BY timestamp_utc)),
+  s{name} AS (SELECT *, greatest(high - low, coalesce(abs(high - c1), 0), coalesce(abs(low - c1), 0)) AS tr, count(close - c1) OVER w AS k, avg(CASE WHEN close - c1 IS NOT NULL THEN greatest(close - c1, 0) END) OVER w AS seed_up,
+      avg(CASE WHEN close - c1 IS NOT NULL THEN greatest(c1 - close, 0) END) OVER w AS seed_dn FROM x{name} WINDOW w AS (PARTITION BY pair ORDER BY timestamp_utc ROWS UNBOUNDED PRECEDING)),
+  r{name} AS (SELECT pair, i, close::DOUBLE AS e12, close::DOUBLE AS e26, 0::DOUBLE AS sig, tr::DOUBLE AS atr, 0 AS g, 0::DOUBLE AS up, 0::DOUBLE AS dn FROM s{name} WHERE i = 0
+    UNION ALL SELECT pair, i, e12, e26, 0.2 * (e12 - e26) + 0.8 * sig0, atr, g, up, dn FROM (
+      SELECT s.pair, s.i, {mean('e12', 'close', '(2.0::DOUBLE / 13)')}, {mean('e26', 'close', '(2.0::DOUBLE / 27)')}, r.sig AS sig0, {mean('atr', 'tr', '(2.0::DOUBLE / 15)')}, CASE WHEN close IS NULL THEN g + 1 ELSE 0 END AS g,
+        CASE WHEN close - c1 IS NULL THEN up WHEN s.k < 14 THEN 0 WHEN s.k = 14 THEN seed_up ELSE (13 * up + greatest(close - c1, 0)) / 14 END AS up, CASE WHEN close - c1 IS NULL THEN dn WHEN s.k < 14 THEN 0 WHEN s.k = 14 THEN seed_dn ELSE (13 * dn + greatest(c1 - close, 0)) / 14 END AS dn
+      FROM r{name} r JOIN s{name} s ON s.pair = r.pair AND s.i = r.i + 1)),
+  u{name} AS (SELECT x.*, r.* EXCLUDE (pair, i, g), CASE WHEN x.k < 14 THEN 50 WHEN dn > 0 THEN 100 - 100 / (1 + up / dn) ELSE 100 END AS rsi, e12 - e26 AS macd, e12 - e26 - sig AS hist,
+      sum(CASE WHEN tp > tp1 THEN tp * volume ELSE 0 END) OVER {of(last(14))} AS pos, sum(CASE WHEN tp < tp1 THEN tp * volume ELSE 0 END) OVER {of(last(14))} AS neg,
+      sum(CASE WHEN x.i = 0 THEN {'volume' if daily else '0'} ELSE coalesce(sign(close - c1), 0) * volume END) OVER {of(W)} ROWS UNBOUNDED PRECEDING) AS obv FROM s{name} x JOIN r{name} r ON x.pair = r.pair AND x.i = r.i),
+  t{name} AS (SELECT pair, timestamp_utc, open AS open_{name}, high AS high_{name}, low AS low_{name}, close AS close_{name}, volume AS volume_{name}, rsi AS rsi_{name},
+      CASE WHEN i >= {j} THEN (rsi - lag(rsi, {j}) OVER {W})) / {j} ELSE 0 END AS rsi_slope_{name}, coalesce(macd - lag(macd) OVER {W}), 0) AS macd_slope_{name}, coalesce(hist - lag(hist) OVER {W}), 0) AS macd_hist_slope_{name}, atr AS atr_{name},
+      {needs}coalesce(4 * stddev_samp(close) OVER {last(20)}, 0){end} AS bollinger_width_{name}, {needs}coalesce(max(high) OVER {last(20)} - min(low) OVER {last(20)}, 0){end} AS donchian_channel_width_{name},
+      CASE WHEN neg > 0{'' if daily else ' AND i >= 13'} THEN 100 - 100 / (1 + pos / neg) ELSE {'100' if daily else '100 - 100.0 / 101'} END AS money_flow_index_{name},
+      CASE WHEN i >= {j} THEN (obv - lag(obv, {j}) OVER {W})) / {j} ELSE 0 END AS obv_slope_{name}, CASE WHEN v1 <> 0 THEN volume / v1 - 1 ELSE 0 END AS volume_change_pct_{name} FROM u{name})"""
+
+
+_HOLED = BARS.replace("FROM events GROUP BY 1, 2", "FROM events WHERE (epoch(date_trunc('hour', ts)::TIMESTAMP)::BIGINT // 32400) % 3 <> 1 GROUP BY 1, 2")
+SQL["multi_timeframe_grid"] = q("RECURSIVE " + _HOLED + ", " + higher("4 hours", "a4h") + ", " + higher("1 day", "a1d") + ", " + grid_sql("4h", "4 hours", 10) + ", " + grid_sql("1d", "1 day", 7),
+    f"""SELECT {rounded(*(f'coalesce({c}, 0) AS {c}' for c in _MTF), keys='c.pair, c.timestamp_utc')} FROM candles c
+    LEFT JOIN t4h ON t4h.pair = c.pair AND t4h.timestamp_utc = time_bucket(INTERVAL '4 hours', c.timestamp_utc) LEFT JOIN t1d ON t1d.pair = c.pair AND t1d.timestamp_utc = time_bucket(INTERVAL '1 day', c.timestamp_utc)""")
+
+
 def rank_sql(c: str, positive: bool = True) -> str:
     """Rank in percent with averaged ties, rounded half to even."""
     place = f"(rank() OVER (PARTITION BY timestamp_utc ORDER BY {c} NULLS FIRST) - 1 + (count(*) OVER (PARTITION BY timestamp_utc, {c}) - 1) / 2)"

@@ -99,6 +99,12 @@ def q_multi_timeframe(spark, sf_dir):
     return tidy(df.drop(*RAW))
 
 
+def q_multi_timeframe_grid(spark, sf_dir):
+    """Higher frames over all their bars, empty ones included; every third stretch of nine hours is taken out first."""
+    bars = candles.hourly(spark, sf_dir).where("(unix_seconds(cast(timestamp_utc as timestamp)) div 32400) % 3 <> 1")
+    return tidy(multi_timeframe(bars, complete=True).drop(*RAW))
+
+
 def q_multi_timeframe_closed(spark, sf_dir):
     df = multi_timeframe(candles.hourly(spark, sf_dir), closed_bars_only=True)
     return tidy(df.select("pair", "timestamp_utc", "close_4h", "volume_4h", "close_1d", "volume_1d"))
@@ -638,6 +644,7 @@ QUERIES = {
     "resample_4h": q_resample_4h,
     "resample_grid": q_resample_grid,
     "multi_timeframe": q_multi_timeframe,
+    "multi_timeframe_grid": q_multi_timeframe_grid,
     "multi_timeframe_closed": q_multi_timeframe_closed,
     "cross_pair": q_cross_pair,
     "cross_section_wide": q_cross_section_wide,
