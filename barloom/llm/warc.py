@@ -126,7 +126,8 @@ def inflate(data: bytes, at: int, most: int = MEMBER_BYTES) -> tuple[bytes, int]
             if at >= len(data):
                 raise ValueError("member is cut off")
             out += z.decompress(view[at : at + STEP], HEAD_BYTES if limit is None else limit + 1 - len(out))
-            at = min(at + STEP, len(data)) - len(z.unconsumed_tail) - len(z.unused_data)
+            # At the end of a member both hold what follows it.
+            at = min(at + STEP, len(data)) - len(z.unused_data if z.eof else z.unconsumed_tail)
             limit = allowed(bytes(out[:HEAD_BYTES]), most) if limit is None else limit
             if len(out) > limit:
                 raise ValueError("member is too large")
@@ -149,7 +150,7 @@ def inflate_prefix(data: bytes, at: int, most: int = MEMBER_BYTES) -> tuple[byte
             z, step = before, step // 2
             continue
         out += part
-        at = min(at + step, len(data)) - len(z.unconsumed_tail)
+        at = min(at + step, len(data)) - len(z.unused_data if z.eof else z.unconsumed_tail)
         limit = allowed(bytes(out[:HEAD_BYTES]), most) if limit is None and (len(out) >= HEAD_BYTES or b"\r\n\r\n" in out) else limit
     return bytes(out), at, True
 

@@ -61,6 +61,8 @@ def test_members_that_inflate_beyond_their_records(monkeypatch):
     body = b"z" * 3_000_000
     large = gzip.compress(warc.record(5, "http://h/5", body, hashlib.sha1(body).hexdigest(), None), mtime=0)
     assert [(r["kind"], len(r["payload"])) for r in warc.read_archive(large, most=1000)] == [("response", 3_000_000)]
+    both = [(r["kind"], r["page_id"], r["length"]) for r in warc.read_archive(large + good[0] + large)]  # what follows a member of several steps
+    assert both == [("response", 5, len(large)), ("response", 0, len(good[0])), ("response", 5, len(large))]
 
 
 def test_pages_of_unclosed_tags_and_urls_of_ampersands(spark):
