@@ -345,7 +345,7 @@ def recheck(stored: DataFrame, issues: DataFrame, params: Params | None = None,
 
     The groups that make the issues' columns are recomputed for the pairs that have issues, and no others.
     """
-    named = [r[0] for r in issues.select("column").distinct().collect()]  # at most one row a column of the table
+    named = [r[0] for r in issues.where(F.col("column").isin(stored.columns)).select("column").distinct().collect()]  # at most one row a column of the table
     added: dict[str, str] = {}
     raw = stored.join(issues.select(PAIR).distinct(), PAIR, "left_semi")
     bars = raw.select(PAIR, TIME, "open", "high", "low", "close", "volume")
