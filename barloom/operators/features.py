@@ -31,7 +31,8 @@ def price_action(df: DataFrame, p: Params | None = None) -> DataFrame:
         "upper_shadow": H - F.greatest(O, C),
         "lower_shadow": F.least(O, C) - L,
         "relative_close_position": ratio(C - L, H - L, 0.5),
-        "log_return": F.coalesce(F.when(lag(C) > 0, F.log(C / lag(C))), F.lit(0.0)),
+        # Spark's log of 0 is null; a close of 0 after one above it is a return of minus infinity.
+        "log_return": F.coalesce(F.when(lag(C) > 0, F.when(C / lag(C) == 0, float("-inf")).otherwise(F.log(C / lag(C)))), F.lit(0.0)),
         "gap_open": change(O, lag(C)),
         "prev_close_change_pct": change(C, lag(C)),
         "price_velocity": change(C, lag(C, 3)),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.frames import numbered
@@ -95,6 +95,14 @@ def feature_columns(df: DataFrame) -> list[str]:
 DIGITS = {"vwma_20": 8, "future_risk_adj_return_12h": 7, "volume_price_trend": 3}
 
 
+def rounded(c: str, digits: int) -> Column:
+    """A double rounded half away from zero as the SQL rounds it: the scaled double, not its decimal text. Infinities and NaN stay; -0.0 is 0.0."""
+    scaled = F.col(c) * 10.0**digits
+    whole = F.rint(scaled)
+    whole = F.when(F.abs(scaled - whole) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(whole)
+    return F.when(F.abs(scaled) < float("inf"), whole / 10.0**digits + 0.0).otherwise(F.col(c))
+
+
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded to ``digits``: sums in another order then compare equal."""
-    return df.select(*(F.round(c, DIGITS.get(c, digits)).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
+    return df.select(*(rounded(c, DIGITS.get(c, digits)).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))

@@ -211,7 +211,8 @@ def recomputed(stored: DataFrame, groups: dict[str, list[str]], params: Params |
 
 def _apart(c: str) -> Column:
     stored, made = F.col(c).cast("double"), F.col(f"__{c}").cast("double")
-    return F.coalesce(F.abs(stored - made) > rules.TOLERANCE.get(c, 1e-6), F.col(c).isNull())
+    # Equal infinities, and two NaN, have no distance, but Spark holds them equal.
+    return F.coalesce((stored != made) & (F.abs(stored - made) > rules.TOLERANCE.get(c, 1e-6)), F.col(c).isNull())
 
 
 def validate(stored: DataFrame, params: Params | None = None, skip: tuple = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from barloom.functions import frames
-from barloom.operators import features, gaps, joins, kernels, recursive, upsert
+from barloom.operators import features, gaps, halo, joins, kernels, recursive, upsert
 from barloom.operators.cross_pair import percent_rank_of
 from barloom.operators.multi_timeframe import complete_grid, multi_timeframe, resample
 from barloom.oracles.sql import SQL
@@ -330,3 +330,33 @@ def test_rolling_equals_full_for_windows(spark):
 
 def test_features_module_is_lazy():
     assert callable(features.prices)
+
+@pytest.mark.parametrize("made", ["pair", "slot"])
+def test_close_of_zero_is_a_return_of_minus_infinity(spark, made):
+    """As in the SQL: moments of windows that hold it are NaN, others are as before; a recomputation finds no issue there."""
+    closes = [100.0 + (k * 7) % 13 for k in range(70)]
+    closes[30] = 0.0
+    df = bars(spark, closes).withColumn("low", F.least("low", "close"))
+    groups = ("price_action", "statistical")
+    full = halo.features_by_slot(df, Params(), groups, "10 hours", 120) if made == "slot" else pipeline.compute_features(df, Params(), list(groups))
+    got = full.orderBy("timestamp_utc").toPandas()
+    x = got["log_return"].to_numpy()
+    assert x[30] == -np.inf and x[31] == 0 and np.isfinite(np.delete(x, 30)).all()
+    for c in ("std_dev_returns_20", "skewness_20", "kurtosis_20", "autocorr_1"):
+        assert np.flatnonzero(np.isnan(got[c])).tolist() == list(range(30, 50)), c
+    assert validators.recomputed(full, {"statistical": list(groups)}, Params()).count() == 0
+    off = full.withColumn("log_return", F.lit(0.0))
+    assert validators.recomputed(off, {"statistical": list(groups)}, Params()).where("column = 'log_return'").first()["issues"] > 60
+
+
+def test_tidy_rounds_as_the_sql_does(spark, con):
+    """Halves in the seventh place, their neighbours, and values whose scaled doubles are beyond 2^53."""
+    draw = np.random.default_rng(5)
+    x = np.concatenate([(draw.integers(0, 10**7, 2000) * 10 + 5) / 1e7, draw.normal(size=500) * 10.0 ** draw.integers(-6, 12, 500), [8.0046875, 8.004687499999999, 0.49999999999999994e-6, 1e305, -2.5e-6]])
+    x = np.concatenate([x, -x, np.nextafter(x, 0)])
+    got = pipeline.tidy(spark.createDataFrame(pd.DataFrame({"x": x, "vwma_20": x, "volume_price_trend": x}))).toPandas()
+    want = con.execute("select round(x, 6) as x, round(x, 8) as vwma_20, round(x, 3) as volume_price_trend from (select unnest($1) as x)", [x.tolist()]).df()
+    for c in want:
+        assert (got[c] == want[c]).all(), c
+    odd = pipeline.tidy(spark.createDataFrame([(float("nan"),), (float("-inf"),), (None,), (-1e-9,)], "x double")).collect()
+    assert [str(r.x) for r in odd] == ["nan", "-inf", "None", "0.0"]
