@@ -9,16 +9,16 @@ not of bounded reach, the running sums of the volume group, comes from ``slots.r
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barloom.operators import features, slots
 from barloom.params import Params
 
 from .kernels import entropy, hurst
-from .recursive import recursive
+from .recursive import passed, recursive
 
 #: Groups that windows of bounded reach express.
 GROUPS = ("price_action", "momentum", "volatility", "volume", "statistical", "pattern", "calendar", "labels")
@@ -49,14 +49,12 @@ def own_rows(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 def long_windows(df: DataFrame, p: Params, keys: tuple = ("pair",)) -> DataFrame:
     """``df`` with Hurst exponent and entropy; groups are blocks with their halos."""
-    schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.DoubleType()) for c in LONG)])
 
-    def run(bars: pd.DataFrame) -> pd.DataFrame:
-        bars = bars.sort_values("timestamp_utc", kind="stable")
+    def make(bars: pd.DataFrame, micros: np.ndarray) -> dict[str, np.ndarray]:
         c = bars["close"].to_numpy(float)
-        return bars.assign(hurst_exponent=hurst(c, p.statistical.hurst, p.statistical.hurst_max_lag), shannon_entropy=entropy(c, p.statistical.entropy, p.statistical.entropy_bins))
+        return {"hurst_exponent": hurst(c, p.statistical.hurst, p.statistical.hurst_max_lag), "shannon_entropy": entropy(c, p.statistical.entropy, p.statistical.entropy_bins)}
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return passed(df, keys, LONG, make)
 
 
 def features_by_slot(bars: DataFrame, p: Params | None = None, groups: tuple = GROUPS, width: str = "30 days", block_rows: int = BLOCK_ROWS) -> DataFrame:

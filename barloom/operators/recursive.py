@@ -1,7 +1,7 @@
 """Recursive indicators, and those on long windows, in one grouped pass.
 
 Exponential and Wilder means and the parabolic SAR depend on the row before, which no window expresses;
-Hurst exponent and entropy need whole windows, for which numpy's sliding views spare an array a row. One ``applyInPandas`` over a pair's sorted
+Hurst exponent and entropy need whole windows, for which numpy's sliding views spare an array a row. One ``applyInArrow`` over a pair's sorted
 bars computes all of them, so that bars cross the Arrow boundary once. Exponential means run in
 pandas' compiled loop. A group is one pair's history: its length is bounded by time (a decade of
 hourly bars is 88,000 rows), not by the number of pairs, which is what grows.
@@ -9,10 +9,12 @@ hourly bars is 88,000 rows), not by the number of pairs, which is what grows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.params import Params
@@ -65,30 +67,35 @@ def recursive_columns(bars: pd.DataFrame, p: Params) -> dict[str, np.ndarray]:
     }
 
 
+def passed(df: DataFrame, keys: tuple, columns: tuple, make: Callable[[pd.DataFrame, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
+    """``df`` with double ``columns``, which ``make`` gives of a group's OHLCV and epoch microseconds, ascending in time.
+
+    Every other column passes through in Arrow: pandas would hand NaN back as null.
+    """
+    schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.DoubleType()) for c in columns)])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("timestamp_utc")
+        made = make(rows.select(["open", "high", "low", "close", "volume"]).to_pandas(), rows["timestamp_utc"].cast(pa.int64()).to_numpy())
+        for c in columns:
+            rows = rows.append_column(c, pa.array(made[c], pa.float64(), from_pandas=True))
+        return rows
+
+    return df.groupBy(*keys).applyInArrow(run, schema)
+
+
 def grouped_pass(df: DataFrame, p: Params | None, columns: tuple, closed_bars_only: bool = False, complete: bool = False) -> DataFrame:
     """``df`` with ``columns``, recursive ones and those of higher frames; every other column passes through.
 
     After window features of the same pair the rows are already dealt and sorted: no further shuffle.
     """
     p = p or Params()
-    kept = [c for c in df.columns if c not in columns]
-    schema = T.StructType([*df.select(*kept).schema.fields, *(T.StructField(c, T.DoubleType()) for c in columns)])
-    zoned = dict(df.dtypes)["timestamp_utc"] == "timestamp"
-    higher = any(c in MTF for c in columns)
 
-    def run(bars: pd.DataFrame) -> pd.DataFrame:
-        bars = bars.sort_values("timestamp_utc", kind="stable")
+    def make(bars: pd.DataFrame, micros: np.ndarray) -> dict[str, np.ndarray]:
         made = recursive_columns(bars, p) if any(c in COLUMNS for c in columns) else {}
-        if higher:
-            # A zoned time arrives in the session's zone; frames are cut in UTC.
-            micros = bars.pop("__micros").to_numpy() if zoned else bars["timestamp_utc"].to_numpy("datetime64[us]").astype(np.int64)
-            made |= frame_columns(bars, micros, closed_bars_only, complete)
-        return pd.concat([bars, pd.DataFrame({k: made[k] for k in columns}, index=bars.index)], axis=1)
-
-    rows = df.select(*kept)
-    if higher and zoned:
-        rows = rows.withColumn("__micros", F.unix_micros("timestamp_utc"))
-    return rows.groupBy("pair").applyInPandas(run, schema)
+        return made | (frame_columns(bars, micros, closed_bars_only, complete) if any(c in MTF for c in columns) else {})
+
+    return passed(df.select(*(c for c in df.columns if c not in columns)), ("pair",), columns, make)
 
 
 def recursive(df: DataFrame, p: Params | None = None, columns: tuple = COLUMNS) -> DataFrame:

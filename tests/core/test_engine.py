@@ -349,6 +349,13 @@ def test_close_of_zero_is_a_return_of_minus_infinity(spark, made):
     assert validators.recomputed(off, {"statistical": list(groups)}, Params()).where("column = 'log_return'").first()["issues"] > 60
 
 
+def test_grouped_pass_keeps_nan_and_null_apart(spark):
+    df = bars(spark, walk(20)).withColumns({"x": F.when(F.col("close") > 100, float("nan")), "k": F.when(F.col("close") > 100, 7)})
+    got = recursive.recursive(df, None, ("rsi_1h",))
+    assert got.select("x", "k").exceptAll(df.select("x", "k")).count() == 0 and df.where("isnan(x)").count() > 0
+    assert halo.long_windows(df, Params()).select("x", "k").exceptAll(df.select("x", "k")).count() == 0
+
+
 def test_tidy_rounds_as_the_sql_does(spark, con):
     """Halves in the seventh place, their neighbours, and values whose scaled doubles are beyond 2^53."""
     draw = np.random.default_rng(5)
