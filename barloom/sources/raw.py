@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.frames import millis, truthy
@@ -10,7 +10,7 @@ from barloom.functions.frames import millis, truthy
 QUOTE_SUFFIX, SWAP = "-USDT-SWAP", "-SWAP"
 
 
-def _number(a: str, i: int) -> F.Column:
+def _number(a: str, i: int) -> Column:
     return F.expr(f"try_cast({a}[{i}] as double)")
 
 
@@ -33,28 +33,36 @@ def parse_price_candles(messages: DataFrame, data: str = "data", symbol: str = "
     return rows.select(millis(F.col("ms")).alias("timestamp"), name.alias("symbol"), *(_number("a", i + 1).alias(n) for i, n in enumerate(("open", "high", "low", "close"))), truthy(F.col("a")[5]).alias("confirmed"))
 
 
+def _fields(messages: DataFrame, data: str, kept: list[Column], *names: str) -> DataFrame:
+    """``kept`` columns and the named fields of JSON objects as texts. A generator reads each message once; filters on its fields stay above it."""
+    return messages.select(*kept, F.json_tuple(data, *names).alias(*names))
+
+
+def _as(name: str, kind: str) -> Column:
+    return F.expr(f"try_cast(`{name}` as {kind})")
+
+
 def parse_funding(messages: DataFrame, data: str = "data") -> DataFrame:
     """Funding rows from JSON objects; an absent or empty realized rate is 0."""
-    get = lambda k: F.get_json_object(data, f"$.{k}")
-    rate = lambda k: F.expr(f"try_cast(nullif(get_json_object({data}, '$.{k}'), '') as double)")
-    return messages.select(
-        millis(F.expr(f"try_cast(get_json_object({data}, '$.fundingTime') as bigint)")).alias("funding_time"), get("instId").alias("symbol"),
+    rate = lambda k: F.expr(f"try_cast(nullif({k}, '') as double)")
+    return _fields(messages, data, [], "fundingTime", "instId", "fundingRate", "realizedRate", "formulaType", "method").select(
+        millis(_as("fundingTime", "bigint")).alias("funding_time"), F.col("instId").alias("symbol"),
         rate("fundingRate").alias("funding_rate"), F.coalesce(rate("realizedRate"), F.lit(0.0)).alias("realized_rate"),
-        get("formulaType").alias("formula_type"), get("method").alias("method"),
+        F.col("formulaType").alias("formula_type"), "method",
     )
 
 
 def parse_trades(messages: DataFrame, data: str = "data", pair: str = "pair") -> DataFrame:
     """Trades from JSON objects; those without a number for price, size or time are skipped."""
-    get = lambda k, kind: F.expr(f"try_cast(get_json_object({data}, '$.{k}') as {kind})")
-    rows = messages.select(F.col(pair).alias("pair"), get("tradeId", "string").alias("trade_id"), get("px", "double").alias("price"), get("sz", "double").alias("quantity"), get("side", "string").alias("side"), millis(get("ts", "bigint")).alias("timestamp_utc"))
+    rows = _fields(messages, data, [F.col(pair).alias("pair")], "tradeId", "px", "sz", "side", "ts")
+    rows = rows.select("pair", F.col("tradeId").alias("trade_id"), _as("px", "double").alias("price"), _as("sz", "double").alias("quantity"), "side", millis(_as("ts", "bigint")).alias("timestamp_utc"))
     return rows.where("trade_id is not null and price is not null and quantity is not null and timestamp_utc is not null")
 
 
 def parse_premiums(messages: DataFrame, data: str = "data", symbol: str = "symbol") -> DataFrame:
     """Premium rows from JSON objects with ts and premium."""
-    get = lambda k, kind: F.expr(f"try_cast(get_json_object({data}, '$.{k}') as {kind})")
-    return messages.select(millis(get("ts", "bigint")).alias("timestamp"), F.col(symbol).alias("symbol"), get("premium", "double").alias("premium")).where("timestamp is not null and premium is not null")
+    rows = _fields(messages, data, [F.col(symbol).alias("symbol")], "ts", "premium")
+    return rows.select(millis(_as("ts", "bigint")).alias("timestamp"), "symbol", _as("premium", "double").alias("premium")).where("timestamp is not null and premium is not null")
 
 
 def swap_pairs(instruments: DataFrame) -> DataFrame:

@@ -367,3 +367,17 @@ def test_tidy_rounds_as_the_sql_does(spark, con):
         assert (got[c] == want[c]).all(), c
     odd = pipeline.tidy(spark.createDataFrame([(float("nan"),), (float("-inf"),), (None,), (-1e-9,)], "x double")).collect()
     assert [str(r.x) for r in odd] == ["nan", "-inf", "None", "0.0"]
+
+
+def test_messages_are_read_once(spark):
+    """Filters on parsed fields do not parse again; fields that are numbers, empty, null, nested or absent are as with a path each."""
+    texts = ['{"tradeId":"1","px":"2.5","sz":3,"side":"buy","ts":"4000"}', '{"tradeId":5,"px":1e2,"sz":"1","side":{"a":[1]},"ts":7}', '{"tradeId":"2","px":"","sz":"1","ts":"1"}', '{"tradeId":null,"px":"1","sz":"1","ts":"1"}', "[]", "x", '{"px":"1"', None, '{"ts":"9","premium":"0.1","instId":"a","fundingTime":"8","realizedRate":""}']
+    df = spark.createDataFrame([("p", t) for t in texts], "pair string, data string")
+    got = raw.parse_trades(df)
+    assert [tuple(r) for r in got.select("trade_id", "price", "quantity", "side", F.unix_millis("timestamp_utc")).orderBy("trade_id").collect()] == [("1", 2.5, 3.0, "buy", 4000), ("5", 100.0, 1.0, '{"a":[1]}', 7)]
+    assert [tuple(r) for r in raw.parse_premiums(df, symbol="pair").select("symbol", "premium").collect()] == [("p", 0.1)]
+    assert raw.parse_funding(df).where("symbol = 'a' and realized_rate = 0 and funding_rate is null").count() == 1 and raw.parse_funding(df).count() == 9
+    written = df.select("pair", F.to_json(F.struct(F.col("data").alias("px"))).alias("data"))
+    for made in (raw.parse_trades(written), raw.parse_premiums(written, symbol="pair"), raw.parse_funding(written)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("json_tuple(") == plan.count(".evaluate(struct(") == 1 and "get_json_object" not in plan
