@@ -243,27 +243,34 @@ def distributions(df: DataFrame, columns: list[str]) -> DataFrame:
     """(pair, column, n, mean, median, least, most, sd, q1, q3, iqr, zeros, distinct, skew, kurt, outliers) of numeric columns.
 
     Quartiles are exact with linear interpolation, found by selection (``operators.selection``); deviation, skew and
-    kurtosis (excess) are those of a sample; outliers lie beyond one and a half times the quartiles' distance. No task holds a
-    column whole: counts, moments and distinct values are partial aggregates.
+    kurtosis (excess) are those of a sample; outliers lie beyond one and a half times the quartiles' distance. Equal values are
+    counted first, and all else is computed from values and counts: the input is read once, and what repeats is neither
+    stored nor ordered again. No task holds a column whole.
     """
-    long = df.select(PAIR, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot([PAIR], columns, "column", "value").where("value is not null and not isnan(value)")
-    long = written(long, "values")
-    v, n = F.col("value"), F.count(F.lit(1))
-    spread = F.stddev_pop(v) > 1e-9
-    by = long.groupBy(PAIR, "column").agg(
-        n.alias("n"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), F.stddev_samp(v).alias("sd"), F.count_if(v == 0).alias("zeros"),
-        F.when((n > 2) & spread, F.skewness(v) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
-        F.when((n > 3) & spread, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(v) + 6)).alias("kurt"),
+    key, v, n, c = [PAIR, "column"], F.col("value"), F.col("n"), F.col("c")
+    long = df.select(PAIR, *(F.col(x).cast("double").alias(x) for x in columns)).unpivot([PAIR], columns, "column", "value").where("value is not null and not isnan(value)")
+    long = written(long.groupBy(*key, (v + 0.0).alias("value")).agg(F.count(F.lit(1)).alias("c")), "values")
+    by = long.groupBy(*key).agg(
+        F.sum("c").alias("n"), (F.sum(c * v) / F.sum("c")).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"),
+        F.sum(F.when(v == 0, c).otherwise(0)).alias("zeros"), F.count(F.lit(1)).alias("distinct"),
     )
-    by = written(by, "moments")
-    cuts = written(quantiles(long, by, [PAIR, "column"], {"median": 0.5, "q1": 0.25, "q3": 0.75}).withColumn("iqr", F.col("q3") - F.col("q1")), "quartiles")
-    kinds = long.select(PAIR, "column", (v + 0.0).alias("value")).distinct().groupBy(PAIR, "column").agg(n.alias("distinct"))
+    # Within its bounds, the mean of equal values is that value, and their deviation 0.
+    by = written(by.withColumn("mean", F.greatest("least", F.least("most", "mean"))), "totals")
+    cuts = quantiles(long, by, key, {"median": 0.5, "q1": 0.25, "q3": 0.75}, "c").withColumn("iqr", F.col("q3") - F.col("q1"))
+    by = written(by.join(cuts, key), "quartiles")
+    d = v - F.col("mean")
     far = (v < F.col("q1") - 1.5 * F.col("iqr")) | (v > F.col("q3") + 1.5 * F.col("iqr"))
-    few = cuts.count() <= BROADCAST_RANKS  # a row a pair and column
-    out = long.join(F.broadcast(cuts) if few else cuts, [PAIR, "column"]).groupBy(PAIR, "column").agg(F.count_if(far).alias("outliers"))
-    cuts = cuts.join(kinds, [PAIR, "column"])
-    return by.join(cuts, [PAIR, "column"]).join(out, [PAIR, "column"]).select(
-        PAIR, "column", "n", "mean", "median", "least", "most", "sd", "q1", "q3", "iqr", "zeros", "distinct", "skew", "kurt", "outliers",
+    few = by.count() <= BROADCAST_RANKS  # a row a pair and column
+    ends = by.select(*key, "mean", "q1", "q3", "iqr")
+    out = long.join(F.broadcast(ends) if few else ends, key).groupBy(*key).agg(
+        F.sum(F.when(far, c).otherwise(0)).alias("outliers"), F.sum(c * d * d).alias("__m2"), F.sum(c * d * d * d).alias("__m3"), F.sum(c * d * d * d * d).alias("__m4"),
+    )
+    m2, spread = F.col("__m2"), F.sqrt(F.col("__m2") / n) > 1e-9
+    skew, kurt = F.sqrt(n) * F.col("__m3") / F.sqrt(m2 * m2 * m2), n * F.col("__m4") / (m2 * m2) - 3
+    return by.join(out, key).select(
+        *key, "n", "mean", "median", "least", "most", F.when(n > 1, F.sqrt(m2 / (n - 1))).alias("sd"), "q1", "q3", "iqr", "zeros", "distinct",
+        F.when((n > 2) & spread, skew * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
+        F.when((n > 3) & spread, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * kurt + 6)).alias("kurt"), "outliers",
     )
 
 

@@ -51,3 +51,30 @@ def test_distributions_have_no_window_over_a_column(spark):
     rows = {r["column"]: r for r in made.collect()}
     assert (rows["x"].n, rows["x"].distinct, rows["x"].median, rows["y"].n, rows["y"].q1, rows["y"].iqr) == (50, 7, 3.0, 17, 1.0, 0.0)
     assert validators.distributions(df.limit(0), ["x"]).count() == 0
+
+
+@pytest.mark.parametrize("cell", [1 << 17, 2, 0])
+def test_distributions_hold_equal_values_once(spark, monkeypatch, cell):
+    """What is stored and ordered is one row for each distinct value; figures are those of all rows."""
+    monkeypatch.setattr(selection, "CELL_VALUES", cell)
+    sizes = {}
+
+    def counted(df, name, write=selection.written):
+        out = write(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(selection, "written", counted)
+    monkeypatch.setattr(validators, "written", counted)
+    draw = np.random.default_rng(2)
+    x = np.concatenate([draw.integers(-3, 4, 900) / 7, np.full(100, 40.0), [-0.0, 0.0]])
+    df = pd.DataFrame({"pair": "a", "x": x, "same": 1e9 + 0.1})
+    rows = {r["column"]: r for r in validators.distributions(spark.createDataFrame(df).repartition(3), ["x", "same"]).collect()}
+    got, s = rows["x"], df["x"]
+    q1, q3 = s.quantile(0.25), s.quantile(0.75)
+    want = [1002, s.mean(), s.median(), s.min(), 40.0, s.std(), q1, q3, q3 - q1, (s == 0).sum(), 8, s.skew(), s.kurt(), ((s < q1 - 1.5 * (q3 - q1)) | (s > q3 + 1.5 * (q3 - q1))).sum()]
+    names = ("n", "mean", "median", "least", "most", "sd", "q1", "q3", "iqr", "zeros", "distinct", "skew", "kurt", "outliers")
+    assert np.allclose([got[c] for c in names], want, rtol=1e-9) and got.outliers >= 100
+    flat = rows["same"]
+    assert (flat["mean"], flat.sd, flat.iqr, flat["distinct"], flat.skew, flat.kurt) == (1e9 + 0.1, 0.0, 0.0, 1, None, None)
+    assert sizes["values"] == sizes["keys"] == 9
