@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from barloom.operators import features, slots
 from barloom.params import Params
 
-from .kernels import entropy, hurst
+from .kernels import Runs, entropy, hurst
 from .recursive import passed, recursive
 
 #: Groups that windows of bounded reach express.
@@ -50,9 +50,10 @@ def own_rows(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 def long_windows(df: DataFrame, p: Params, keys: tuple = ("pair",)) -> DataFrame:
     """``df`` with Hurst exponent and entropy; groups are blocks with their halos."""
 
-    def make(bars: pd.DataFrame, micros: np.ndarray) -> dict[str, np.ndarray]:
+    def make(bars: pd.DataFrame, micros: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
         c = bars["close"].to_numpy(float)
-        return {"hurst_exponent": hurst(c, p.statistical.hurst, p.statistical.hurst_max_lag), "shannon_entropy": entropy(c, p.statistical.entropy, p.statistical.entropy_bins)}
+        runs = Runs(len(c), first)
+        return {"hurst_exponent": hurst(c, p.statistical.hurst, p.statistical.hurst_max_lag, runs), "shannon_entropy": entropy(c, p.statistical.entropy, p.statistical.entropy_bins, runs)}
 
     return passed(df, keys, LONG, make)
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ewm, rsi, step, true_range
+from .kernels import Runs, ewm, rsi, smooth, step, true_range
 
 #: Microseconds of each higher frame.
 WIDTHS = {"4h": 4 * 3_600_000_000, "1d": 24 * 3_600_000_000}
@@ -34,32 +34,28 @@ def complete_grid(bars: DataFrame, width: str) -> DataFrame:
     return grid.join(bars, ["pair", "timestamp_utc"], "left").withColumn("volume", F.coalesce("volume", F.lit(0.0)))
 
 
-def frame_indicators(bars: pd.DataFrame, daily: bool) -> dict[str, np.ndarray]:
-    """The ten indicators of one pair's higher bars; both frames differ in warm-up rules."""
+def frame_indicators(bars: pd.DataFrame, daily: bool, first: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The ten indicators of one pair's higher bars, or of a stack of pairs whose first rows are ``first``; both frames differ in warm-up rules."""
     h, lo, c, v = (bars[k].to_numpy(float) for k in ("high", "low", "close", "volume"))
+    runs = Runs(len(c), first)
+    ewm = lambda x, span: smooth(x, span, runs)
     k = 1 if daily else 2
     macd = ewm(c, 12) - ewm(c, 26)
-    rs = rsi(c)
-    least = 1 if daily else 20
-    sd = pd.Series(c).rolling(20, min_periods=least).std().fillna(0.0).to_numpy()
-    wide = (pd.Series(h).rolling(20, min_periods=least).max() - pd.Series(lo).rolling(20, min_periods=least).min()).fillna(0.0).to_numpy()
+    rs = rsi(c, runs=runs)
+    full = runs.at >= (0 if daily else 19)
+    sd = np.where(full, runs.window_std(c, 20), 0.0)
+    wide = np.where(full, np.maximum.reduce(runs.window(h, 20, -np.inf)) - np.minimum.reduce(runs.window(lo, 20, np.inf)), 0.0)
     tp = (h + lo + c) / 3
-    dt = np.diff(tp, prepend=tp[0])
-    sums = [pd.Series(tp * v * side).rolling(14, min_periods=1 if daily else 14).sum().to_numpy() for side in (dt > 0, dt < 0)]
+    before, v1 = runs.before(tp, tp), runs.before(v, 0.0)
+    up, down = (runs.window_sum(np.where(side, tp * v, 0.0), 14) for side in (tp > before, tp < before))
     with np.errstate(divide="ignore", invalid="ignore"):
-        flow = np.where(sums[1] > 0, sums[0] / sums[1], 100.0)
-        mfi = 100 - 100 / (1 + flow)
-        grown = np.diff(v, prepend=v[0]) / np.concatenate([v[:1], v[:-1]])
-    if daily:
-        mfi = np.where(sums[1] > 0, mfi, 100.0)
-    signed = np.sign(np.diff(c, prepend=c[0])) * v
-    if daily:
-        signed[:1] = v[:1]
-    grown[:1] = 0.0
+        mfi = np.where((down > 0) & (runs.at >= (0 if daily else 13)), 100 - 100 / (1 + up / down), 100.0 if daily else 100 - 100.0 / 101)
+        grown = np.where(v1 != 0, v / v1 - 1, 0.0)
+    signed = np.where((runs.at == 0) & daily, v, np.sign(c - runs.before(c, c)) * v)
     return {
-        "rsi": rs, "rsi_slope": step(rs, k), "macd_slope": step(macd), "macd_hist_slope": step(macd - ewm(macd, 9)),
-        "atr": ewm(true_range(h, lo, c), 14), "bollinger_width": 4 * sd, "donchian_channel_width": wide,
-        "money_flow_index": mfi, "obv_slope": step(np.cumsum(signed), k), "volume_change_pct": np.nan_to_num(grown, nan=0.0, posinf=0.0, neginf=0.0),
+        "rsi": rs, "rsi_slope": step(rs, k, runs), "macd_slope": step(macd, 1, runs), "macd_hist_slope": step(macd - ewm(macd, 9), 1, runs),
+        "atr": ewm(true_range(h, lo, c, runs), 14), "bollinger_width": 4 * sd, "donchian_channel_width": wide,
+        "money_flow_index": mfi, "obv_slope": step(runs.sums(signed), k, runs), "volume_change_pct": grown,
     }
 
 
@@ -104,39 +100,56 @@ def grid_indicators(bars: pd.DataFrame, daily: bool) -> dict[str, np.ndarray]:
     }
 
 
-def frame_columns(bars: pd.DataFrame, micros: np.ndarray, closed_bars_only: bool = False, complete: bool = False) -> dict[str, np.ndarray]:
-    """The columns of ``MTF`` for one pair's hourly bars, ascending in time; 0 where there are too few bars.
+def frame_columns(bars: pd.DataFrame, micros: np.ndarray, closed_bars_only: bool = False, complete: bool = False, first: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The columns of ``MTF`` for one pair's hourly bars, ascending in time, or for a stack of pairs whose first rows are ``first``; 0 where there are too few bars.
 
     complete: indicators are those of the whole grid of bars, empty ones included, which also counts for the least number of bars.
     """
-    out = {}
+    runs, out = Runs(len(bars), first), {}
     for name, width in WIDTHS.items():
         key = micros // width
-        first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.zeros(0, int)
-        many = int(key[first[-1]] - key[first[0]]) + 1 if complete and len(first) else len(first)
-        if len(bars) < LEAST_ROWS or many < LEAST_BARS[name]:
-            out |= {f"{c}_{name}": np.zeros(len(bars)) for c in (*OHLCV, *INDICATORS)}
-            continue
+        begins = (runs.at == 0) | (np.diff(key, prepend=0) != 0)
+        at = np.flatnonzero(begins)  # the first row of each bar
+        pair = np.cumsum(runs.at == 0) - 1
+        bar_runs = np.flatnonzero(np.diff(pair[at], prepend=-1))  # the first bar of each pair
         o, h, lo, c, v = (bars[k].to_numpy(float) for k in OHLCV)
-        end = np.append(first[1:], len(bars)) - 1
-        made = {"open": o[first], "high": np.maximum.reduceat(h, first), "low": np.minimum.reduceat(lo, first), "close": c[end], "volume": np.add.reduceat(v, first)}
-        have = key[first]
+        made = {k: np.zeros(0) for k in OHLCV}
+        if len(at):
+            end = np.append(at[1:], len(bars)) - 1
+            made = {"open": o[at], "high": np.maximum.reduceat(h, at), "low": np.minimum.reduceat(lo, at), "close": c[end], "volume": np.add.reduceat(v, at)}
+        have, whose = key[at], pair[at]
         if complete:
-            have = np.arange(have[0], have[-1] + 1)
-            laid = {k: np.full(many, 0.0 if k == "volume" else np.nan) for k in made}
-            for k, x in made.items():
-                laid[k][key[first] - have[0]] = x
-            made = laid | grid_indicators(pd.DataFrame(laid), name == "1d")
-            made = {k: np.nan_to_num(x) for k, x in made.items()}
+            have, whose, made, bar_runs = laid_out(have, whose, made, bar_runs, name == "1d")
         else:
-            made |= frame_indicators(pd.DataFrame(made), name == "1d")
+            made |= frame_indicators(pd.DataFrame(made), name == "1d", bar_runs)
+        bar_count = np.diff(bar_runs, append=len(have))
+        enough = (runs.rows >= LEAST_ROWS) & (bar_count[pair] >= LEAST_BARS[name])
+        # The place of each row's bar: its own pair's bars ascend in time.
         wanted = key - closed_bars_only
-        at = np.minimum(np.searchsorted(have, wanted), len(have) - 1)
-        there = have[at] == wanted
-        out |= {f"{k}_{name}": np.where(there, x[at], 0.0) for k, x in made.items()}
+        place = np.cumsum(begins) - 1 - closed_bars_only if not complete else bar_runs[pair] + wanted - have[bar_runs][pair]
+        place = np.maximum(place, 0)
+        there = enough & (have[place] == wanted) & (whose[place] == pair) if len(have) else enough
+        out |= {f"{k}_{name}": np.where(there, x[place], 0.0) if len(have) else np.zeros(0) for k, x in made.items()}
     return out
 
 
+def laid_out(have: np.ndarray, whose: np.ndarray, made: dict[str, np.ndarray], bar_runs: np.ndarray, daily: bool) -> tuple:
+    """Bars of a stack of pairs on each pair's whole grid, empty ones included, with their indicators; missing values are 0."""
+    parts, starts, n = [], [], 0
+    for a, b in zip(bar_runs, np.append(bar_runs[1:], len(have)), strict=True):
+        grid = np.arange(have[a], have[b - 1] + 1)
+        full = {k: np.full(len(grid), 0.0 if k == "volume" else np.nan) for k in OHLCV}
+        for k in OHLCV:
+            full[k][have[a:b] - have[a]] = made[k][a:b]
+        full |= grid_indicators(pd.DataFrame(full), daily)
+        parts.append(({k: np.nan_to_num(x) for k, x in full.items()}, grid, np.full(len(grid), whose[a])))
+        starts.append(n)
+        n += len(grid)
+    if not parts:
+        return have, whose, {k: np.zeros(0) for k in (*OHLCV, *INDICATORS)}, bar_runs
+    return np.concatenate([g for _, g, _ in parts]), np.concatenate([w for *_, w in parts]), {k: np.concatenate([d[k] for d, *_ in parts]) for k in parts[0][0]}, np.array(starts)
+
+
 def multi_timeframe(df: DataFrame, p: object = None, closed_bars_only: bool = False, complete: bool = False) -> DataFrame:
     """``df`` with ten indicators and OHLCV of each higher frame.
 

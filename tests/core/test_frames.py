@@ -2,9 +2,12 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from barloom.operators import multi_timeframe as m
 from barloom.operators.kernels import ewm, rsi
+from barloom.operators.recursive import COLUMNS, grouped_pass, recursive_columns
+from barloom.params import Params
 
 
 def bars(n, seed=4):
@@ -40,3 +43,37 @@ def test_complete_frames_count_empty_bars():
     assert (grid["close_4h"] == plain["close_4h"]).all() or not plain["close_4h"].any()
     closed = m.frame_columns(b, micros, closed_bars_only=True, complete=True)
     assert closed["close_4h"][15] == 0 and closed["volume_1d"][15] == 0  # the bar before is empty
+
+
+def test_a_stack_of_pairs_gives_what_each_pair_gives():
+    sizes = (1, 2, 13, 14, 15, 1, 21, 30, 99, 100, 101, 130, 260)
+    parts = [bars(n, seed=n) for n in sizes]
+    micros = [np.sort(np.random.default_rng(n).choice(24 * 60, n, replace=False)) * 3_600_000_000 for n in sizes]
+    first = np.cumsum((0, *sizes))[:-1]
+    stack, at = pd.concat(parts, ignore_index=True), np.concatenate(micros)
+    got = recursive_columns(stack, Params(), first)
+    for k, want in {k: np.concatenate([recursive_columns(b, Params())[k] for b in parts]) for k in got}.items():
+        assert (got[k] == want).all(), k
+    for closed in (False, True):
+        for complete in (False, True):
+            got = m.frame_columns(stack, at, closed, complete, first)
+            alone = [m.frame_columns(b, t, closed, complete) for b, t in zip(parts, micros, strict=True)]
+            for k in m.MTF:
+                assert (got[k] == np.concatenate([a[k] for a in alone])).all(), (closed, complete, k)
+            assert got["rsi_4h"].any() and got["rsi_1d"].any()
+
+
+def test_short_pairs_share_a_call_and_long_ones_go_over_batches(spark):
+    """Many pairs cost no call each; a pair that does not end with its Arrow batch goes on in the next."""
+    rows = [(f"p{k}", t, *x) for k in range(40) for t, x in enumerate(bars(3 + 7 * (k % 9), seed=k).itertuples(index=False, name=None))]
+    df = spark.createDataFrame(rows, "pair string, hour int, open double, high double, low double, close double, volume double").withColumn("timestamp_utc", F.timestamp_seconds(F.col("hour") * 10800))
+    made = grouped_pass(df, Params(), (*COLUMNS, *m.MTF))
+    assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+    want = sorted(made.collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(grouped_pass(df, Params(), (*COLUMNS, *m.MTF)).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(got) == len(rows) and any(r.rsi_4h for r in got)
+    assert grouped_pass(df.limit(0), Params(), ("rsi_1h",)).count() == 0
