@@ -12,8 +12,8 @@ from .kernels import Runs, ewm, rsi, smooth, step, true_range
 #: Microseconds of each higher frame.
 WIDTHS = {"4h": 4 * 3_600_000_000, "1d": 24 * 3_600_000_000}
 OHLCV = ("open", "high", "low", "close", "volume")
-#: Least hourly rows of a pair, and least bars in each frame, for its columns to be there.
-LEAST_ROWS, LEAST_BARS = 24, {"4h": 10, "1d": 7}
+#: Least bars of a pair in each frame, for its columns to be there. Rows do not count: 20 hours may lie in 20 days.
+LEAST_BARS = {"4h": 10, "1d": 7}
 INDICATORS = ("rsi", "rsi_slope", "macd_slope", "macd_hist_slope", "atr", "bollinger_width", "donchian_channel_width", "money_flow_index", "obv_slope", "volume_change_pct")
 MTF = tuple(f"{c}_{name}" for name in WIDTHS for c in (*OHLCV, *INDICATORS))
 
@@ -123,7 +123,7 @@ def frame_columns(bars: pd.DataFrame, micros: np.ndarray, closed_bars_only: bool
         else:
             made |= frame_indicators(pd.DataFrame(made), name == "1d", bar_runs)
         bar_count = np.diff(bar_runs, append=len(have))
-        enough = (runs.rows >= LEAST_ROWS) & (bar_count[pair] >= LEAST_BARS[name])
+        enough = bar_count[pair] >= LEAST_BARS[name]
         # The place of each row's bar: its own pair's bars ascend in time.
         wanted = key - closed_bars_only
         place = np.cumsum(begins) - 1 - closed_bars_only if not complete else bar_runs[pair] + wanted - have[bar_runs][pair]

@@ -77,3 +77,25 @@ def test_short_pairs_share_a_call_and_long_ones_go_over_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want and len(got) == len(rows) and any(r.rsi_4h for r in got)
     assert grouped_pass(df.limit(0), Params(), ("rsi_1h",)).count() == 0
+
+
+def test_sparse_pairs_have_frames_by_their_bars():
+    """20 hours of 20 days make 20 bars of either frame, as in the SQL."""
+    b, micros = bars(20), np.arange(20) * 25 * 3_600_000_000
+    got = m.frame_columns(b, micros)
+    for name, daily in (("4h", False), ("1d", True)):
+        assert (got[f"close_{name}"] == b["close"]).all()
+        assert all((got[f"{k}_{name}"] == x).all() for k, x in m.frame_indicators(b, daily).items())
+    assert not any(x.any() for x in m.frame_columns(bars(6), micros[:6]).values())
+
+
+def test_means_are_equal_to_the_recursion_to_the_last_bit():
+    """A quotient by a mean next to 0 shows the last bit of both: spans that are 0 for long, between spans of some size."""
+    draw = np.random.default_rng(8)
+    b = bars(400).assign(low=lambda d: np.where(draw.uniform(size=400) < 0.9, d["high"], d["low"]))
+    x = (b["high"] - b["low"]).tolist()
+    y = [x[0]]
+    for v in x[1:]:
+        y.append(2 / 11 * v + 9 / 11 * y[-1])
+    want = [0.0, *(n / max(o, 1e-8) - 1 for o, n in zip(y, y[1:], strict=False))]
+    assert recursive_columns(b, Params())["chaikin_volatility"].tolist() == want and max(want) > 1e3
